@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricetide import fixed
-from pricetide.functions.text import utf16_length
+from pricetide.functions.text import first_match, utf16_length
 
 
 def product_id(url: Column) -> Column:
@@ -15,15 +15,15 @@ def product_id(url: Column) -> Column:
 
 # Unpadded base64url as an encoder writes it: no odd character left over, no stray bits in the last one.
 _ENCODED = (
-    r"\A(?:[A-Za-z0-9_-]{4})*"
+    rf"\A(?=.{{1,{fixed.MAX_ID_LENGTH}}}\z)(?:[A-Za-z0-9_-]{{4}})*"
     r"(?:[A-Za-z0-9_-][AQgw]|[A-Za-z0-9_-]{2}[AEIMQUYcgkosw048])?\z"
 )
 
 
 def _decoded(product: Column) -> Column:
     """The text an id holds, null where it is not base64url of UTF-8."""
-    sound = F.when(F.rlike(product, F.lit(_ENCODED)), F.translate(product, "-_", "+/"))
-    return F.try_validate_utf8(F.try_to_binary(sound, F.lit("base64")).cast("string"))
+    standard = F.translate(first_match(product, _ENCODED, 0), "-_", "+/")
+    return F.try_validate_utf8(F.try_to_binary(standard, F.lit("base64")).cast("string"))
 
 
 def product_id_error(product: Column) -> Column:
@@ -39,12 +39,8 @@ def product_id_error(product: Column) -> Column:
 
 
 def url_of_product_id(product: Column) -> Column:
-    """The url an id stands for, null where the id is refused.
-
-    Written as one chain, without `product_id_error`, so that Spark decodes each id once.
-    """
-    short = F.when(F.length(product) <= fixed.MAX_ID_LENGTH, product)
-    return F.nullif(F.regexp_extract(_decoded(short), r"(?s)\Ahttps?://.*\z", 0), F.lit(""))
+    """The url an id stands for, null where the id is refused. Takes the steps of `product_id_error` in one chain."""
+    return first_match(_decoded(product), r"(?s)\Ahttps?://.*\z", 0)
 
 
 def canonical_product_url(raw: Column) -> Column:
@@ -57,14 +53,14 @@ def canonical_product_url(raw: Column) -> Column:
         rf"(?i)\A[{fixed.SPACE}]*https?:[/\\]*(?:[^/\\?#]*@)?(?:{hosts})(?::[0-9]*)?"
         r"(?=[/\\])[^?#]*?[/\\]dp[/\\]([A-Z0-9]{10})"
     )
-    code = F.nullif(F.regexp_extract(F.translate(raw, "\t\r\n", ""), product_page, 1), F.lit(""))
+    code = first_match(F.translate(raw, "\t\r\n", ""), product_page, 1)
     return F.concat(F.lit(fixed.PRODUCT_URL_PREFIX), F.upper(code), F.lit("/"))
 
 
 def canonical_search_link(url: Column) -> Column:
     """Product links in their one spelling, other links as they are."""
-    code = F.regexp_extract(url, fixed.PRODUCT_LINK, 1)
-    return F.when(code == "", url).otherwise(F.concat(F.lit(fixed.PRODUCT_URL_PREFIX), code, F.lit("/")))
+    code = first_match(url, fixed.PRODUCT_LINK, 1)
+    return F.coalesce(F.concat(F.lit(fixed.PRODUCT_URL_PREFIX), code, F.lit("/")), url)
 
 
 def is_dead_redirect(url: Column, final_url: Column) -> Column:

@@ -16,6 +16,15 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+def first_match(text: Column, pattern: str, group: int) -> Column:
+    """A group of the first match, null where there is none.
+
+    Names its input once. Spark copies the expression behind a column into the filters and join keys that use the
+    column, so an expression that repeats its input grows with every step built on it.
+    """
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
+
+
 def parse_price(text: Column) -> Column:
     """'1 299,00 €' to (1299.0, EUR); null unless there are decimals. A symbol counts only right before the digits."""
     symbol = F.regexp_extract(text, fixed.PRICE_TEXT, 1)

@@ -7,14 +7,25 @@ from pricetide import fixed
 from pricetide.functions import money
 
 
+# Steps of 2^-24: sums of up to 2^29 in these steps are exact.
+_STEP = 2.0**24
+
+
 def feature_rows(entries: DataFrame) -> DataFrame:
     """Every priced observation with the mean of the 30 days before it and the number of observations before it.
 
     The count takes unpriced observations in, so they are dropped only after the windows. All windows share one
     partitioning and one order: one shuffle by url, one sort.
+
+    The mean is that of the exactly summed prices, as a compensated sum gives it: a plain sum can end one digit off,
+    and the rounding to cents then shows it. Each price is split into a part in steps of 2^-24, which adds up exactly,
+    and a tiny rest.
     """
+    amount = F.col("price.amount")
+    coarse = F.floor(amount * _STEP) / _STEP
     by_day = Window.partitionBy("url").orderBy(F.unix_date("day"))
-    mean = F.avg("price.amount").over(by_day.rangeBetween(-fixed.MEAN_WINDOW_DAYS, -1))
+    month = by_day.rangeBetween(-fixed.MEAN_WINDOW_DAYS, -1)
+    mean = (F.sum(coarse).over(month) + F.sum(amount - coarse).over(month)) / F.nullif(F.count(amount).over(month), F.lit(0))
     earlier = F.count(F.lit(1)).over(by_day.rowsBetween(Window.unboundedPreceding, -1))
     start = F.first("day").over(by_day.rowsBetween(Window.unboundedPreceding, 0))
     return (
@@ -26,7 +37,7 @@ def feature_rows(entries: DataFrame) -> DataFrame:
             earlier.alias("observations"),
             F.date_diff("day", start).alias("dayNumber"),
             F.col("price.currency").alias("currency"),
-            F.col("price.amount").alias("price"),
+            amount.alias("price"),
         )
         .filter(F.col("price").isNotNull())
     )

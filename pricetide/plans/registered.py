@@ -49,15 +49,23 @@ def in_millionths(column: str) -> Column:
     return F.floor(F.col(column) * 1000000 + OFFSET)
 
 
-ROW = [
-    "url", "title", F.col("price.amount").alias("price"), F.col("price.currency").alias("currency"),
-    F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
-    F.col("unitPrice.unit").alias("unit"), F.col("deliveryDate").alias("delivery"),
-    arrays.first_or_null(F.col("images")).alias("image"), "keyword", as_iso("scrapedAt").alias("scraped_at"),
-]
+def row_columns():
+    return [
+        "url", "title", F.col("price.amount").alias("price"), F.col("price.currency").alias("currency"),
+        F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
+        F.col("unitPrice.unit").alias("unit"), F.col("deliveryDate").alias("delivery"),
+        arrays.first_or_null(F.col("images")).alias("image"), "keyword", as_iso("scrapedAt").alias("scraped_at"),
+    ]
+
+
 ROW_SQL = f"""url, title, price, CASE WHEN price IS NOT NULL THEN 'EUR' END AS currency, crossed, unit_price,
   CASE WHEN unit_price IS NOT NULL THEN 'L' END AS unit, delivery, image, keyword, strftime(scraped_at, {ISO}) AS scraped_at"""
-DATED = [*ROW, as_date("day").alias("day"), "seq"]
+
+
+def dated_columns():
+    return [*row_columns(), as_date("day").alias("day"), "seq"]
+
+
 DATED_SQL = f"{ROW_SQL}, CAST(day AS VARCHAR) AS day, seq"
 USABLE = "price IS NOT NULL AND (title IS NULL OR title <> '')"
 
@@ -71,7 +79,7 @@ def fresh_tables(views: SampleViews) -> Tables:
 
 @query("s1_daily_snapshots", f"SELECT {DATED_SQL} FROM items")
 def _(v):
-    return v.items().select(*DATED)
+    return v.items().select(*dated_columns())
 
 
 @query("s2_stored_items", f"SELECT {DATED_SQL} FROM items")
@@ -80,26 +88,30 @@ def _(v):
     tables, log = fresh_tables(v), v.items_log()
     tables.save_snapshots(log.filter(F.col("seq") % 2 == 1), "odd")
     tables.save_snapshots(log.filter(F.col("seq") % 2 == 0), "even")
-    return tables.items().select(*DATED)
+    return tables.items().select(*dated_columns())
+
+
+def entry_columns():
+    return [
+        "url", as_date("day").alias("day"), F.col("price.amount").alias("price"),
+        F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
+        as_iso("scrapedAt").alias("scraped_at"),
+    ]
 
 
-ENTRY = [
-    "url", as_date("day").alias("day"), F.col("price.amount").alias("price"),
-    F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
-    as_iso("scrapedAt").alias("scraped_at"),
-]
 ENTRY_SQL = f"url, CAST(day AS VARCHAR) AS day, price, crossed, unit_price, strftime(scraped_at, {ISO}) AS scraped_at"
 
 
 @query("s3_history_entries", f"SELECT {ENTRY_SQL} FROM items")
 def _(v):
-    return v.stored_entries().select(*ENTRY)
+    return v.stored_entries().select(*entry_columns())
 
 
-HISTORY = [
-    "url", "shop", "keyword", "title", as_date("firstSeen").alias("first_seen"), as_date("lastSeen").alias("last_seen"),
-    F.size("history").alias("entries"),
-]
+def history_columns():
+    return [
+        "url", "shop", "keyword", "title", as_date("firstSeen").alias("first_seen"), as_date("lastSeen").alias("last_seen"),
+        F.size("history").alias("entries"),
+    ]
 
 
 @query(
@@ -114,7 +126,7 @@ def _(v):
     late = F.col("day") >= F.lit("2024-01-30").cast("date")
     stored = history.price_history(v.items().filter(~late), v.as_of())
     merged = history.upsert(stored, history.price_history(v.items().filter(late), v.as_of()))
-    return merged.select("url", "shop", *HISTORY[4:], "fresh")
+    return merged.select("url", "shop", *history_columns()[4:], "fresh")
 
 
 @query(
@@ -207,12 +219,12 @@ def as_iso_max(column: str) -> Column:
 
 @query("p1_usable_products", f"SELECT {ROW_SQL} FROM newest WHERE {USABLE}")
 def _(v):
-    return snapshots.latest_usable(v.items(), "url").select(*ROW)
+    return snapshots.latest_usable(v.items(), "url").select(*row_columns())
 
 
 @query("p2_observed_for_keyword", f"SELECT {DATED_SQL} FROM items WHERE keyword IS NOT NULL AND {USABLE}")
 def _(v):
-    return snapshots.observed_for_keyword(v.items()).select(*DATED)
+    return snapshots.observed_for_keyword(v.items()).select(*dated_columns())
 
 
 def scored_by_keyword(v: SampleViews) -> DataFrame:
@@ -225,26 +237,29 @@ def found(v: SampleViews, **params: str) -> DataFrame:
     return scored_by_keyword(v).filter(catalog.matches(search.ProductQuery.from_params(**params)))
 
 
-SCORED = [
-    *ROW, F.col("dealScore").alias("score"), F.col("predictedPrice").alias("predicted_price"),
-    F.col("trendDirection").alias("trend"), F.col("isDeal").alias("is_deal"),
-]
+def scored_columns():
+    return [
+        *row_columns(), F.col("dealScore").alias("score"), F.col("predictedPrice").alias("predicted_price"),
+        F.col("trendDirection").alias("trend"), F.col("isDeal").alias("is_deal"),
+    ]
+
+
 SCORED_SQL = f"{ROW_SQL}, score, predicted_price, trend, is_deal"
 
 
 @query("p3_title_search", f"SELECT {SCORED_SQL} FROM scored WHERE contains(lower(title), 'product 1')")
 def _(v):
-    return found(v, q="  PRODUCT 1 ").select(*SCORED)
+    return found(v, q="  PRODUCT 1 ").select(*scored_columns())
 
 
 @query("p4_deals_only", f"SELECT {SCORED_SQL} FROM scored WHERE is_deal")
 def _(v):
-    return found(v, deals="1").select(*SCORED)
+    return found(v, deals="1").select(*scored_columns())
 
 
 @query("p5_price_band", f"SELECT {SCORED_SQL} FROM scored WHERE price >= 20 AND price <= 60.5")
 def _(v):
-    return found(v, min="20", max="60.5").select(*SCORED)
+    return found(v, min="20", max="60.5").select(*scored_columns())
 
 
 @query(
@@ -262,17 +277,20 @@ def _(v):
     )
 
 
-SHOWN_ENTRY = [
-    "e.day", F.col("e.price.amount").alias("price"), F.col("e.crossedOutPrice.amount").alias("crossed"),
-    F.col("e.unitPrice.amount").alias("unit_price"), F.col("e.scrapedAt").alias("scraped_at"),
-]
+def shown_entry_columns():
+    return [
+        "e.day", F.col("e.price.amount").alias("price"), F.col("e.crossedOutPrice.amount").alias("crossed"),
+        F.col("e.unitPrice.amount").alias("unit_price"), F.col("e.scrapedAt").alias("scraped_at"),
+    ]
+
+
 SHOWN_ENTRY_SQL = f"strftime(day, {ISO}) AS day, price, crossed, unit_price, strftime(scraped_at, {ISO}) AS scraped_at"
 
 
 @query("p7_history_projection", f"SELECT url, {SHOWN_ENTRY_SQL} FROM items")
 def _(v):
     shown = v.history().select("url", F.explode(history.projected_entries(F.col("history"))).alias("e"))
-    return shown.select("url", *SHOWN_ENTRY)
+    return shown.select("url", *shown_entry_columns())
 
 
 @query(
@@ -290,41 +308,50 @@ def _(v):
     )
 
 
-SUMMARY = ["keyword", F.col("productCount").alias("products"), F.col("lastScrape").alias("last_scrape")]
+def summary_columns():
+    return ["keyword", F.col("productCount").alias("products"), F.col("lastScrape").alias("last_scrape")]
+
+
 KEYWORD_SUMMARIES_SQL = f"""SELECT keyword, coalesce(product_count, 0) AS products, strftime(last_scrape, {ISO}) AS last_scrape
   FROM (SELECT keyword FROM keywords WHERE enabled) FULL JOIN keyword_stats USING (keyword)"""
 
 
 @query("p11_keyword_list_search", f"SELECT * FROM ({KEYWORD_SUMMARIES_SQL}) WHERE contains(keyword, 'kw_')")
 def _(v):
-    return summaries.matching_keywords(summaries.keyword_summaries(v.items(), v.keywords()), "KW_").select(*SUMMARY)
+    return summaries.matching_keywords(summaries.keyword_summaries(v.items(), v.keywords()), "KW_").select(*summary_columns())
+
+
+def tracked_columns():
+    return ["url", "id", "title", "image", F.col("price.amount").alias("price"), F.col("lastScrape").alias("last_scrape")]
 
 
-TRACKED = ["url", "id", "title", "image", F.col("price.amount").alias("price"), F.col("lastScrape").alias("last_scrape")]
 TRACKED_SQL = f"""SELECT url, rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=') AS id, nullif(title, '') AS title,
   image, price, strftime(scraped_at, {ISO}) AS last_scrape FROM (SELECT url FROM tracked_urls WHERE enabled) LEFT JOIN newest USING (url)"""
 
 
 @query("p12_tracked_list_search", f"SELECT * FROM ({TRACKED_SQL}) WHERE contains(lower(coalesce(title, '')), 't 1') OR contains(lower(url), 't 1')")
 def _(v):
-    return summaries.matching_tracked_urls(summaries.tracked_url_summaries(v.items(), v.tracked_urls()), "T 1").select(*TRACKED)
+    return summaries.matching_tracked_urls(summaries.tracked_url_summaries(v.items(), v.tracked_urls()), "T 1").select(*tracked_columns())
 
 
 FEATURES_SQL = f"SELECT url, CAST(day AS VARCHAR) AS day, observations, {millionths('mean_30d')} AS mean_30d, price FROM"
 NEWEST_FEATURES = f"{FEATURES_SQL} newest_features"
-FEATURES = ["url", as_date("day").alias("day"), "observations", in_millionths("meanPrice30d").alias("mean_30d"), "price"]
+
+
+def features_columns():
+    return ["url", as_date("day").alias("day"), "observations", in_millionths("meanPrice30d").alias("mean_30d"), "price"]
 
 
 @query("p13_fresh_products", f"{NEWEST_FEATURES}, as_of WHERE CAST(newest_features.day AS TIMESTAMP) >= now - INTERVAL 48 HOUR")
 def _(v):
     newest = scoring.latest_features(scoring.feature_rows(v.entries()))
-    return newest.filter(scoring.is_fresh(F.col("day"), v.as_of())).select(*FEATURES)
+    return newest.filter(scoring.is_fresh(F.col("day"), v.as_of())).select(*features_columns())
 
 
 @query("p14_enough_history", f"{NEWEST_FEATURES} WHERE observations >= 5 AND mean_30d IS NOT NULL")
 def _(v):
     newest = scoring.latest_features(scoring.feature_rows(v.entries()))
-    return newest.filter(scoring.has_enough_history(F.col("observations"), F.col("meanPrice30d"))).select(*FEATURES)
+    return newest.filter(scoring.has_enough_history(F.col("observations"), F.col("meanPrice30d"))).select(*features_columns())
 
 
 @query("p15_dead_redirects", "SELECT seq, url, final_url FROM fetch_log WHERE final_url = 'https://www.amazon.fr/'")
@@ -337,31 +364,34 @@ def _(v):
 
 @query("j1_products_with_scores", f"SELECT {SCORED_SQL}, sort_score, discount_ratio FROM scored")
 def _(v):
-    return scored_by_keyword(v).select(*SCORED, F.col("sortScore").alias("sort_score"), F.col("discountRatio").alias("discount_ratio"))
+    return scored_by_keyword(v).select(*scored_columns(), F.col("sortScore").alias("sort_score"), F.col("discountRatio").alias("discount_ratio"))
+
+
+def deal_columns():
+    return [*row_columns(), F.col("dealScore").alias("score"), F.col("predictedPrice").alias("predicted_price"), F.col("trendDirection").alias("trend")]
 
 
-DEAL = [*ROW, F.col("dealScore").alias("score"), F.col("predictedPrice").alias("predicted_price"), F.col("trendDirection").alias("trend")]
 DEAL_SQL = f"SELECT {ROW_SQL}, score, predicted_price, trend FROM deal_rows"
 
 
 @query("j2_k7_current_deals", DEAL_SQL)
 def _(v):
-    return summaries.current_deals(v.items(), v.scores()).orderBy(F.desc("dealScore"), "url").select(*DEAL)
+    return summaries.current_deals(v.items(), v.scores()).orderBy(F.desc("dealScore"), "url").select(*deal_columns())
 
 
 @query("j3_q4_k5_keyword_summaries", KEYWORD_SUMMARIES_SQL)
 def _(v):
-    return summaries.keyword_summaries(v.items(), v.keywords()).select(*SUMMARY)
+    return summaries.keyword_summaries(v.items(), v.keywords()).select(*summary_columns())
 
 
 @query("j4_q5_k6_tracked_url_summaries", TRACKED_SQL)
 def _(v):
-    return summaries.tracked_url_summaries(v.items(), v.tracked_urls()).select(*TRACKED)
+    return summaries.tracked_url_summaries(v.items(), v.tracked_urls()).select(*tracked_columns())
 
 
 @query("j5_tracked_observations", f"SELECT {DATED_SQL} FROM items WHERE url IN (SELECT url FROM tracked_urls WHERE enabled)")
 def _(v):
-    return v.items().join(summaries.enabled(v.tracked_urls()).select("url"), "url", "left_semi").select(*DATED)
+    return v.items().join(summaries.enabled(v.tracked_urls()).select("url"), "url", "left_semi").select(*dated_columns())
 
 
 def partly_missing(v: SampleViews) -> tuple[DataFrame, DataFrame]:
@@ -370,13 +400,16 @@ def partly_missing(v: SampleViews) -> tuple[DataFrame, DataFrame]:
     return v.items().filter(late), history.price_history(v.items().filter(~late), v.as_of())
 
 
-DETAIL = [
-    "url", "id", "keyword", "shop", "title", F.size("images").alias("images"), F.col("price.amount").alias("price"),
-    F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
-    F.col("deliveryDate").alias("delivery"), F.col("scrapedAt").alias("scraped_at"), F.col("dealScore").alias("score"),
-    F.col("predictedPrice").alias("predicted_price"), F.col("trendDirection").alias("trend"), F.col("isDeal").alias("is_deal"),
-    F.size("history").alias("entries"), F.col("firstSeen").alias("first_seen"), F.col("lastSeen").alias("last_seen"),
-]
+def detail_columns():
+    return [
+        "url", "id", "keyword", "shop", "title", F.size("images").alias("images"), F.col("price.amount").alias("price"),
+        F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
+        F.col("deliveryDate").alias("delivery"), F.col("scrapedAt").alias("scraped_at"), F.col("dealScore").alias("score"),
+        F.col("predictedPrice").alias("predicted_price"), F.col("trendDirection").alias("trend"), F.col("isDeal").alias("is_deal"),
+        F.size("history").alias("entries"), F.col("firstSeen").alias("first_seen"), F.col("lastSeen").alias("last_seen"),
+    ]
+
+
 DETAIL_FIELDS = f"""rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=') AS id, 'amazon' AS shop, CAST(2 AS BIGINT) AS images,
   score, predicted_price, trend, coalesce(score, -1) >= 10 AS is_deal"""
 
@@ -394,7 +427,7 @@ DETAIL_FIELDS = f"""rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/'
         FROM n FULL JOIN e USING (url) LEFT JOIN h USING (url) LEFT JOIN scores USING (url)""",
 )
 def _(v):
-    return catalog.product_details(*partly_missing(v), v.scores()).select(*DETAIL)
+    return catalog.product_details(*partly_missing(v), v.scores()).select(*detail_columns())
 
 
 FULL_DETAIL_SQL = f"""SELECT n.url, {DETAIL_FIELDS.replace('(url)', '(n.url)')}, n.keyword, coalesce(n.title, '') AS title, n.price, n.crossed, n.unit_price, n.delivery,
@@ -405,7 +438,7 @@ FULL_DETAIL_SQL = f"""SELECT n.url, {DETAIL_FIELDS.replace('(url)', '(n.url)')},
 @query("q2_product_detail", f"{FULL_DETAIL_SQL} WHERE n.url = 'https://www.amazon.fr/dp/U000000007/'")
 def _(v):
     url = "https://www.amazon.fr/dp/U000000007/"
-    return search.find_product(v.items(), v.history(), v.scores(), url).select(*DETAIL)
+    return search.find_product(v.items(), v.history(), v.scores(), url).select(*detail_columns())
 
 
 @query(
@@ -414,7 +447,7 @@ def _(v):
 )
 def _(v):
     details = summaries.favorite_details(v.items(), v.history(), v.scores(), v.favorites())
-    return details.select(*DETAIL, as_iso("addedAt").alias("added_at"))
+    return details.select(*detail_columns(), as_iso("addedAt").alias("added_at"))
 
 
 @query("q7_j8_is_favorite", "SELECT url, url IN (SELECT url FROM favorites) AS is_favorite FROM newest")
@@ -428,7 +461,10 @@ def _(v):
     return history.without_keys(v.history(), v.scores()).select("url")
 
 
-KEYWORD_DEALS = ["keyword", F.col("productCount").alias("products"), F.col("totalDeals").alias("total_deals")]
+def keyword_deals_columns():
+    return ["keyword", F.col("productCount").alias("products"), F.col("totalDeals").alias("total_deals")]
+
+
 BEST_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, url) AS rank,
   count(*) OVER (PARTITION BY keyword) AS total_deals FROM deal_rows) WHERE rank <= 3"""
 
@@ -440,7 +476,7 @@ BEST_SQL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword O
 )
 def _(v):
     board = search.dashboard(v.items(), v.history(), v.scores(), v.keywords())
-    return board.keywords.select(*KEYWORD_DEALS, F.posexplode_outer("deals").alias("position", "deal")).select(
+    return board.keywords.select(*keyword_deals_columns(), F.posexplode_outer("deals").alias("position", "deal")).select(
         "keyword", "products", "total_deals", F.coalesce(F.col("position") + 1, F.lit(0)).alias("rank"), "deal.url",
         F.col("deal.dealScore").alias("score"),
     )
@@ -466,7 +502,7 @@ def _(v):
        FROM histories""",
 )
 def _(v):
-    return v.history().select(*HISTORY)
+    return v.history().select(*history_columns())
 
 
 @query(
@@ -476,12 +512,12 @@ def _(v):
 def _(v):
     return v.history().select("url", F.posexplode("history").alias("at", "e")).select("url", F.col("at") + 1, "e.*").toDF(
         "url", "position", *history.ENTRY_FIELDS
-    ).select(*ENTRY, "position")
+    ).select(*entry_columns(), "position")
 
 
 @query("a2_latest_per_url", f"SELECT {ROW_SQL} FROM newest")
 def _(v):
-    return snapshots.latest(v.items(), "url").select(*ROW)
+    return snapshots.latest(v.items(), "url").select(*row_columns())
 
 
 @query("a3_latest_fields", f"SELECT url, title, image, price, strftime(scraped_at, {ISO}) AS scraped_at FROM newest")
@@ -507,10 +543,15 @@ def _(v):
 
 
 SEARCH = {"q": "product", "max": "70", "sort": "price_asc", "page": "1"}
-TOTALS = [
-    "total", F.col("pageCount").alias("page_count"), F.col("keywordTotal").alias("keyword_total"),
-    F.col("keywordDealCount").alias("keyword_deals"),
-]
+
+
+def totals_columns():
+    return [
+        "total", F.col("pageCount").alias("page_count"), F.col("keywordTotal").alias("keyword_total"),
+        F.col("keywordDealCount").alias("keyword_deals"),
+    ]
+
+
 TOTALS_SQL = """SELECT count(*) FILTER (contains(lower(title), 'product') AND price <= 70) AS total,
   CAST(ceil(count(*) FILTER (contains(lower(title), 'product') AND price <= 70) / 24.0) AS BIGINT) AS page_count,
   count(*) AS keyword_total, count(*) FILTER (is_deal) AS keyword_deals FROM scored WHERE keyword = 'kw3'"""
@@ -518,7 +559,7 @@ TOTALS_SQL = """SELECT count(*) FILTER (contains(lower(title), 'product') AND pr
 
 @query("a7_search_totals", TOTALS_SQL)
 def _(v):
-    return search.search_products(v.items(), v.scores(), "kw3", search.ProductQuery.from_params(**SEARCH)).totals.select(*TOTALS)
+    return search.search_products(v.items(), v.scores(), "kw3", search.ProductQuery.from_params(**SEARCH)).totals.select(*totals_columns())
 
 
 @query(
@@ -529,7 +570,7 @@ def _(v):
 )
 def _(v):
     result = search.search_products(v.items(), v.scores(), "kw3", search.ProductQuery.from_params(**SEARCH))
-    totals = result.totals.select(*TOTALS)
+    totals = result.totals.select(*totals_columns())
     return result.items.select(
         "url", "title", F.col("price.amount").alias("price"), F.col("dealScore").alias("score"), F.col("isDeal").alias("is_deal"),
         *[totals.select(name).scalar().alias(name) for name in totals.columns],
@@ -602,7 +643,7 @@ def _(v):
 
 @query("w1_w2_w3_feature_rows", f"{FEATURES_SQL} features")
 def _(v):
-    return scoring.feature_rows(v.entries()).select(*FEATURES)
+    return scoring.feature_rows(v.entries()).select(*features_columns())
 
 
 @query(
@@ -612,12 +653,12 @@ def _(v):
               row_number() OVER (PARTITION BY url ORDER BY day) - 1 AS observations FROM supplier_items""",
 )
 def _(v):
-    return scoring.feature_rows(v.supplier_entries()).select(*FEATURES)
+    return scoring.feature_rows(v.supplier_entries()).select(*features_columns())
 
 
 @query("w4_latest_features", NEWEST_FEATURES)
 def _(v):
-    return scoring.latest_features(scoring.feature_rows(v.entries())).select(*FEATURES)
+    return scoring.latest_features(scoring.feature_rows(v.entries())).select(*features_columns())
 
 
 @query(
@@ -641,7 +682,7 @@ def _(v):
     recent = history.recent_history(v.history(), fixed.HISTORY_LIMIT_FAVORITES)
     return recent.select(
         "url", F.explode("recent").alias("e"), F.col("totalCount").alias("total"), F.col("omittedCount").alias("omitted")
-    ).select("url", "e.*", "total", "omitted").select(*ENTRY, "total", "omitted")
+    ).select("url", "e.*", "total", "omitted").select(*entry_columns(), "total", "omitted")
 
 
 @query(
@@ -1045,4 +1086,4 @@ def _(v):
     events = v.table("events").schema
     stream = v.spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(v.folder)
     save_stream(visits(stream), tables, f"{tables.folder}/stream").awaitTermination()
-    return tables.items().select(*DATED)
+    return tables.items().select(*dated_columns())

@@ -26,15 +26,13 @@ items AS (
 as_of AS (SELECT max(ts) AS now FROM events),
 windows AS (
   SELECT url, day, price,
-         list(price) FILTER (WHERE price IS NOT NULL)
-           OVER (PARTITION BY url ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS month,
-         count(*) OVER (PARTITION BY url ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS observations
+         sum(floor(price * 16777216) / 16777216) OVER month AS coarse, sum(price - floor(price * 16777216) / 16777216) OVER month AS rest,
+         count(price) OVER month AS priced, row_number() OVER (PARTITION BY url ORDER BY day) - 1 AS observations
   FROM items
+  WINDOW month AS (PARTITION BY url ORDER BY day RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)
 ),
 features AS (
-  SELECT url, day, price, observations,
-         CASE WHEN len(month) > 0 THEN list_sum(month) / len(month) END AS mean_30d
-  FROM windows WHERE price IS NOT NULL
+  SELECT url, day, price, observations, (coarse + rest) / nullif(priced, 0) AS mean_30d FROM windows WHERE price IS NOT NULL
 ),
 newest_features AS (
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY day DESC) AS rn FROM features) WHERE rn = 1

@@ -1,6 +1,6 @@
 """The stored tables as parquet folders, and the writes that the nightly job and the crawl make."""
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,13 +57,13 @@ class Tables:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self._read(SCHEMAS[name], name, f"v={done[-1]}")
 
-    def replace(self, name: str, rows: DataFrame, count: Column = F.count(F.lit(1))) -> int:
-        """Write a new version and return `count` over its rows, taken while writing."""
+    def replace(self, name: str, rows: DataFrame, counted: str = "count(1)") -> int:
+        """Write a new version and return a count over its rows, taken while writing."""
         version = max(self._versions(name), default=0) + 1
         seen = Observation()
         columns = [F.col(field.name).cast(field.dataType) for field in SCHEMAS[name]]
-        counted = rows.observe(seen, count.alias("rows")).select(*columns)
-        counted.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
+        watched = rows.observe(seen, F.expr(counted).alias("rows")).select(*columns)
+        watched.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
         return seen.get["rows"]
 
     def items(self) -> DataFrame:
@@ -104,7 +104,7 @@ class Tables:
 
     def save_history(self, fresh: DataFrame) -> int:
         """Upsert by url; returns the number of products that came in."""
-        return self.replace("price_history", upsert(self.read("price_history"), fresh), F.count_if("fresh"))
+        return self.replace("price_history", upsert(self.read("price_history"), fresh), "count_if(fresh)")
 
     def save_scores(self, scores: DataFrame) -> int:
         """The scores of this run, and no others, even if there are none."""
