@@ -1,12 +1,12 @@
 """Counts and lists over keywords, tracked urls and favourites."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money
-from pricetide.operators.catalog import deals, product_details, product_summary
-from pricetide.operators.snapshots import latest, latest_usable, observed_for_keyword, top_per_key
+from pricetide.operators.catalog import SCORE_FIELDS, deals, product_details, product_summary
+from pricetide.operators.snapshots import ROW_FIELDS, latest, latest_usable, observed_for_keyword
 
 
 def enabled(dimension: DataFrame) -> DataFrame:
@@ -51,36 +51,38 @@ def keyword_totals(scored: DataFrame, *keys: str) -> DataFrame:
 def current_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
     """Scored deals at their newest snapshot under any keyword.
 
-    Rows of other products are dropped before the newest one is looked for: both go by url, so the result is the same
-    and only deals are grouped.
+    Rows meet the scores before the newest one is looked for: both go by url, so the result is the same, and only
+    products that are deals get grouped.
     """
-    good = deals(scores)
-    seen = items.filter(F.col("keyword").isNotNull()).join(good.select("url"), "url", "left_semi")
-    return latest_usable(seen, "url").join(good, "url")
+    seen = items.filter(F.col("keyword").isNotNull()).join(deals(scores), "url")
+    return latest_usable(seen, "url", fields=(*ROW_FIELDS, *SCORE_FIELDS))
 
 
-def keyword_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
+def keyword_deals(items: DataFrame, scores: DataFrame, parts: int = 32) -> DataFrame:
     """All keywords with products, their number of deals and the best three; keywords without deals stay.
 
-    Deals are counted apart from the ranking, so that the ranking may drop rows early.
+    One pass counts and ranks. It goes over `parts` shares of each keyword first, so that a keyword with a third of
+    all deals is spread over that many tasks, and hands at most three rows per share on.
     """
-    found = current_deals(items, scores)
-    counted = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("totalDeals"))
-    order = [F.desc("dealScore"), F.asc("url")]
-    best = top_per_key(found, "keyword", order, fixed.DEALS_SHOWN_PER_KEYWORD, spread="url")
-    shown = product_summary(best, "rank").groupBy("keyword").agg(
-        F.sort_array(F.collect_list(F.struct("rank", F.struct(*product_summary(best).columns).alias("deal")))).alias("ranked")
+    found = product_summary(current_deals(items, scores))
+    share = Window.partitionBy("keyword", "part").orderBy(F.desc("dealScore"), "url")
+    ranked = found.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(parts))).withColumn("rank", F.row_number().over(share))
+    candidate = F.struct((-F.col("dealScore")).alias("order"), "url", F.struct(*found.columns).alias("deal"))
+    best = F.collect_list(F.when(F.col("rank") <= fixed.DEALS_SHOWN_PER_KEYWORD, candidate))
+    shares = ranked.groupBy("keyword", "part").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
+    board = shares.groupBy("keyword").agg(
+        F.sum("n").alias("totalDeals"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, fixed.DEALS_SHOWN_PER_KEYWORD).alias("best"),
     )
     return (
         keyword_stats(items)
         .select("keyword", "productCount")
-        .join(counted, "keyword", "left")
-        .join(shown, "keyword", "left")
+        .join(board, "keyword", "left")
         .select(
             "keyword",
             "productCount",
             F.coalesce("totalDeals", F.lit(0)).alias("totalDeals"),
-            F.coalesce(F.transform("ranked", lambda x: x["deal"]), F.array()).alias("deals"),
+            F.coalesce(F.transform("best", lambda x: x["deal"]), F.array()).alias("deals"),
         )
         .orderBy(F.desc("totalDeals"), F.collate("keyword", "fr"))
     )
@@ -98,13 +100,15 @@ def without_deals(dashboard_rows: DataFrame) -> DataFrame:
 
 def counters(keywords: DataFrame, history: DataFrame, scores: DataFrame) -> DataFrame:
     """One row of totals. Deals count with or without a keyword."""
-    spark = keywords.sparkSession
-    products = history.agg(F.count(F.lit(1)).alias("n"), F.max("updatedAt").alias("at"))
-    return spark.range(1).select(
-        enabled(keywords).agg(F.count(F.lit(1))).scalar().alias("keywordCount"),
-        products.select("n").scalar().alias("productCount"),
-        deals(scores).agg(F.count(F.lit(1))).scalar().alias("dealCount"),
-        dates.iso(products.select("at").scalar()).alias("lastUpdate"),
+    products = history.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("updatedAt").alias("at")).alias("found"))
+    return (
+        keywords.sparkSession.range(1)
+        .select(
+            enabled(keywords).agg(F.count(F.lit(1))).scalar().alias("keywordCount"),
+            products.scalar().alias("products"),
+            deals(scores).agg(F.count(F.lit(1))).scalar().alias("dealCount"),
+        )
+        .select("keywordCount", F.col("products.n").alias("productCount"), "dealCount", dates.iso(F.col("products.at")).alias("lastUpdate"))
     )
 
 

@@ -570,11 +570,11 @@ def _(v):
 )
 def _(v):
     result = search.search_products(v.items(), v.scores(), "kw3", search.ProductQuery.from_params(**SEARCH))
-    totals = result.totals.select(*totals_columns())
+    totals = result.totals.select(F.struct(*totals_columns())).scalar()
     return result.items.select(
         "url", "title", F.col("price.amount").alias("price"), F.col("dealScore").alias("score"), F.col("isDeal").alias("is_deal"),
-        *[totals.select(name).scalar().alias(name) for name in totals.columns],
-    )
+        totals.alias("totals"),
+    ).select("url", "title", "price", "score", "is_deal", "totals.*")
 
 
 @query(
