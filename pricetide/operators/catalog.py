@@ -7,6 +7,7 @@ from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
 from pricetide.operators import history as hist
 from pricetide.operators.snapshots import ROW_FIELDS, latest
+from pricetide.session import use_checkpoints
 
 SCORE_FIELDS = ("dealScore", "predictedPrice", "trendDirection")
 
@@ -31,16 +32,17 @@ def deals(scores: DataFrame) -> DataFrame:
     return score_columns(scores).filter(F.col("dealScore") >= fixed.DEAL_SCORE_THRESHOLD)
 
 
-def sort_order(sort: str) -> list[Column]:
+def sort_order(sort: str, backwards: bool = False) -> list[Column]:
     """K1: four total orders; each ends on the url."""
-    price, url = F.col("price.amount"), F.asc("url")
-    orders = {
-        "deals": [F.desc("isDeal"), F.desc("sortScore"), price.asc(), url],
-        "price_asc": [price.asc(), url],
-        "price_desc": [price.desc(), url],
-        "discount": [F.desc("discountRatio"), url],
+    price = ("price.amount", False)
+    descending = {
+        "deals": [("isDeal", True), ("sortScore", True), price],
+        "price_asc": [price],
+        "price_desc": [("price.amount", True)],
+        "discount": [("discountRatio", True)],
     }
-    return orders[sort]
+    columns = [*descending[sort], ("url", False)]
+    return [F.desc(name) if down != backwards else F.asc(name) for name, down in columns]
 
 
 def matches(query) -> Column:
@@ -57,31 +59,46 @@ def matches(query) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def page_rows(products: DataFrame, sort: str, page: int, total: int | None = None) -> DataFrame:
+def page_rows(products: DataFrame, sort: str, page: int, total: int | None = None, far: int = 100_000) -> DataFrame:
     """K2: one page in the given order. Spark keeps only the rows up to the page while it sorts.
 
     With `total` known, a page in the far half is read from the other end, so the last page costs what the first does.
+    Beyond `far` rows from either end, `_far_rows` takes over: no task then holds more than its share of the order.
     """
     order, size = sort_order(sort), fixed.PAGE_SIZE
     skip = (page - 1) * size
-    if total is None or skip < total / 2:
-        return products.orderBy(*order).offset(skip).limit(size)
-    behind = max(total - skip - size, 0)
-    count = min(size, total - skip)
-    if count <= 0:
+    if total is not None:
+        count = min(size, total - skip)
+        behind = total - skip - count
+        if count <= 0:
+            return products.limit(0)
+        if behind < min(skip, far):
+            return products.orderBy(*sort_order(sort, backwards=True)).offset(behind).limit(count).orderBy(*order)
+    if skip > far:
+        return _far_rows(products, order, skip, size).orderBy(*order)
+    return products.orderBy(*order).offset(skip).limit(size)
+
+
+def _far_rows(products: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
+    """Rows skip to skip + size of a long order, out of a distributed sort.
+
+    Url and sort columns are sorted into ranges and written to the checkpoint folder, so that the ranges stay as they
+    are. One count per range tells which of them hold the page, and only those are read again.
+    """
+    use_checkpoints(products.sparkSession)
+    keys = products.select("url", F.struct("price.amount").alias("price"), "isDeal", "sortScore", "discountRatio")
+    ranges = keys.orderBy(*order).checkpoint().withColumn("range", F.spark_partition_id())
+    counts = sorted(ranges.groupBy("range").count().collect())
+    before, wanted, start = 0, [], None
+    for number, count in counts:
+        if before < skip + size and before + count > skip:
+            wanted.append(number)
+            start = before if start is None else start
+        before += count
+    if not wanted:
         return products.limit(0)
-    return products.orderBy(*_reversed(sort)).offset(behind).limit(count).orderBy(*order)
-
-
-def _reversed(sort: str) -> list[Column]:
-    price, url = F.col("price.amount"), F.desc("url")
-    orders = {
-        "deals": [F.asc("isDeal"), F.asc("sortScore"), price.desc(), url],
-        "price_asc": [price.desc(), url],
-        "price_desc": [price.asc(), url],
-        "discount": [F.asc("discountRatio"), url],
-    }
-    return orders[sort]
+    found = ranges.filter(F.col("range").isin(wanted)).orderBy(*order).offset(skip - start).limit(size)
+    return products.join(F.broadcast(found.select("url")), "url", "left_semi")  # at most one page of urls
 
 
 def page_count(total: Column) -> Column:

@@ -33,3 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="pricetide-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make `checkpoint()` work: Spark sets its folder from `spark.checkpoint.dir`; where that is unset, we do."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -5,6 +5,8 @@ The given data has no prices of tracked products, so visits are read out of `eve
 block set in. Every row of the source goes in.
 """
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ def _text(column: str) -> Column:
 
 def visits(rows: DataFrame) -> DataFrame:
     """Snapshot log from rows shaped like `events`; works on streams too."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    value, kind = F.col("value"), F.col("event_type")
+    # Parsed in a step of its own: the columns below use it several times.
+    rows = rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k, value, kind = F.col("k"), F.col("value"), F.col("event_type")
     images = [
         F.concat(F.lit("https://img.example/images/I/u"), _text("user_id"), F.lit("._AC_US40_.jpg")),
         F.concat(F.lit("https://img.example/images/I/u"), _text("user_id"), F.lit(".jpg")),
@@ -49,27 +52,47 @@ def visits(rows: DataFrame) -> DataFrame:
     )
 
 
+def once(build):
+    """Build a view once per `SampleViews`, so that a query that uses it twice shares it."""
+
+    @functools.wraps(build)
+    def built(self, *args):
+        key = (build.__name__, *args)
+        if key not in self.built:
+            self.built[key] = build(self, *args)
+        return self.built[key]
+
+    return built
+
+
 class SampleViews:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder
+        self.built = {}
 
+    @once
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @once
     def items_log(self) -> DataFrame:
         return visits(self.table("events"))
 
+    @once
     def items(self) -> DataFrame:
         return daily_snapshots(self.items_log())
 
+    @once
     def as_of(self) -> Column:
         """The newest visit's time stands for now."""
         return self.table("events").agg(F.max("ts").cast("timestamp")).scalar()
 
+    @once
     def history(self) -> DataFrame:
         return price_history(self.items(), self.as_of())
 
+    @once
     def entries(self) -> DataFrame:
         """The long form of the histories is what the items hold; no array needs building for it."""
         return self.items().select("url", "day", "price", "crossedOutPrice", "unitPrice", "scrapedAt")
@@ -77,9 +100,11 @@ class SampleViews:
     def stored_entries(self) -> DataFrame:
         return history_entries(self.history())
 
+    @once
     def scores(self) -> DataFrame:
         return deal_scores(self.entries(), self.as_of())
 
+    @once
     def supplier_entries(self) -> DataFrame:
         """The second series: what one unit cost at each supplier on each day."""
         log = self.table("lineitem").select(
@@ -92,6 +117,7 @@ class SampleViews:
         )
         return daily_snapshots(log)
 
+    @once
     def keywords(self) -> DataFrame:
         """Those of the items and one nobody has searched for; on, off or not said by their number."""
         seen = self.items_log().filter(F.col("keyword").isNotNull()).select("keyword").distinct()
@@ -161,14 +187,14 @@ class SampleViews:
 
     def fetch_log(self) -> DataFrame:
         """Where each visit ended up: mostly at its product, now and then at the front page or a block page."""
-        k = F.get_json_object("props", "$.k").cast("int")
-        url = product_url(F.col("user_id"))
+        events = self.table("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+        k, url = F.col("k"), product_url(F.col("user_id"))
         final = (
             F.when(k % 20 == 3, F.lit("https://www.amazon.fr/"))
             .when(k % 20 == 7, F.lit("https://www.amazon.fr/errors/validateCaptcha?x=1"))
             .otherwise(F.concat(url, F.lit("?th=1")))
         )
-        return self.table("events").select(url.alias("url"), final.alias("final_url"), F.col("event_id").alias("seq"))
+        return events.select(url.alias("url"), final.alias("final_url"), F.col("event_id").alias("seq"))
 
     def product_pages(self) -> DataFrame:
         """The given pages, each with a product block whose contents follow from the page's number."""

@@ -40,12 +40,12 @@ class Tables:
         files, path = self._path(*parts)
         return files.exists(path)
 
+    def _names(self, *parts: str) -> list[str]:
+        files, path = self._path(*parts)
+        return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
     def _versions(self, name: str) -> list[int]:
-        files, path = self._path(name)
-        if not files.exists(path):
-            return []
-        found = [status.getPath().getName() for status in files.listStatus(path)]
-        return sorted(int(version[2:]) for version in found if version.startswith("v="))
+        return sorted(int(found[2:]) for found in self._names(name) if found.startswith("v="))
 
     def _read(self, table_schema: StructType, *parts: str) -> DataFrame:
         return self.spark.read.schema(table_schema).parquet("/".join((self.folder, *parts)))
@@ -72,24 +72,37 @@ class Tables:
             return self.spark.createDataFrame([], schema.ITEMS_RAW)
         return self._read(schema.ITEMS_RAW, "items_raw")
 
-    def save_snapshots(self, log: DataFrame, batch: str, files_per_day: int = 16) -> None:
-        """Merge visits into their days. `batch` names the input; saving the same batch again changes nothing.
+    def save_snapshots(self, log: DataFrame, batch: str) -> None:
+        """Merge visits into their days. `batch` names the input; saving the same batch again changes nothing."""
+        fields = [field.name for field in schema.SNAPSHOT_LOG]
+        # One row per calendar day, so small enough to broadcast whatever the log holds; it prunes day folders.
+        days = F.broadcast(log.select(utc_day("scrapedAt").alias("day")).distinct())
+        touched = self.items().join(days, "day", "left_semi")
+        self._replace_days(daily_snapshots(log.select(*fields).unionByName(touched.select(*fields))), batch)
+
+    def migrate_legacy(self) -> int:
+        """Rewrite the days that hold legacy values; returns the number of rows changed."""
+        checked = migrated_items(self.items())
+        days = F.broadcast(checked.filter("changed").select("day").distinct())  # one row per calendar day
+        seen = Observation()
+        rows = checked.join(days, "day", "left_semi").observe(seen, F.count_if("changed").alias("rows"))
+        batch = f"migration-{len(self._names('saved'))}"
+        self._replace_days(rows.select(*[field.name for field in schema.ITEMS_RAW]), batch)
+        return seen.get["rows"]
+
+    def _replace_days(self, rows: DataFrame, batch: str, files_per_day: int = 16) -> None:
+        """Put whole days in place of the stored ones.
 
-        The merged days are written beside the table first and copied in from there. If the copy breaks off, a repeat
-        starts from the finished merge, not from the half-replaced days.
+        The days are written beside the table first and copied in from there. If the copy breaks off, a repeat starts
+        from the finished rows, not from half-replaced days.
         """
-        done, merged_at = ("saved", batch), ("merged", batch)
+        done, staged = ("saved", batch), ("merged", batch)
         if self._exists(*done):
             return
-        if not self._exists(*merged_at, "_SUCCESS"):
-            fields = [field.name for field in schema.SNAPSHOT_LOG]
-            # One row per calendar day, so small enough to broadcast whatever the log holds; it prunes day folders.
-            days = F.broadcast(log.select(utc_day("scrapedAt").alias("day")).distinct())
-            touched = self.items().join(days, "day", "left_semi")
-            merged = daily_snapshots(log.select(*fields).unionByName(touched.select(*fields)))
-            merged.write.mode("overwrite").parquet("/".join((self.folder, *merged_at)))
+        if not self._exists(*staged, "_SUCCESS"):
+            rows.write.mode("overwrite").parquet("/".join((self.folder, *staged)))
         (
-            self._read(schema.ITEMS_RAW, *merged_at)
+            self._read(schema.ITEMS_RAW, *staged)
             .repartition("day", F.pmod(F.xxhash64("url"), F.lit(files_per_day)))
             .sortWithinPartitions("day", "url")
             .write.mode("overwrite")
@@ -99,7 +112,7 @@ class Tables:
         )
         files, path = self._path(*done)
         files.create(path).close()
-        files, path = self._path(*merged_at)
+        files, path = self._path(*staged)
         files.delete(path, True)
 
     def save_history(self, fresh: DataFrame) -> int:

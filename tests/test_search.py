@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pricetide import fixed
 from pricetide.operators import catalog
-from pricetide.plans.search import InvalidProductQuery, ProductQuery, search_clamped, search_products
+from pricetide.plans.search import InvalidProductQuery, ProductQuery, scored_products, search_clamped, search_products
 
 ITEMS = "url string, title string, price struct<amount:double,currency:string>, crossedOutPrice struct<amount:double,currency:string>, " \
     "unitPrice struct<amount:double,unit:string>, deliveryDate string, images array<string>, shop string, keyword string, scrapedAt timestamp, day date"
@@ -95,6 +95,17 @@ def test_pages_in_order(shop, sort):
     assert [row.url for row in second.collect()] == expected[24:48]
 
 
+@pytest.mark.parametrize("sort", fixed.SORTS)
+@pytest.mark.parametrize("total", [None, 52])
+def test_far_pages(shop, sort, total):
+    """With `far` at zero every page but those at the ends comes out of the distributed sort."""
+    scored = scored_products(*shop, "k")
+    expected = ordered(shop, sort)
+    for page in (2, 3, 4):
+        rows = catalog.page_rows(scored, sort, page, total, far=0).collect()
+        assert [row.url for row in rows] == expected[(page - 1) * 24 : page * 24]
+
+
 def test_clamp():
     assert catalog.clamp_page(9, 49) == 3 and catalog.clamp_page(2, 49) == 2
     with pytest.raises(LookupError):

@@ -130,6 +130,14 @@ def test_migration(spark):
     assert not (rows["b"].changed or rows["c"].changed or rows["d"].changed) and rows["c"].images == [] and rows["d"].images is None
 
 
+def test_migration_of_the_table(spark, tables):
+    rows = [visit("a", DAY, 1, price=(1.0, "€")), visit("b", DAY, 2, price=(1.0, "EUR")), visit("c", DAY + dt.timedelta(days=1), 3, price=(1.0, "$"))]
+    tables.save_snapshots(log_of(spark, rows), "1")
+    assert tables.migrate_legacy() == 2
+    assert sorted((row.url, row.price.currency) for row in tables.items().collect()) == [("a", "EUR"), ("b", "EUR"), ("c", "USD")]
+    assert tables.migrate_legacy() == 0 and tables.items().count() == 3
+
+
 def test_stream_in_batches_and_after_a_restart(spark, tables):
     source, checkpoint = tempfile.mkdtemp(prefix="run-"), tempfile.mkdtemp(prefix="run-")
 
