@@ -4,12 +4,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Results depend on the first; the others let Spark re-plan joins and split hot keys at run time.
+# Results depend on the first. The next three let Spark re-plan joins and split hot keys at run time. The last one:
+# the JVM never compiles a method of more than 8000 bytes, and long text expressions make such methods; Spark then
+# does better with its operators one by one.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
