@@ -4,13 +4,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide import fixed
-from pricetide.functions import money
+from pricetide.functions import arrays, money
 
 
 # Steps of 2^-24: sums of up to 2^29 in these steps are exact.
 _STEP = 2.0**24
 
 
+def _coarse(amount: Column) -> Column:
+    return F.floor(amount * _STEP) / _STEP
+
+
 def feature_rows(entries: DataFrame) -> DataFrame:
     """Every priced observation with the mean of the 30 days before it and the number of observations before it.
 
@@ -22,7 +26,7 @@ def feature_rows(entries: DataFrame) -> DataFrame:
     and a tiny rest.
     """
     amount = F.col("price.amount")
-    coarse = F.floor(amount * _STEP) / _STEP
+    coarse = _coarse(amount)
     by_day = Window.partitionBy("url").orderBy(F.unix_date("day"))
     month = by_day.rangeBetween(-fixed.MEAN_WINDOW_DAYS, -1)
     mean = (F.sum(coarse).over(month) + F.sum(amount - coarse).over(month)) / F.nullif(F.count(amount).over(month), F.lit(0))
@@ -80,9 +84,7 @@ def has_enough_history(observations: Column, mean_price: Column) -> Column:
     return (observations >= fixed.MIN_OBSERVATIONS) & mean_price.isNotNull()
 
 
-def deal_scores(entries: DataFrame, as_of: Column) -> DataFrame:
-    """Q10: scores of all products with a fresh price and enough history. Replaces the stored table as a whole."""
-    newest = latest_features(feature_rows(entries))
+def _scores(newest: DataFrame, as_of: Column) -> DataFrame:
     mean, price = F.col("meanPrice30d"), F.col("price")
     return newest.filter(is_fresh(F.col("day"), as_of) & has_enough_history(F.col("observations"), mean)).select(
         "url",
@@ -93,3 +95,62 @@ def deal_scores(entries: DataFrame, as_of: Column) -> DataFrame:
         "trendDirection",
         as_of.alias("computedAt"),
     )
+
+
+def deal_scores(entries: DataFrame, as_of: Column) -> DataFrame:
+    """Q10 from rows: scores of all products with a fresh price and enough history.
+
+    Replaces the stored table as a whole (S5).
+    """
+    return _scores(latest_features(feature_rows(entries)), as_of)
+
+
+def deal_scores_of_histories(history: DataFrame, as_of: Column) -> DataFrame:
+    """Q10 from stored histories: the same scores, without a shuffle.
+
+    A history row holds all of its product's days in order, so everything is computed within the row, and only for the
+    newest price. Products without a fresh price are dropped before anything is summed.
+    """
+
+    def total(array, value):
+        return F.aggregate(array, F.lit(0.0), lambda sum_so_far, entry: sum_so_far + value(entry))
+
+    priced = F.filter("history", lambda entry: entry["price"]["amount"].isNotNull())
+    fresh = (
+        history.select("url", "history", priced.alias("priced"))
+        .withColumn("newest", arrays.last_or_null(F.col("priced")))
+        .filter(is_fresh(F.col("newest.day"), as_of))
+    )
+    day, amount = F.col("newest.day"), lambda entry: entry["price"]["amount"]
+    month = F.filter(
+        "priced", lambda entry: (entry["day"] < day) & (F.date_diff(day, entry["day"]) <= fixed.MEAN_WINDOW_DAYS)
+    )
+    before = F.filter("history", lambda entry: entry["day"] < day)
+    start = arrays.first_or_null(F.col("priced"))["day"]
+    points = F.transform(
+        "priced", lambda entry: F.struct(F.date_diff(entry["day"], start).alias("x"), amount(entry).alias("y"))
+    )
+    summed = (
+        fresh.select("url", "newest", month.alias("month"), F.size(before).alias("observations"), points.alias("points"))
+        .withColumns(
+            {
+                "meanPrice30d": (
+                    total("month", lambda entry: _coarse(amount(entry)))
+                    + total("month", lambda entry: amount(entry) - _coarse(amount(entry)))
+                )
+                / F.nullif(F.size("month"), F.lit(0)),
+                "meanX": total("points", lambda point: point["x"]) / F.size("points"),
+                "meanPrice": total("points", lambda point: point["y"]) / F.size("points"),
+            }
+        )
+    )
+    x, y = F.col("meanX"), F.col("meanPrice")
+    slope = F.try_divide(
+        total("points", lambda point: (point["x"] - x) * (point["y"] - y)),
+        total("points", lambda point: (point["x"] - x) * (point["x"] - x)),
+    )
+    newest = summed.select(
+        "url", "newest.day", "meanPrice30d", "observations", F.col("newest.price.currency").alias("currency"),
+        F.col("newest.price.amount").alias("price"), trend(slope, y).alias("trendDirection"),
+    )
+    return _scores(newest, as_of)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import Column, DataFrame
 
-from pricetide.operators.history import history_entries, price_history
-from pricetide.operators.scoring import deal_scores
+from pricetide.operators.history import price_history
+from pricetide.operators.scoring import deal_scores_of_histories
 from pricetide.sources.tables import Tables
 
 
@@ -21,7 +21,7 @@ def refine_changed(tables: Tables, changed: DataFrame, as_of: Column) -> int:
 
 def score(tables: Tables, as_of: Column) -> int:
     """Q10: score from the stored histories, which may hold products without recent snapshots."""
-    return tables.save_scores(deal_scores(history_entries(tables.read("price_history")), as_of))
+    return tables.save_scores(deal_scores_of_histories(tables.read("price_history"), as_of))
 
 
 def refine_and_score(tables: Tables, as_of: Column) -> tuple[int, int]:

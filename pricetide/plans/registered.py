@@ -762,15 +762,24 @@ def _(v):
 # Scalars over whole tables -----------------------------------------------------------------------------------------
 
 
-@query(
-    "c2_q10_deal_scores",
-    "SELECT url, score, predicted_price, actual_price, currency, trend, strftime(now, " + ISO + ") AS computed_at FROM scores, as_of",
-)
-def _(v):
-    return v.scores().select(
+SCORES_SQL = "SELECT url, score, predicted_price, actual_price, currency, trend, strftime(now, " + ISO + ") AS computed_at FROM scores, as_of"
+
+
+def score_columns():
+    return [
         "url", "score", F.col("predictedPrice").alias("predicted_price"), F.col("actualPrice").alias("actual_price"), "currency",
         F.col("trendDirection").alias("trend"), as_iso("computedAt").alias("computed_at"),
-    )
+    ]
+
+
+@query("c2_q10_deal_scores", SCORES_SQL)
+def _(v):
+    return v.scores().select(*score_columns())
+
+
+@query("q10_scores_of_histories", SCORES_SQL)
+def _(v):
+    return scoring.deal_scores_of_histories(v.history(), v.as_of()).select(*score_columns())
 
 
 @query(
