@@ -115,10 +115,12 @@ def deal_scores_of_histories(history: DataFrame, as_of: Column) -> DataFrame:
     def total(array, value):
         return F.aggregate(array, F.lit(0.0), lambda sum_so_far, entry: sum_so_far + value(entry))
 
+    # Exploding an array of one keeps its element a column of its own. Spark would otherwise copy the expression behind
+    # it into the filters and the lambdas below and compute it once per entry.
     priced = F.filter("history", lambda entry: entry["price"]["amount"].isNotNull())
     fresh = (
-        history.select("url", "history", priced.alias("priced"))
-        .withColumn("newest", arrays.last_or_null(F.col("priced")))
+        history.select("url", "history", F.explode(F.array(priced)).alias("priced"))
+        .select("url", "history", "priced", F.explode(F.array(arrays.last_or_null(F.col("priced")))).alias("newest"))
         .filter(is_fresh(F.col("newest.day"), as_of))
     )
     day, amount = F.col("newest.day"), lambda entry: entry["price"]["amount"]
