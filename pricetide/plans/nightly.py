@@ -4,13 +4,17 @@ from pyspark.sql import Column, DataFrame
 
 from pricetide.operators.history import price_history
 from pricetide.operators.scoring import deal_scores_of_histories
+from pricetide.session import sized_shuffles
 from pricetide.sources.tables import Tables
 
 
 def refine(tables: Tables, as_of: Column) -> int:
     """Q9: rebuild the histories of all products with snapshots; returns their number. No snapshots, no write."""
     items = tables.items()
-    return 0 if items.isEmpty() else tables.save_history(price_history(items, as_of))
+    if items.isEmpty():
+        return 0
+    with sized_shuffles(tables.spark, tables.size("items_raw")):
+        return tables.save_history(price_history(items, as_of))
 
 
 def refine_changed(tables: Tables, changed: DataFrame, as_of: Column) -> int:

@@ -1,6 +1,7 @@
 """Session settings the library relies on."""
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +39,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def partitions_for(input_bytes: int, at_least: int, bytes_per_task: int = 128 * 2**20) -> int:
+    return max(at_least, -(-input_bytes // bytes_per_task))
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int):
+    """Let the shuffles of a job start with enough partitions for an input of this size (compressed, as stored).
+
+    Adaptive execution merges partitions that turn out small, but splits none that were planned too large, so the
+    number to start from has to follow the data.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, partitions_for(input_bytes, int(before or spark.conf.get("spark.sql.shuffle.partitions"))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make `checkpoint()` work: Spark sets its folder from `spark.checkpoint.dir`; where that is unset, we do."""
     if spark.sparkContext.getCheckpointDir() is None:

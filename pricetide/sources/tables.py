@@ -40,6 +40,11 @@ class Tables:
         files, path = self._path(*parts)
         return files.exists(path)
 
+    def size(self, name: str) -> int:
+        """Bytes stored for a table, all versions included."""
+        files, path = self._path(name)
+        return files.getContentSummary(path).getLength() if files.exists(path) else 0
+
     def _names(self, *parts: str) -> list[str]:
         files, path = self._path(*parts)
         return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []

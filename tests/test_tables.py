@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pricetide import schema
 from pricetide.operators import frontier
 from pricetide.plans import nightly
+from pricetide.session import sized_shuffles
 from pricetide.sources.tables import Tables, migrated_items
 from pricetide.streaming.snapshots import save_stream
 from test_history import visit
@@ -95,6 +96,18 @@ def test_nightly_job(spark, tables):
     assert tables.read("deal_scores").count() == 0 and tables.read("price_history").count() == 2
 
 
+def test_shuffles_grow_with_the_table(spark, tables):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert tables.size("items_raw") == 0
+    tables.save_snapshots(log_of(spark, visits(spark, "a", range(2))), "1")
+    assert tables.size("items_raw") > 0
+    with sized_shuffles(spark, 100 * 2**40):
+        assert spark.conf.get(name) == "819200"
+    with sized_shuffles(spark, tables.size("items_raw")):
+        assert spark.conf.get(name) == spark.conf.get("spark.sql.shuffle.partitions")
+    assert spark.conf.get(name, None) is None
+
+
 def test_changed_products_only(spark, tables):
     tables.save_snapshots(log_of(spark, visits(spark, "a", range(3)) + visits(spark, "b", range(3))), "1")
     nightly.refine(tables, F.lit(DAY))
