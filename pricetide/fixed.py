@@ -39,7 +39,10 @@ MAX_KEYWORD_LENGTH = 100
 # Currency symbols.
 CURRENCY_BY_SYMBOL = {"€": "EUR", "$": "USD", "£": "GBP"}
 
-# White space as web pages use it; Java's \s covers ASCII only.
+# White space as web pages use it: the characters, and as a Java regex class (whose \s covers ASCII only).
+SPACES = "".join(map(chr, (
+    0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF,
+)))
 SPACE = r"\s\x0B\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 # Text patterns (Java regex).

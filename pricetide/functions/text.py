@@ -9,7 +9,7 @@ from pricetide.functions.money import iso_currency
 
 def strip(text: Column) -> Column:
     """Trim all white space, no-break spaces included."""
-    return F.regexp_replace(text, rf"^[{fixed.SPACE}]+|[{fixed.SPACE}]+\z", "")
+    return F.btrim(text, F.lit(fixed.SPACES))
 
 
 def utf16_length(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pricetide.functions.dates import utc_day
 from pricetide.functions.money import iso_currency
 from pricetide.operators.history import upsert, without_keys
 from pricetide.operators.snapshots import daily_snapshots
+from pricetide.session import partitions_for
 
 SCHEMAS = {
     "price_history": schema.PRICE_HISTORY,
@@ -95,11 +96,14 @@ class Tables:
         self._replace_days(rows.select(*[field.name for field in schema.ITEMS_RAW]), batch)
         return seen.get["rows"]
 
-    def _replace_days(self, rows: DataFrame, batch: str, files_per_day: int = 16) -> None:
+    def _replace_days(self, rows: DataFrame, batch: str, bytes_per_file: int = 256 * 2**20) -> None:
         """Put whole days in place of the stored ones.
 
         The days are written beside the table first and copied in from there. If the copy breaks off, a repeat starts
         from the finished rows, not from half-replaced days.
+
+        The copy goes by ranges of (day, url), in a number that follows the size written: a large day gets many files,
+        small days share a task, and each file holds a narrow range of urls, which scans for one url can skip by.
         """
         done, staged = ("saved", batch), ("merged", batch)
         if self._exists(*done):
@@ -108,7 +112,7 @@ class Tables:
             rows.write.mode("overwrite").parquet("/".join((self.folder, *staged)))
         (
             self._read(schema.ITEMS_RAW, *staged)
-            .repartition("day", F.pmod(F.xxhash64("url"), F.lit(files_per_day)))
+            .repartitionByRange(partitions_for(self.size("/".join(staged)), 8, bytes_per_file), "day", "url")
             .sortWithinPartitions("day", "url")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
