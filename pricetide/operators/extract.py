@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 from typing import Iterator
 
 import pandas as pd
+import pricetide
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from pricetide import fixed
 from pricetide.functions import arrays, ids, text
 from pricetide.operators.frontier import next_page_wanted
 
+# The few functions below travel with the job, so that executors need not have the package installed.
+cloudpickle.register_pickle_by_value(pricetide)
+
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 

@@ -21,7 +21,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a job. Integer columns come out as bigint, as in the SQL."""
+    """Register a job. Integer columns come out as bigint, as in the SQL; those that may be null are made doubles."""
 
     def register(job: Callable[[SampleViews], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +46,7 @@ def as_iso(column: str) -> Column:
 
 
 def in_millionths(column: str) -> Column:
-    return F.floor(F.col(column) * 1000000 + OFFSET)
+    return F.floor(F.col(column) * 1000000 + OFFSET).cast("double")
 
 
 def row_columns():
@@ -150,15 +150,17 @@ def _(v):
 
 @query(
     "s7_seed_defaults",
-    """SELECT 'filled' AS source, keyword, enabled FROM keywords
-       UNION ALL SELECT DISTINCT 'empty', keyword, TRUE FROM items_log WHERE keyword IS NOT NULL""",
+    """SELECT 'filled' AS source, keyword, CAST(enabled AS VARCHAR) AS enabled FROM keywords
+       UNION ALL SELECT DISTINCT 'empty', keyword, 'true' FROM items_log WHERE keyword IS NOT NULL""",
 )
 def _(v):
     defaults = v.items_log().filter(F.col("keyword").isNotNull()).select("keyword").distinct()
     filled, empty = v.keywords(), v.keywords().filter(F.lit(False))
-    return tracking.seeded(filled, defaults).select(F.lit("filled").alias("source"), "*").unionByName(
-        tracking.seeded(empty, defaults).select(F.lit("empty").alias("source"), "*")
-    )
+    parts = [
+        tracking.seeded(table, defaults).select(F.lit(name).alias("source"), "keyword", F.col("enabled").cast("string"))
+        for name, table in (("filled", filled), ("empty", empty))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -295,16 +297,16 @@ def _(v):
 
 @query(
     "p8_p9_p10_c17_deal_figures",
-    """SELECT keyword, url, is_deal, discount_ratio, CAST(floor((1 - price / crossed) * 100 + 0.5) AS BIGINT) AS discount_percent,
-              CAST(floor(score + 0.5) AS BIGINT) AS badge FROM scored""",
+    """SELECT keyword, url, is_deal, discount_ratio, floor((1 - price / crossed) * 100 + 0.5) AS discount_percent,
+              floor(score + 0.5) AS badge FROM scored""",
 )
 def _(v):
     price, crossed_out = F.col("price.amount"), F.col("crossedOutPrice.amount")
     return scored_by_keyword(v).select(
         "keyword", "url", money.is_deal(F.col("dealScore")).alias("is_deal"),
         money.discount_ratio(price, crossed_out).alias("discount_ratio"),
-        money.discount_percent(price, crossed_out).alias("discount_percent"),
-        money.round_half_up(F.col("dealScore")).alias("badge"),
+        money.discount_percent(price, crossed_out).cast("double").alias("discount_percent"),
+        money.round_half_up(F.col("dealScore")).cast("double").alias("badge"),
     )
 
 
@@ -973,14 +975,14 @@ def _(v):
 
 @query(
     "e4_search_links",
-    """SELECT url, 'PRODUCT' AS label, 'kw' || (page_id % 7) AS keyword, NULL::BIGINT AS page FROM (
+    """SELECT url, 'PRODUCT' AS label, 'kw' || (page_id % 7) AS keyword, CAST(NULL AS DOUBLE) AS page FROM (
          SELECT page_id, unnest(['https://www.amazon.fr/dp/R' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '/',
                                  'https://www.amazon.fr/dp/r' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '/']) AS url FROM pages)
        UNION ALL SELECT 'https://www.amazon.fr/s?k=a&page=' || (page_id % 6 + 2), 'SEARCH', 'kw' || (page_id % 7), page_id % 6 + 2
-       FROM pages WHERE page_id % 3 <> 0 AND page_id % 6 + 1 < 5""".replace("NULL::BIGINT", "CAST(NULL AS BIGINT)"),
+       FROM pages WHERE page_id % 3 <> 0 AND page_id % 6 + 1 < 5""",
 )
 def _(v):
-    return extract.search_links(v.search_pages())
+    return extract.search_links(v.search_pages()).withColumn("page", F.col("page").cast("double"))
 
 
 @query("e5_dead_products", "SELECT DISTINCT url FROM fetch_log WHERE final_url = 'https://www.amazon.fr/'")
@@ -991,13 +993,20 @@ def _(v):
 # Tracking ----------------------------------------------------------------------------------------------------------
 
 
+def shown_state(state: DataFrame) -> DataFrame:
+    return state.select("key", F.col("enabled").cast("string").alias("enabled"))
+
+
 def keyed(table: DataFrame, key: str) -> DataFrame:
     return table.withColumnRenamed(key, "key")
 
 
 CODE_SQL = """CASE outcome WHEN 'invalid' THEN '{invalid}' WHEN 'conflict' THEN '{conflict}' WHEN 'not_found' THEN '{not_found}' END AS error_code,
-  CASE outcome WHEN 'invalid' THEN 400 WHEN 'conflict' THEN 409 WHEN 'not_found' THEN 404 END::BIGINT AS status"""
-OUTCOME = ["seq", "key", "action", "outcome", "error_code", "status"]
+  CASE outcome WHEN 'invalid' THEN 400 WHEN 'conflict' THEN 409 WHEN 'not_found' THEN 404 END::DOUBLE AS status"""
+
+
+def outcome_columns():
+    return ["seq", "key", "action", "outcome", "error_code", F.col("status").cast("double").alias("status")]
 
 
 @query(
@@ -1006,12 +1015,12 @@ OUTCOME = ["seq", "key", "action", "outcome", "error_code", "status"]
 )
 def _(v):
     commands = tracking.keyword_commands(v.keyword_commands())
-    return tracking.tracking_outcomes(commands, keyed(v.keywords(), "keyword"), tracking.KEYWORD_CODES).select(*OUTCOME)
+    return tracking.tracking_outcomes(commands, keyed(v.keywords(), "keyword"), tracking.KEYWORD_CODES).select(*outcome_columns())
 
 
 @query("t1_t2_q8_keyword_state", state_sql("keyword_commands", "keywords", "keyword"))
 def _(v):
-    return tracking.tracking_state(tracking.keyword_commands(v.keyword_commands()), keyed(v.keywords(), "keyword"))
+    return shown_state(tracking.tracking_state(tracking.keyword_commands(v.keyword_commands()), keyed(v.keywords(), "keyword")))
 
 
 @query(
@@ -1021,12 +1030,12 @@ def _(v):
 )
 def _(v):
     commands = tracking.url_commands(v.url_commands())
-    return tracking.tracking_outcomes(commands, keyed(v.tracked_urls(), "url"), tracking.URL_CODES).select(*OUTCOME)
+    return tracking.tracking_outcomes(commands, keyed(v.tracked_urls(), "url"), tracking.URL_CODES).select(*outcome_columns())
 
 
 @query("t3_t4_q8_url_state", state_sql("url_commands", "tracked_urls", "url"))
 def _(v):
-    return tracking.tracking_state(tracking.url_commands(v.url_commands()), keyed(v.tracked_urls(), "url"))
+    return shown_state(tracking.tracking_state(tracking.url_commands(v.url_commands()), keyed(v.tracked_urls(), "url")))
 
 
 FAVORITE_OUTCOMES_SQL = """SELECT seq, ts, key, action, k,
@@ -1038,11 +1047,11 @@ FAVORITE_OUTCOMES_SQL = """SELECT seq, ts, key, action, k,
 @query(
     "t5_t6_favorite_outcomes",
     f"""SELECT seq, key, action, outcome, CASE WHEN outcome <> 'invalid' THEN NULL WHEN k = 44 THEN 'INVALID_PRODUCT_ID' ELSE 'INVALID_PRODUCT_URL' END AS error_code,
-               CASE WHEN outcome = 'invalid' THEN 400 END::BIGINT AS status FROM ({FAVORITE_OUTCOMES_SQL})""",
+               CASE WHEN outcome = 'invalid' THEN 400 END::DOUBLE AS status FROM ({FAVORITE_OUTCOMES_SQL})""",
 )
 def _(v):
     commands = tracking.favorite_commands(v.favorite_commands())
-    return tracking.favorite_outcomes(commands, keyed(v.favorites(), "url")).select(*OUTCOME)
+    return tracking.favorite_outcomes(commands, keyed(v.favorites(), "url")).select(*outcome_columns())
 
 
 @query(
@@ -1065,7 +1074,7 @@ def _(v):
 )
 def _(v):
     commands = tracking.tracking_from_favorites(tracking.favorite_commands(v.favorite_commands()))
-    return tracking.tracking_state(commands, keyed(v.tracked_urls(), "url"))
+    return shown_state(tracking.tracking_state(commands, keyed(v.tracked_urls(), "url")))
 
 
 # Jobs that write ---------------------------------------------------------------------------------------------------

@@ -125,7 +125,7 @@ OFFSET = 0.3137
 
 
 def millionths(expression: str) -> str:
-    return f"CAST(floor(({expression}) * 1000000 + {OFFSET}) AS BIGINT)"
+    return f"CAST(floor(({expression}) * 1000000 + {OFFSET}) AS DOUBLE)"
 
 
 ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
@@ -158,5 +158,5 @@ def state_sql(commands: str, state: str, key: str) -> str:
         SELECT key, outcome, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM done
         WHERE outcome IN ('created', 'reenabled', 'untracked'))
       SELECT coalesce(s.{key}, w.key) AS key,
-             CASE WHEN w.key IS NULL THEN s.enabled ELSE w.outcome <> 'untracked' END AS enabled
+             CAST(CASE WHEN w.key IS NULL THEN s.enabled ELSE w.outcome <> 'untracked' END AS VARCHAR) AS enabled
       FROM {state} s FULL JOIN (SELECT * FROM written WHERE rn = 1) w ON s.{key} = w.key"""
