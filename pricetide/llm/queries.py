@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import inner_products, kd_shards, secrets
+from pricetide.llm import inner_products, kd_shards, line_dedup, secrets
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -56,3 +56,37 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     vectors = inner_products.integer_vectors(table(spark, folder, "embeddings"))
     return inner_products.top_k(vectors, vectors.filter("id % 20 = 0"), 20)
+
+
+LINE_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, pos - 1 AS pos, trim(line, chr(9) || chr(11) || chr(12) || chr(13) || ' ') AS bare FROM (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+    FROM (SELECT DISTINCT doc_id, text FROM documents))
+), counted AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id, text ORDER BY pos) AS upto FROM (
+    SELECT *, len(string_split_regex(bare, '[\t\x0B\f\r ]+')) AS words FROM lines WHERE bare <> '')
+), runs AS (
+  SELECT a.doc_id, a.text, a.pos AS first, b.pos AS last, string_agg(c.bare, chr(10) ORDER BY c.pos) AS content
+  FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND a.text = b.text AND a.pos <= b.pos
+  JOIN counted c ON a.doc_id = c.doc_id AND a.text = c.text AND c.pos BETWEEN a.pos AND b.pos
+  WHERE b.upto - a.upto + a.words >= 50 AND (b.upto - b.words - a.upto + a.words < 50 OR b.upto - a.upto < 50)
+  GROUP BY ALL
+), later AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS n FROM runs) WHERE n > 1
+), kept AS (
+  SELECT d.doc_id, d.text, string_agg(d.line, chr(10) ORDER BY d.pos) FILTER (NOT d.gone) AS left_text, count(*) FILTER (d.gone) AS n_removed
+  FROM (
+    SELECT l.doc_id, l.text, l.line, l.pos,
+      EXISTS (SELECT 1 FROM later r WHERE r.doc_id = l.doc_id AND r.text = l.text AND l.pos BETWEEN r.first AND r.last) AS gone
+    FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+      generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM (SELECT DISTINCT doc_id, text FROM documents)) l
+  ) d GROUP BY d.doc_id, d.text
+)
+SELECT doc_id, coalesce(left_text, '') AS text, n_removed FROM kept"""
+
+
+@query("op10_line_winnowing", LINE_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, removed="n_removed")
