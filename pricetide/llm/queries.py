@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import inner_products, kd_shards, line_dedup, secrets
+from pricetide.llm import inner_products, kd_shards, line_dedup, minhash, secrets
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -90,3 +90,8 @@ SELECT doc_id, coalesce(left_text, '') AS text, n_removed FROM kept"""
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, removed="n_removed")
+
+
+@query("op1_minhash_bayes")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
