@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import inner_products, kd_shards, line_dedup, minhash, secrets
+from pricetide.llm import inner_products, kd_shards, line_dedup, minhash, packing, secrets
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -95,3 +96,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_minhash_bayes")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def tokenizer_files() -> tuple[str, str, str]:
+    path = public_tokenizers.path
+    return path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op5_grouped_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(table(spark, folder, "documents"), *tokenizer_files())
