@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import inner_products, kd_shards, line_dedup, minhash, packing, secrets
+from pricetide.llm import inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -106,3 +106,8 @@ def tokenizer_files() -> tuple[str, str, str]:
 @query("op5_grouped_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), *tokenizer_files())
+
+
+@query("op2_additive_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
