@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets
+from pricetide.llm import decontamination, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, toxicity
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -111,3 +111,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_additive_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_recurrent_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_qgram_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

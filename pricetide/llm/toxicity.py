@@ -192,7 +192,12 @@ class Vocabulary(dict):
 
     def __init__(self, network: Network):
         super().__init__()
-        self.network, self.fresh = network, []
+        self.network = network
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
         self.table = np.zeros((1024, 6 * HIDDEN), np.float32)
 
     def __missing__(self, word: str) -> int:
@@ -223,7 +228,7 @@ def windows(index: np.ndarray) -> np.ndarray:
 def document_scores(vocabulary: Vocabulary, texts: list[str]) -> np.ndarray:
     """The highest probability among all windows of each text."""
     if len(vocabulary) > CACHED_WORDS:
-        vocabulary.__init__(vocabulary.network)
+        vocabulary.forget()
     parts = [windows(vocabulary.index(tokens(t))) for t in texts]
     table, all_windows = vocabulary.filled(), np.concatenate(parts)
     logits = np.concatenate([vocabulary.network.forward(table, all_windows[i : i + 1024]) for i in range(0, len(all_windows), 1024)])
@@ -231,7 +236,7 @@ def document_scores(vocabulary: Vocabulary, texts: list[str]) -> np.ndarray:
     return _sigmoid(np.maximum.reduceat(logits, first).astype(float))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 12, batch: int = 256, seed: int = 11) -> Network:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 256, seed: int = 11) -> Network:
     """A network from labelled texts. The first epochs take every window of a toxic text for toxic, up to 8 drawn at
     random; later ones its most suspicious one. Of clean texts the most suspicious and a random window are taken."""
     network = Network()
@@ -291,7 +296,7 @@ def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cle
 def score_toxicity(docs: DataFrame, labels: DataFrame, network: Network | None = None) -> DataFrame:
     """The rows of `docs` with `score`: the highest probability over all overlapping windows of the whole text.
 
-    A null or empty text is one window of padding, so it gets the same low score everywhere. Repeated rows are scored
+    A null or empty text is one window of padding, so it gets the same score everywhere. Repeated rows are scored
     each. Columns other than doc_id and text are passed on; one named `score` is replaced.
     """
     network = network or fitted(docs, labels)
