@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,6 +197,18 @@ def passage_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     return blocks
 
 
+def _searcher(block: list[tuple[int, str]]):
+    name = f"passages {xxhash.xxh3_64_hexdigest(repr(block).encode('utf-8', 'surrogatepass'))}"
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        passages = kept_in_worker(name, lambda: Passages(block))
+        for series in texts:
+            yield pd.Series([
+                [dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in passages.matches(t)] if t else [] for t in series])
+
+    return run
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "__matches") -> DataFrame:
     """The rows of `docs` with an array of (item_id, start, end, edits), start and end in characters of the text.
 
@@ -203,17 +216,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "__matches
     comes from it by at most min(m / 10, (m - 8) / 8) edits. Passages under 8 characters or without id are not
     searched. Null and empty texts hold nothing; repeated rows are searched each; other columns are passed on.
     """
-    found = []
-    for block in passage_blocks(benchmark):
-        name = f"passages {hash(tuple(block))}"
-
-        def run(texts: Iterator[pd.Series], block=block, name=name) -> Iterator[pd.Series]:
-            passages = kept_in_worker(name, lambda: Passages(block))
-            for series in texts:
-                yield pd.Series([
-                    [dict(zip(("item_id", "start", "end", "edits"), m, strict=True)) for m in passages.matches(t)] if t else [] for t in series])
-
-        found.append(F.pandas_udf(run, FOUND)(F.col("text")))
+    found = [F.pandas_udf(_searcher(block), FOUND)(F.col("text")) for block in passage_blocks(benchmark)]
     none = F.from_json(F.lit("[]"), FOUND)
     return docs.withColumn(column, F.concat(*found) if found else none)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontamination, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, toxicity
+from pricetide.llm import decontamination, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, style_tree, toxicity
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -121,3 +121,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_qgram_decontamination")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_site_style_tree")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return style_tree.extract(table(spark, folder, "pages"))
