@@ -76,7 +76,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, removed: str = "__removed") -> DataFrame:
     """The rows of `docs` with repeated runs deleted from `text`, and the number of deleted lines as column `removed`.
 
-    Blank lines inside a deleted run go with it. Lines are equal if they are, without outer white space. A null text
+    Blank lines inside a repeated window go with it. Lines are equal if they are, without outer white space. A null text
     stays null, an empty one empty; repeated rows are one document and each keep what it keeps; null ids come last in
     the order. Columns other than doc_id and text are passed on, whatever their names.
     """

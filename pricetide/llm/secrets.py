@@ -53,7 +53,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
             at += 1
         if (at == len(base) or base[at][0] >= m.end()) and entropy(token) >= LEAST_ENTROPY:
             out.append((3, m.start(), m.end(), token))
-    return sorted(out)
+    return sorted(out, key=lambda c: (c[1], c[0]))
 
 
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
