@@ -4,12 +4,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Days and texts are those of UTC whatever the session's zone is: they go by the number of microseconds since 1970.
+
+
+_DAY = 86_400_000_000
+
+
 def utc_day(instant: Column) -> Column:
-    return F.to_date(instant)
+    micros = F.unix_micros(instant.cast("timestamp"))
+    return F.date_from_unix_date(((micros - F.pmod(micros, F.lit(_DAY))) / _DAY).cast("int"))
+
+
+def midnight(day: Column) -> Column:
+    """The instant at which a day begins in UTC."""
+    return F.timestamp_micros(F.unix_date(day).cast("long") * _DAY)
 
 
 def iso(instant: Column) -> Column:
-    return F.date_format(instant.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    millis = F.floor(F.pmod(F.unix_micros(instant.cast("timestamp")), F.lit(_DAY)) / 1000)
+    clock = F.format_string(
+        "T%02d:%02d:%02d.%03dZ", F.floor(millis / 3_600_000), F.floor(millis / 60_000) % 60, F.floor(millis / 1000) % 60, millis % 1000)
+    return F.when(instant.isNotNull(), F.concat(utc_day(instant).cast("string"), clock))
+
+
+def iso_day(day: Column) -> Column:
+    """A day as the text of its first instant."""
+    return F.concat(day.cast("string"), F.lit("T00:00:00.000Z"))
 
 
 def age(instant: Column, as_of: Column) -> Column:

@@ -46,17 +46,35 @@ def url_of_product_id(product: Column) -> Column:
 def canonical_product_url(raw: Column) -> Column:
     """The one spelling of a product page's url, null for anything that is not one.
 
-    Written with patterns: Spark's url parser refuses urls with blanks, which browsers accept.
+    Written with patterns: Spark's url parser refuses urls with blanks, which browsers accept. "." and ".." segments of
+    the path are resolved first, as browsers do, escaped dots included.
     """
     hosts = "|".join(host.replace(".", r"\.") for host in fixed.PRODUCT_HOSTS)
     product_page = (
         rf"(?i)\A[{fixed.SPACE}]*https?:[/\\]*(?:[^/\\?#]*@)?(?:{hosts})(?::[0-9]*)?"
         r"(?=[/\\])[^?#]*?[/\\]dp[/\\]([A-Z0-9]{10})"
     )
-    code = first_match(F.translate(raw, "\t\r\n", ""), product_page, 1)
+    code = first_match(_resolved(F.translate(raw, "\t\r\n", "")), product_page, 1)
     return F.concat(F.lit(fixed.PRODUCT_URL_PREFIX), F.upper(code), F.lit("/"))
 
 
+_DOT = r"(?:\.|%2[eE])"
+_URL_PARTS = r"(?s)\A([^?#]*?:[/\\]*[^/\\?#]*)([^?#]*)(.*)\z"
+
+
+def _resolved(url: Column) -> Column:
+    """The url with its path's dot segments resolved; urls without any are left as they are."""
+    dots = F.rlike(url, F.lit(rf"[/\\]{_DOT}{{1,2}}(?:[/\\?#]|\z)"))
+    head, path, rest = (F.regexp_extract(url, _URL_PARTS, k) for k in (1, 2, 3))
+    kept = F.aggregate(
+        F.slice(F.split(path, r"[/\\]"), 2, 2**30), F.array().cast("array<string>"),
+        lambda done, part: F.when(F.rlike(part, F.lit(rf"\A{_DOT}{{2}}\z")), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(F.rlike(part, F.lit(rf"\A{_DOT}\z")), done)
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    return F.when(dots, F.concat(head, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(url)
+
+
 def canonical_search_link(url: Column) -> Column:
     """Product links in their one spelling, other links as they are."""
     code = first_match(url, fixed.PRODUCT_LINK, 1)

@@ -148,7 +148,7 @@ def product_details(items: DataFrame, history: DataFrame, scores: DataFrame) ->
         arrays.last_or_null(F.col("history")).alias("entry"),
     )
     joined = newest.join(stored, "url", "full").join(score_columns(scores), "url", "left")
-    last_seen = F.col("stored.lastSeen").cast("timestamp")
+    last_seen = dates.midnight(F.col("stored.lastSeen"))
     merged = joined.select(
         "url",
         F.coalesce("newest.keyword", "stored.keyword").alias("keyword"),
@@ -167,6 +167,6 @@ def product_details(items: DataFrame, history: DataFrame, scores: DataFrame) ->
     return product_summary(
         merged,
         hist.projected_entries(F.col("stored.history")).alias("history"),
-        dates.iso(F.col("stored.firstSeen")).alias("firstSeen"),
-        dates.iso(F.col("stored.lastSeen")).alias("lastSeen"),
+        dates.iso_day(F.col("stored.firstSeen")).alias("firstSeen"),
+        dates.iso_day(F.col("stored.lastSeen")).alias("lastSeen"),
     )

@@ -56,7 +56,7 @@ def projected_entries(history: Column) -> Column:
     return F.transform(
         F.coalesce(history, F.array().cast(_entry_array())),
         lambda entry: F.struct(
-            F.coalesce(dates.iso(entry["day"]), F.lit("")).alias("day"),
+            F.coalesce(dates.iso_day(entry["day"]), F.lit("")).alias("day"),
             money.complete_money(entry["price"]).alias("price"),
             money.complete_money(entry["crossedOutPrice"]).alias("crossedOutPrice"),
             money.complete_unit_price(entry["unitPrice"]).alias("unitPrice"),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide import fixed
-from pricetide.functions import arrays, money
+from pricetide.functions import arrays, dates, money
 
 
 # Steps of 2^-24: sums of up to 2^29 in these steps are exact.
@@ -76,7 +76,7 @@ def latest_features(features: DataFrame) -> DataFrame:
 
 def is_fresh(day: Column, as_of: Column) -> Column:
     """The day began no more than two days of 24 hours before `as_of`."""
-    return day.cast("timestamp") >= as_of - F.expr(f"INTERVAL {24 * fixed.STALE_AFTER_DAYS} HOURS")
+    return dates.midnight(day) >= as_of - F.expr(f"INTERVAL {24 * fixed.STALE_AFTER_DAYS} HOURS")
 
 
 def has_enough_history(observations: Column, mean_price: Column) -> Column:

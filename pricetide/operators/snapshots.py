@@ -23,7 +23,7 @@ def daily_snapshots(log: DataFrame) -> DataFrame:
 
     Idempotent, so stored rows can be merged by adding them to the log.
     """
-    dated = log.withColumn("day", utc_day("scrapedAt"))
+    dated = log.withColumn("day", utc_day(F.col("scrapedAt")))
     return _first_row(dated, ["url", "day"], F.desc("scrapedAt"), F.desc("seq"))
 
 

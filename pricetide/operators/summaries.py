@@ -49,13 +49,13 @@ def keyword_totals(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def current_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scored deals at their newest snapshot under any keyword.
+    """Scored deals at their newest snapshot under any keyword, best first, then by url.
 
     Rows meet the scores before the newest one is looked for: both go by url, so the result is the same, and only
     products that are deals get grouped.
     """
     seen = items.filter(F.col("keyword").isNotNull()).join(deals(scores), "url")
-    return latest_usable(seen, "url", fields=(*ROW_FIELDS, *SCORE_FIELDS))
+    return latest_usable(seen, "url", fields=(*ROW_FIELDS, *SCORE_FIELDS)).orderBy(F.desc("dealScore"), "url")
 
 
 def keyword_deals(items: DataFrame, scores: DataFrame, parts: int = 32) -> DataFrame:
@@ -131,14 +131,14 @@ def tracked_url_summaries(items: DataFrame, tracked: DataFrame) -> DataFrame:
 
 def matching_keywords(summaries: DataFrame, typed: str) -> DataFrame:
     """As typed, not trimmed; nothing but blanks lists all."""
-    if not typed.strip():
+    if not typed.strip(fixed.SPACES):
         return summaries
     return summaries.filter(F.contains(F.lower("keyword"), F.lower(F.lit(typed))))
 
 
 def matching_tracked_urls(summaries: DataFrame, typed: str) -> DataFrame:
     """In the title or the url."""
-    if not typed.strip():
+    if not typed.strip(fixed.SPACES):
         return summaries
     needle = F.lower(F.lit(typed))
     return summaries.filter(

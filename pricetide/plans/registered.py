@@ -378,7 +378,7 @@ DEAL_SQL = f"SELECT {ROW_SQL}, score, predicted_price, trend FROM deal_rows"
 
 @query("j2_k7_current_deals", DEAL_SQL)
 def _(v):
-    return summaries.current_deals(v.items(), v.scores()).orderBy(F.desc("dealScore"), "url").select(*deal_columns())
+    return summaries.current_deals(v.items(), v.scores()).select(*deal_columns())
 
 
 @query("j3_q4_k5_keyword_summaries", KEYWORD_SUMMARIES_SQL)

@@ -17,13 +17,21 @@ class InvalidProductQuery(ValueError):
     code = "INVALID_PRODUCT_QUERY"
 
 
+def _float(number: int) -> float:
+    """The nearest double; infinite where none is near."""
+    try:
+        return float(number)
+    except OverflowError:
+        return math.inf
+
+
 def _number(text: str) -> float:
     """A number as web forms write it; not a number where it is none."""
-    text = text.strip()
+    text = text.strip(fixed.SPACES)
     if not text:
         return 0.0
     if re.fullmatch(r"0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+", text):
-        return float(int(text, 0))
+        return _float(int(text, 0))
     if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", text):
         return float(text)
     return math.nan
@@ -55,7 +63,7 @@ class ProductQuery:
 
     @staticmethod
     def _search(raw):
-        trimmed = (raw or "").strip()
+        trimmed = (raw or "").strip(fixed.SPACES)
         if len(trimmed.encode("utf-16-le")) // 2 > fixed.MAX_SEARCH_LENGTH:
             raise InvalidProductQuery(f"q is longer than {fixed.MAX_SEARCH_LENGTH} characters")
         return trimmed or None

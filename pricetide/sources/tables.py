@@ -10,7 +10,7 @@ from pricetide.functions.dates import utc_day
 from pricetide.functions.money import iso_currency
 from pricetide.operators.history import upsert, without_keys
 from pricetide.operators.snapshots import daily_snapshots
-from pricetide.session import partitions_for
+from pricetide.session import partitions_for, sized_shuffles
 
 SCHEMAS = {
     "price_history": schema.PRICE_HISTORY,
@@ -21,6 +21,10 @@ SCHEMAS = {
 }
 
 
+# More days than this in one batch are taken for wrong clocks.
+MOST_DAYS = 36_525
+
+
 class Tables:
     """Tables under one folder that all executors see.
 
@@ -79,22 +83,50 @@ class Tables:
         return self._read(schema.ITEMS_RAW, "items_raw")
 
     def save_snapshots(self, log: DataFrame, batch: str) -> None:
-        """Merge visits into their days. `batch` names the input; saving the same batch again changes nothing."""
-        fields = [field.name for field in schema.SNAPSHOT_LOG]
-        # One row per calendar day, so small enough to broadcast whatever the log holds; it prunes day folders.
-        days = F.broadcast(log.select(utc_day("scrapedAt").alias("day")).distinct())
-        touched = self.items().join(days, "day", "left_semi")
-        self._replace_days(daily_snapshots(log.select(*fields).unionByName(touched.select(*fields))), batch)
+        """Merge visits into their days. `batch` names the input; saving the same batch again changes nothing.
 
-    def migrate_legacy(self) -> int:
-        """Rewrite the days that hold legacy values; returns the number of rows changed."""
+        Visits without `seq` get one from their fields, so that a repeat orders them alike. The days of the log are
+        looked up first, one row per calendar day, and reach the scan of the stored table as literals: of that table
+        only these days are read.
+        """
+        if self._exists("saved", batch):
+            return
+        fields = [field.name for field in schema.SNAPSHOT_LOG]
+        if "seq" not in log.columns:
+            log = log.withColumn("seq", F.xxhash64(*[name for name in fields if name != "seq"]))
+        days = self._days(log.select(utc_day(F.col("scrapedAt")).alias("day")))
+        touched = self.items().filter(F.col("day").isin(days))
+        with sized_shuffles(self.spark, self._day_bytes(days)):
+            self._replace_days(daily_snapshots(log.select(*fields).unionByName(touched.select(*fields))), batch)
+
+    def _days(self, rows: DataFrame) -> list:
+        """The distinct days of the rows, refused if they are more than any record of visits can have."""
+        found = rows.filter(F.col("day").isNotNull()).distinct().limit(MOST_DAYS + 1).collect()
+        if len(found) > MOST_DAYS:
+            raise ValueError(f"visits of more than {MOST_DAYS} days: check their times")
+        return sorted(row.day for row in found)
+
+    def _day_bytes(self, days: list) -> int:
+        return sum(self.size(f"items_raw/day={day}") for day in days)
+
+    def migrate_legacy(self, name: str = "migration") -> int:
+        """Rewrite the days that hold legacy values; returns the number of rows changed.
+
+        `name` tells migrations apart. A repeat of one that broke off in its copy goes on from the rows it had
+        finished, and gives their count; a repeat of one that was finished gives 0.
+        """
+        if self._exists("saved", name):
+            return 0
         checked = migrated_items(self.items())
-        days = F.broadcast(checked.filter("changed").select("day").distinct())  # one row per calendar day
-        seen = Observation()
-        rows = checked.join(days, "day", "left_semi").observe(seen, F.count_if("changed").alias("rows"))
-        batch = f"migration-{len(self._names('saved'))}"
-        self._replace_days(rows.select(*[field.name for field in schema.ITEMS_RAW]), batch)
-        return seen.get["rows"]
+        staged = ("merged", name)
+        if not self._exists(*staged, "_SUCCESS"):
+            days = self._days(checked.filter("changed").select("day"))
+            checked = checked.filter(F.col("day").isin(days))
+            checked.write.mode("overwrite").parquet("/".join((self.folder, *staged)))
+        marked = self.spark.read.parquet("/".join((self.folder, *staged)))
+        changed = marked.filter("changed").count()
+        self._replace_days(marked.drop("changed"), name)
+        return changed
 
     def _replace_days(self, rows: DataFrame, batch: str, bytes_per_file: int = 256 * 2**20) -> None:
         """Put whole days in place of the stored ones.

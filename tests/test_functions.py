@@ -67,6 +67,12 @@ def test_canonical_product_url(spark):
         "https://www.amazon.fr.evil.org/dp/B0ABCDEFGH": None, "https://evil.org/?u=https://www.amazon.fr/dp/B0ABCDEFGH": None,
         "https://www.amazon.fr@evil.org/dp/B0ABCDEFGH": None, "https://www.amazon.fr/x#/dp/B0ABCDEFGH": None,
     }
+    good = "https://www.amazon.fr/dp/B0ABCDEFGH/"
+    cases |= {
+        "https://www.amazon.fr/dp/B0ABCDEFGH/../../s": None, "https://www.amazon.fr/x/../dp/./B0ABCDEFGH?a=/../": good,
+        "https://www.amazon.fr/../dp/B0ABCDEFGH": good, "https://www.amazon.fr/dp/B0ABCDEFGH/%2e%2E/b": None,
+        "https://www.amazon.fr/a/dp/B0ABCDEFGH/..a/": good, "https://www.amazon.fr/dp/B0ABCDEFGH/x/..": good,
+    }
     assert apply(spark, ids.canonical_product_url, cases) == list(cases.values())
 
 

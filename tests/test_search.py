@@ -23,7 +23,8 @@ def test_defaults():
         ({"page": "3"}, "page", 3), ({"page": "1e1"}, "page", 10), ({"q": "  savon  "}, "search", "savon"), ({"q": "   "}, "search", None),
         ({"deals": "1"}, "deals_only", True), ({"deals": "true"}, "deals_only", True), ({"deals": "0"}, "deals_only", False),
         ({"deals": "false"}, "deals_only", False), ({"min": "10", "max": "10"}, "max_price", 10.0), ({"min": ""}, "min_price", None),
-        ({"q": "a" * 100}, "search", "a" * 100), ({"sort": "discount"}, "sort", "discount"),
+        ({"q": "a" * 100}, "search", "a" * 100), ({"q": "\ufeff\u3000"}, "search", None),
+        ({"q": "\x1csavon"}, "search", "\x1csavon"), ({"sort": "discount"}, "sort", "discount"),
     ],
 )
 def test_accepted(params, field, value):
@@ -34,7 +35,7 @@ def test_accepted(params, field, value):
     "params",
     [
         {"sort": "cheapest"}, {"sort": ""}, {"page": "0"}, {"page": "1.5"}, {"page": "deux"}, {"page": ""}, {"min": "-1"}, {"max": "cher"},
-        {"max": "Infinity"}, {"deals": "oui"}, {"deals": ""}, {"q": "a" * 101}, {"min": "50", "max": "10"}, {"colour": "red"},
+        {"max": "Infinity"}, {"deals": "oui"}, {"deals": ""}, {"q": "a" * 101}, {"min": "50", "max": "10"}, {"min": "0x" + 300 * "f"}, {"colour": "red"},
     ],
 )
 def test_refused(params):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide import schema
+from pricetide.functions import dates
 from pricetide.operators import frontier
 from pricetide.plans import nightly
 from pricetide.session import sized_shuffles
@@ -149,6 +150,54 @@ def test_migration_of_the_table(spark, tables):
     assert tables.migrate_legacy() == 2
     assert sorted((row.url, row.price.currency) for row in tables.items().collect()) == [("a", "EUR"), ("b", "EUR"), ("c", "USD")]
     assert tables.migrate_legacy() == 0 and tables.items().count() == 3
+    tables.save_snapshots(log_of(spark, [visit("d", DAY, 4, price=(1.0, "£"))]), "2")
+    assert tables.migrate_legacy("again") == 1 and tables.migrate_legacy("again") == 0
+
+
+def test_migration_that_broke_off_in_its_copy(spark, tables, monkeypatch):
+    tables.save_snapshots(log_of(spark, [visit("a", DAY, 1, price=(1.0, "€")), visit("b", DAY, 2, price=(1.0, "EUR"))]), "1")
+    read = Tables._read
+
+    def lost(self, table_schema, *parts):
+        if parts[0] == "merged":
+            raise OSError("executor lost")
+        return read(self, table_schema, *parts)
+
+    monkeypatch.setattr(Tables, "_read", lost)
+    with pytest.raises(OSError):
+        tables.migrate_legacy()
+    monkeypatch.setattr(Tables, "_read", read)
+    tables.save_snapshots(log_of(spark, [visit("c", DAY + dt.timedelta(days=3), 3, price=(1.0, "EUR"))]), "2")
+    assert tables.migrate_legacy() == 1
+    assert sorted((row.url, row.price.currency) for row in tables.items().collect()) == [("a", "EUR"), ("b", "EUR"), ("c", "EUR")]
+
+
+def test_only_the_days_of_the_batch_are_read(spark, tables, capsys, monkeypatch):
+    tables.save_snapshots(log_of(spark, visits(spark, "a", range(12))), "1")
+    plans = []
+    replace = Tables._replace_days
+    monkeypatch.setattr(Tables, "_replace_days", lambda self, rows, batch: (plans.append(rows), replace(self, rows, batch)))
+    tables.save_snapshots(log_of(spark, visits(spark, "b", [2, 4])), "2")
+    text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in text.splitlines() if "PartitionFilters" in line]
+    assert len(filters) == 1 and "day" in filters[0] and filters[0].count("2024-06-03") + filters[0].count("19877") >= 1, filters
+    assert "2024-06-02" not in filters[0]
+    assert len(stored(tables)) == 14
+
+
+def test_another_time_zone(spark, tables):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    late = dt.datetime(2024, 1, 5, 2, tzinfo=dt.timezone.utc)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        log = spark.createDataFrame([("a", late.timestamp())], "url string, at double").select(
+            "url", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.SNAPSHOT_FIELDS[1:-1]], F.timestamp_seconds("at").alias("scrapedAt"))
+        tables.save_snapshots(log, "1")
+        assert [row.day for row in tables.items().collect()] == [dt.date(2024, 1, 5)]
+        row = tables.items().select(dates.iso(F.col("scrapedAt")).alias("t"), F.unix_seconds(dates.midnight(F.col("day"))).alias("m")).first()
+        assert row.t == "2024-01-05T02:00:00.000Z" and row.m == dt.datetime(2024, 1, 5, tzinfo=dt.timezone.utc).timestamp()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_stream_in_batches_and_after_a_restart(spark, tables):
