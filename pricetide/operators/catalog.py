@@ -7,7 +7,6 @@ from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
 from pricetide.operators import history as hist
 from pricetide.operators.snapshots import ROW_FIELDS, latest
-from pricetide.session import use_checkpoints
 
 SCORE_FIELDS = ("dealScore", "predictedPrice", "trendDirection")
 
@@ -59,46 +58,23 @@ def matches(query) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def page_rows(products: DataFrame, sort: str, page: int, total: int | None = None, far: int = 100_000) -> DataFrame:
-    """K2: one page in the given order. Spark keeps only the rows up to the page while it sorts.
+def page_rows(products: DataFrame, sort: str, page: int, total: int | None = None) -> DataFrame:
+    """K2: one page in the given order; nothing past the end.
 
-    With `total` known, a page in the far half is read from the other end, so the last page costs what the first does.
-    Beyond `far` rows from either end, `_far_rows` takes over: no task then holds more than its share of the order.
+    One lazy plan, however far the page is. Each task keeps the rows up to the page while it sorts, so a page costs
+    memory for what lies before it; with `total` known a page in the far half is read from the other end, so the last
+    page costs what the first does, and one past the end is not read at all.
     """
-    order, size = sort_order(sort), fixed.PAGE_SIZE
+    size = fixed.PAGE_SIZE
     skip = (page - 1) * size
-    if total is not None:
-        count = min(size, total - skip)
-        behind = total - skip - count
-        if count <= 0:
-            return products.limit(0)
-        if behind < min(skip, far):
-            return products.orderBy(*sort_order(sort, backwards=True)).offset(behind).limit(count).orderBy(*order)
-    if skip > far:
-        return _far_rows(products, order, skip, size).orderBy(*order)
-    return products.orderBy(*order).offset(skip).limit(size)
-
-
-def _far_rows(products: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
-    """Rows skip to skip + size of a long order, out of a distributed sort.
-
-    Url and sort columns are sorted into ranges and written to the checkpoint folder, so that the ranges stay as they
-    are. One count per range tells which of them hold the page, and only those are read again.
-    """
-    use_checkpoints(products.sparkSession)
-    keys = products.select("url", F.struct("price.amount").alias("price"), "isDeal", "sortScore", "discountRatio")
-    ranges = keys.orderBy(*order).checkpoint().withColumn("range", F.spark_partition_id())
-    counts = sorted(ranges.groupBy("range").count().collect())
-    before, wanted, start = 0, [], None
-    for number, count in counts:
-        if before < skip + size and before + count > skip:
-            wanted.append(number)
-            start = before if start is None else start
-        before += count
-    if not wanted:
+    if total is None:
+        return products.orderBy(*sort_order(sort)).offset(skip).limit(size)
+    size = min(size, total - skip)
+    if size <= 0:
         return products.limit(0)
-    found = ranges.filter(F.col("range").isin(wanted)).orderBy(*order).offset(skip - start).limit(size)
-    return products.join(F.broadcast(found.select("url")), "url", "left_semi")  # at most one page of urls
+    behind = total - skip - size
+    found = products.orderBy(*sort_order(sort, backwards=behind < skip)).offset(min(skip, behind)).limit(size)
+    return found.orderBy(*sort_order(sort)) if behind < skip else found
 
 
 def page_count(total: Column) -> Column:

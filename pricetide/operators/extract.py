@@ -6,6 +6,7 @@ parsed by column expressions.
 """
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from typing import Iterator
 
@@ -26,35 +27,45 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 
 
 class Page(HTMLParser):
-    """Elements in document order. Each knows its parent and where its text begins and ends."""
+    """Elements in document order. Each knows its parent, where its text begins and ends, and the last element below it.
+
+    Tags that a page leaves open make deep trees, so nothing here walks up from every element: what lies inside an
+    element is a range of the document order, and open tags are counted.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tags, self.attrs, self.parents, self.spans = [], [], [], []
-        self.texts, self.open = [], []
+        self.tags, self.attrs, self.parents, self.spans, self.ends = [], [], [], [], []
+        self.texts, self.open, self.opened = [], [], Counter()
         self.feed(html or "")
         self.close()
-        for element in self.open:
-            self.spans[element][1] = len(self.texts)
+        while self.open:
+            self._end()
+
+    def _end(self) -> int:
+        element = self.open.pop()
+        self.opened[self.tags[element]] -= 1
+        self.spans[element][1] = len(self.texts)
+        self.ends[element] = len(self.tags)
+        return element
 
     def handle_starttag(self, tag, attrs):
         self.tags.append(tag)
         self.attrs.append({name: value or "" for name, value in attrs})
         self.parents.append(self.open[-1] if self.open else None)
         self.spans.append([len(self.texts), len(self.texts)])
+        self.ends.append(len(self.tags))
         if tag not in VOID_TAGS:
             self.open.append(len(self.tags) - 1)
+            self.opened[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in {self.tags[element] for element in self.open}:
-            while True:
-                element = self.open.pop()
-                self.spans[element][1] = len(self.texts)
-                if self.tags[element] == tag:
-                    break
+        while self.opened[tag]:
+            if self.tags[self._end()] == tag:
+                break
 
     def handle_data(self, data):
         self.texts.append(data)
@@ -72,9 +83,15 @@ class Page(HTMLParser):
 
     def find(self, test, inside=None) -> Iterator[int]:
         """Elements that pass `test`, in document order, where asked below one that passes `inside`."""
+        reach = 0  # end of what lies below the elements seen so far that pass `inside`
         for element in range(len(self.tags)):
-            if test(element) and (inside is None or any(map(inside, self.ancestors(element)))):
+            if (inside is None or element < reach) and test(element):
                 yield element
+            if inside is not None and inside(element):
+                reach = max(reach, self.ends[element])
+
+    def below(self, element: int) -> range:
+        return range(element + 1, self.ends[element])
 
     def with_id(self, *names: str):
         return lambda element: self.attrs[element].get("id") in names
@@ -102,7 +119,7 @@ def _variant_codes(page: Page) -> list[str]:
     box = next(page.find(page.with_id(*fixed.VARIANT_IDS)), None)
     if box is None:
         return []
-    inside = list(page.find(lambda element: box in page.ancestors(element)))
+    inside = page.below(box)
     named = [page.attrs[element].get("data-asin") for element in inside]
     linked = [re.search(fixed.PRODUCT_LINK, page.attrs[element].get("data-dp-url", "")) for element in inside]
     return [code for code in named if code] + [match[1] for match in linked if match]
@@ -202,18 +219,18 @@ def variant_links(read_pages: DataFrame) -> DataFrame:
 
 
 def search_links(pages: DataFrame) -> DataFrame:
-    """Product links and the next result page of search pages (`page` counts from 1)."""
+    """Product links and the next result page of search pages (`page` counts from 1). Each page is read once."""
     found = _read(pages, _search_fields, SEARCH_COLUMNS)
     absolute = lambda href: F.when(F.startswith(href, F.lit("http")), href).otherwise(
         F.concat(F.lit(fixed.SITE_ROOT), href)
     )
-    products = found.select(
-        F.explode(F.array_distinct(F.transform("links", lambda x: ids.canonical_search_link(absolute(x))))).alias("url"),
-        F.lit("PRODUCT").alias("label"),
-        "keyword",
-        F.lit(None).cast("int").alias("page"),
-    )
-    following = found.filter((F.length("next_href") > 0) & next_page_wanted(F.col("page"))).select(
-        absolute(F.col("next_href")).alias("url"), F.lit("SEARCH").alias("label"), "keyword", (F.col("page") + 1).alias("page")
-    )
-    return products.unionByName(following)
+
+    def link(url, label, page):
+        return F.struct(url.alias("url"), F.lit(label).alias("label"), page.cast("int").alias("page"))
+
+    urls = F.array_distinct(F.transform("links", lambda x: ids.canonical_search_link(absolute(x))))
+    products = F.transform(urls, lambda url: link(url, "PRODUCT", F.lit(None)))
+    following = link(absolute(F.col("next_href")), "SEARCH", F.col("page") + 1)
+    wanted = (F.length("next_href") > 0) & next_page_wanted(F.col("page"))
+    links = F.when(wanted, F.concat(products, F.array(following))).otherwise(products)
+    return found.select(F.explode(links).alias("link"), "keyword").select("link.url", "link.label", "keyword", "link.page")

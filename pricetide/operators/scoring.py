@@ -109,8 +109,12 @@ def deal_scores_of_histories(history: DataFrame, as_of: Column) -> DataFrame:
     """Q10 from stored histories: the same scores, without a shuffle.
 
     A history row holds all of its product's days in order, so everything is computed within the row, and only for the
-    newest price. Products without a fresh price are dropped before anything is summed.
+    newest price. Products without a fresh price are dropped before anything is summed: those last seen too long ago
+    by their scan, and of the entries only days and prices are kept.
     """
+    oldest = dates.utc_day(as_of - F.expr(f"INTERVAL {24 * fixed.STALE_AFTER_DAYS} HOURS"))
+    narrow = F.arrays_zip(F.col("history.day"), F.col("history.price")).cast("array<struct<day:date,price:struct<amount:double,currency:string>>>")
+    history = history.filter(F.col("lastSeen").isNull() | (F.col("lastSeen") >= oldest)).select("url", narrow.alias("history"))
 
     def total(array, value):
         return F.aggregate(array, F.lit(0.0), lambda sum_so_far, entry: sum_so_far + value(entry))

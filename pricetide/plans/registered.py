@@ -3,7 +3,7 @@
 import uuid
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricetide import fixed
@@ -732,6 +732,21 @@ def _(v):
     return catalog.page_rows(scored, "deals", 2).select("url", F.col("price.amount").alias("price"), F.col("isDeal").alias("is_deal"))
 
 
+@query(
+    "k2_page_in_the_middle",
+    """SELECT rn, url, price FROM (SELECT *, row_number() OVER (ORDER BY price DESC, url) AS rn, count(*) OVER () AS n FROM scored)
+       WHERE (rn - 1) // 24 = n // 48""",
+)
+def _(v):
+    """A page in the middle of all products under all keywords, with the place of each row."""
+    scored = scored_by_keyword(v)
+    total = scored.count()
+    page = total // 48 + 1
+    rows = catalog.page_rows(scored, "price_desc", page, total)
+    place = F.row_number().over(Window.orderBy(*catalog.sort_order("price_desc"))) + 24 * (page - 1)  # of one page's rows
+    return rows.select(place.cast("long").alias("rn"), "url", F.col("price.amount").alias("price"))
+
+
 @query(
     "k3_page_clamped",
     """SELECT url, price FROM (SELECT *, row_number() OVER (ORDER BY is_deal DESC, sort_score DESC, price, url) AS rn, count(*) OVER () AS n

@@ -74,3 +74,18 @@ def test_search_page(spark):
     rows = extract.search_links(frame).collect()
     assert sorted({row.url for row in rows if row.label == "PRODUCT"}) == ["https://www.amazon.fr/dp/B000000001/", "https://www.amazon.fr/dp/lowercase00"]
     assert [(row.url, row.page) for row in rows if row.label == "SEARCH"] == [("https://www.amazon.fr/s?k=a&page=2", 5)]
+
+
+def test_time_follows_the_size_of_a_page():
+    import time
+
+    html = '<b id="productTitle">x</b><div id="twister">' + '<p class="a-offscreen" data-asin="B000000001">' * 40_000 + "</div>" + "</i>" * 1000
+    start = time.perf_counter()
+    fields = extract._product_fields(html)
+    assert len(fields[-1]) == 40_000 and time.perf_counter() - start < 4
+
+
+def test_search_pages_are_read_once(spark):
+    frame = spark.createDataFrame([("<a>", "k", 1)], "html string, keyword string, page int")
+    plan = extract.search_links(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
