@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
 from pricetide.operators import catalog, extract, frontier, history, scoring, snapshots, summaries, tracking
-from pricetide.plans import nightly, search
+from pricetide.plans import commands, crawl, nightly, search
 from pricetide.plans.sql_views import ISO, OFFSET, VIEWS, millionths, outcomes_sql, state_sql
 from pricetide.session import shared_folder
 from pricetide.sources.sample_views import SampleViews, product_url, visits
@@ -1120,3 +1120,64 @@ def _(v):
     stream = v.spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(v.folder)
     save_stream(visits(stream), tables, f"{tables.folder}/stream").awaitTermination()
     return tables.items().select(*dated_columns())
+
+
+def in_two_parts(raw: DataFrame) -> list[DataFrame]:
+    """Commands of a first and of a later time."""
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    return [raw.filter(early), raw.filter(~early)]
+
+
+@query("q8_keywords_written", state_sql("keyword_commands", "keywords", "keyword"))
+def _(v):
+    tables = fresh_tables(v)
+    tables.replace("keywords", v.keywords())
+    for part in in_two_parts(v.keyword_commands()):
+        commands.apply_commands(tables, keywords=part)
+    return shown_state(keyed(tables.read("keywords"), "keyword"))
+
+
+@query(
+    "q8_t5_urls_written",
+    state_sql(
+        """(SELECT key, action, ts, seq FROM url_commands
+            UNION ALL SELECT key, 'track', ts, seq FROM favorite_commands WHERE action = 'add' AND key IS NOT NULL)""",
+        "tracked_urls", "url"),
+)
+def _(v):
+    """Url commands and the tracking that favourites bring about, in one order."""
+    tables = fresh_tables(v)
+    tables.replace("tracked_urls", v.tracked_urls())
+    tables.replace("favorites", v.favorites())
+    for urls, favorites in zip(in_two_parts(v.url_commands()), in_two_parts(v.favorite_commands())):
+        commands.apply_commands(tables, urls=urls, favorites=favorites)
+    return shown_state(keyed(tables.read("tracked_urls"), "url"))
+
+
+@query(
+    "e1_s1_pages_to_items",
+    f"""SELECT DISTINCT {PAGE_URL} AS url, 'Page ' || page_id AS title, CAST(page_id || '.99' AS DOUBLE) AS crossed,
+               CAST(CAST(make_timestamp(CAST((1704067200 + page_id * 60) AS BIGINT) * 1000000) AS DATE) AS VARCHAR) AS day FROM {SHOWN_PAGES}""",
+)
+def _(v):
+    """Fetched pages, saved as daily rows by a round of the crawl."""
+    tables = fresh_tables(v)
+    crawl.take_in(tables, v.product_pages(), "1")
+    return tables.items().select("url", "title", F.col("crossedOutPrice.amount").alias("crossed"), as_date("day").alias("day"))
+
+
+@query(
+    "q12_crawl_round",
+    f"""SELECT DISTINCT url, label, keyword FROM (
+          SELECT 'https://www.amazon.fr/s?k=' || keyword AS url, 'SEARCH' AS label, keyword FROM keywords WHERE enabled
+          UNION ALL SELECT 'https://www.amazon.fr/dp/Q' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '/', NULL,
+            CASE WHEN page_id % 4 <> 0 THEN 'kw' || (page_id % 7) END FROM {SHOWN_PAGES}
+          UNION ALL SELECT 'https://www.amazon.fr/dp/P' || lpad(CAST((page_id * 7) % 1000000 AS VARCHAR), 9, '0') || '/', NULL,
+            CASE WHEN page_id % 4 <> 0 THEN 'kw' || (page_id % 7) END FROM {SHOWN_PAGES} AND page_id <> (page_id * 7) % 1000000)""",
+)
+def _(v):
+    """What a round asks for next, from stored keywords and the variants on its pages."""
+    tables = fresh_tables(v)
+    tables.replace("keywords", v.keywords())
+    variants = crawl.take_in(tables, v.product_pages(), "1")
+    return crawl.next_requests(tables, variants).select("url", "label", "keyword")

@@ -21,6 +21,9 @@ SCHEMAS = {
 }
 
 
+# Superseded versions of a table that stay, for readers that began on them.
+KEPT_VERSIONS = 3
+
 # More days than this in one batch are taken for wrong clocks.
 MOST_DAYS = 36_525
 
@@ -30,7 +33,8 @@ class Tables:
 
     `items_raw` is partitioned by day and rewritten day by day. Every other table is replaced as a whole: each write
     goes to a new version folder, and readers take the newest one that was finished, so a job that dies half-way
-    leaves the old table in force and can simply be run again. One writer at a time.
+    leaves the old table in force and can simply be run again. Readers that began on an older version find it for
+    KEPT_VERSIONS more writes; then it is deleted. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -74,8 +78,18 @@ class Tables:
         columns = [F.col(field.name).cast(field.dataType) for field in SCHEMAS[name]]
         watched = rows.observe(seen, F.expr(counted).alias("rows")).select(*columns)
         watched.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
+        for old in self._versions(name):
+            if old < version - KEPT_VERSIONS:
+                files, path = self._path(name, f"v={old}")
+                files.delete(path, True)
         return seen.get["rows"]
 
+    def stage(self, name: str, rows) -> DataFrame:
+        """The rows that `rows()` gives, written under a name; a repeat reads them back instead."""
+        if not self._exists("staged", name, "_SUCCESS"):
+            rows().write.mode("overwrite").parquet("/".join((self.folder, "staged", name)))
+        return self.spark.read.parquet("/".join((self.folder, "staged", name)))
+
     def items(self) -> DataFrame:
         """All (url, day) rows. Filters on `day` prune folders."""
         if not self._exists("items_raw"):
