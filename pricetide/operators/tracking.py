@@ -35,25 +35,38 @@ def favorite_commands(raw: DataFrame) -> DataFrame:
     return named.withColumns({"key": accepted, "bad_id": F.col("url").isNull()}).drop("url")
 
 
-def _with_prior(commands: DataFrame, state: DataFrame, on: str, step: str) -> DataFrame:
+# Commands of a key that one task orders at a time.
+SPAN_ROWS = 50_000
+
+
+def _spans(named: DataFrame, rows: int) -> DataFrame:
+    """Adds `span` (an hour) and `part`: equal parts of the time that a key's commands of the hour take up, so many that
+    `rows` of them fall into each if they come evenly; commands of one instant stay together. Only the hours that need
+    parts are joined, not all of them."""
+    spread = named.withColumn("span", F.date_trunc("hour", "ts"))
+    at = F.unix_micros("ts")
+    crowded = spread.groupBy("key", "span").agg(
+        F.ceil(F.count(F.lit(1)) / rows).alias("parts"), F.min(at).alias("first"), F.max(at).alias("last")).filter("parts > 1")
+    part = F.floor((at - F.col("first")) / (F.col("last") - F.col("first") + 1) * F.col("parts"))
+    return spread.join(crowded, ["key", "span"], "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("parts", "first", "last")
+
+
+def _with_prior(commands: DataFrame, state: DataFrame, on: str, rows: int) -> DataFrame:
     """Adds `prior_action`, `prior_on` (some `on` action came before) and the stored row as `stored`.
 
     A window over a whole key would put a key with a third of all commands into one task. So commands are ordered
-    within spans of time (`step`), each span is summed up in one row, and only those rows are ordered per key.
-    Refused commands, whose key is null, pass through.
+    within spans of time, each span is summed up in one row, and only those rows are ordered per key. Both start from
+    one shuffle by span. Refused commands, whose key is null, need none of this and are added at the end.
     """
-    span = ["key", "span"]
-    rows = commands.withColumn("span", F.date_trunc(step, "ts"))
+    span = ["key", "span", "part"]
+    named = _spans(commands.filter(F.col("key").isNotNull()), rows).repartition(*span)
     inside = Window.partitionBy(*span).orderBy(*ORDER)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     is_on = F.col("action") == on
-    rows = rows.withColumns({"lag": F.lag("action").over(inside), "seen": F.bool_or(is_on).over(before)})
+    ordered = named.withColumns({"lag": F.lag("action").over(inside), "seen": F.bool_or(is_on).over(before)})
 
-    named = commands.filter(F.col("key").isNotNull()).withColumn("span", F.date_trunc(step, "ts"))
-    sums = named.groupBy(*span).agg(
-        F.max_by("action", F.struct(*ORDER)).alias("last"), F.bool_or(is_on).alias("any")
-    )
-    across = Window.partitionBy("key").orderBy("span")
+    sums = named.groupBy(*span).agg(F.max_by("action", F.struct(*ORDER)).alias("last"), F.bool_or(is_on).alias("any"))
+    across = Window.partitionBy("key").orderBy("span", "part")
     carried = (
         sums.select(
             *span,
@@ -62,20 +75,22 @@ def _with_prior(commands: DataFrame, state: DataFrame, on: str, step: str) -> Da
         )
         .join(state.select("key", F.struct("*").alias("stored")), "key", "left")
     )
-    return rows.join(carried, span, "left").withColumns(
+    judged = ordered.join(carried, span).withColumns(
         {
             "prior_action": F.coalesce("lag", "carried_action"),
             "prior_on": F.coalesce("seen", F.lit(False)) | F.coalesce("carried_on", F.lit(False)),
         }
     )
+    refused = commands.filter(F.col("key").isNull())
+    return judged.select(*commands.columns, "prior_action", "prior_on", "stored").unionByName(refused, allowMissingColumns=True)
 
 
-def tracking_outcomes(commands: DataFrame, state: DataFrame, codes: dict[str, str], step: str = "hour") -> DataFrame:
+def tracking_outcomes(commands: DataFrame, state: DataFrame, codes: dict[str, str], rows: int = SPAN_ROWS) -> DataFrame:
     """Every command with `outcome` and, where it was refused, `error_code` and `error_class`.
 
     `codes` names the errors for `invalid`, `conflict` and `not_found`.
     """
-    judged = _with_prior(commands, state, "track", step)
+    judged = _with_prior(commands, state, "track", rows)
     known = F.col("stored").isNotNull() | F.col("prior_on")
     tracked = (
         F.when(F.col("prior_action") == "track", True)
@@ -138,12 +153,12 @@ def tracking_state(commands: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def favorite_outcomes(commands: DataFrame, state: DataFrame, step: str = "hour") -> DataFrame:
+def favorite_outcomes(commands: DataFrame, state: DataFrame, rows: int = SPAN_ROWS) -> DataFrame:
     """Adding and removing never fail on a good id; `added` marks the commands that made a favourite.
 
     `state` has `key` and `addedAt`.
     """
-    judged = _with_prior(commands, state, "add", step)
+    judged = _with_prior(commands, state, "add", rows)
     listed = F.coalesce(F.col("prior_action") == "add", F.col("stored").isNotNull())
     outcome = (
         F.when(F.col("key").isNull(), "invalid").when(F.col("action") == "remove", "removed").when(listed, "already_favorite").otherwise("added")
@@ -156,16 +171,26 @@ def favorite_outcomes(commands: DataFrame, state: DataFrame, step: str = "hour")
     return with_error_class(judged.withColumn("error_code", error))
 
 
-def favorite_state(outcomes: DataFrame, state: DataFrame) -> DataFrame:
-    """The favourites after all commands, each with the time it was added first since it was last removed."""
-    done = outcomes.filter(F.col("key").isNotNull()).groupBy("key").agg(
-        (F.max_by("action", F.struct(*ORDER)) == "add").alias("on"),
-        F.max(F.when(F.col("outcome") == "added", F.col("ts"))).alias("added_ts"),
+def favorite_state(commands: DataFrame, state: DataFrame) -> DataFrame:
+    """The favourites after all commands, each with the time it was added first since it was last removed.
+
+    What was added before a key's last removal does not matter, so this needs that removal, the last action, and the
+    first addition after the removal: two aggregations, and a join that Spark can split.
+    """
+    order = F.struct(*ORDER)
+    named = commands.filter(F.col("key").isNotNull()).select("key", "action", *ORDER)
+    done = named.groupBy("key").agg(
+        (F.max_by("action", order) == "add").alias("on"),
+        F.max(F.when(F.col("action") == "remove", order)).alias("removed"),
     )
+    removed = done.filter("on").select("key", "removed")
+    fresh = named.filter(F.col("action") == "add").join(removed, "key").filter(F.col("removed").isNull() | (order > F.col("removed")))
+    added = fresh.groupBy("key").agg(F.min("ts").alias("added_ts"))
     return (
-        state.join(done, "key", "full")
+        state.join(done.join(added, "key", "left"), "key", "full")
         .filter(F.coalesce("on", F.lit(True)))
-        .select("key", F.coalesce("added_ts", "addedAt").alias("addedAt"))
+        # A favourite that was stored and not removed since keeps its time.
+        .select("key", F.coalesce(F.when(F.col("removed").isNull(), F.col("addedAt")), "added_ts", "addedAt").alias("addedAt"))
     )
 
 

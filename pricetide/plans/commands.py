@@ -39,7 +39,7 @@ def apply_commands(
     if favorites is not None:
         commands, state = tracking.favorite_commands(favorites), _keyed(tables.read("favorites"), "url")
         judged["favorites"] = tracking.favorite_outcomes(commands, state)
-        tables.replace("favorites", _keyed_back(tracking.favorite_state(judged["favorites"], state), "url"))
+        tables.replace("favorites", _keyed_back(tracking.favorite_state(commands, state), "url"))
         added = tracking.tracking_from_favorites(commands).withColumn("implied", F.lit(True))
     if urls is not None or added is not None:
         named = None if urls is None else tracking.url_commands(urls).withColumn("implied", F.lit(False))

@@ -1079,7 +1079,7 @@ def _(v):
 )
 def _(v):
     commands, state = tracking.favorite_commands(v.favorite_commands()), keyed(v.favorites(), "url")
-    after = tracking.favorite_state(tracking.favorite_outcomes(commands, state), state)
+    after = tracking.favorite_state(commands, state)
     return after.select("key", as_iso("addedAt").alias("added_at"))
 
 

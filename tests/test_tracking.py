@@ -41,15 +41,15 @@ def replay(commands, state):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("step", ["hour", "day", "minute"])
-def test_keywords(spark, seed, step):
+@pytest.mark.parametrize("rows", [1, 7, 50_000])
+def test_keywords(spark, seed, rows):
     keys = ["hot", " on", "off ", "unsaid", "idle", "new1", "new2", "  "]
     state = {"on": True, "off": False, "unsaid": None, "idle": None}
     commands = random_commands(seed, keys, ["track", "untrack"], 400 if seed else 12)
     outcomes, after = replay(commands, state)
     frame = tracking.keyword_commands(spark.createDataFrame(commands, RAW))
     stored = spark.createDataFrame(list(state.items()), "key string, enabled boolean")
-    judged = tracking.tracking_outcomes(frame, stored, tracking.KEYWORD_CODES, step)
+    judged = tracking.tracking_outcomes(frame, stored, tracking.KEYWORD_CODES, rows)
     assert {row.seq: row.outcome for row in judged.collect()} == outcomes
     assert {row.key: row.enabled for row in tracking.tracking_state(frame, stored).collect()} == after
 
@@ -101,3 +101,14 @@ def test_seeding(spark):
     assert sorted(map(tuple, tracking.seeded(empty, defaults).collect())) == [("a", True), ("b", True)]
     filled = spark.createDataFrame([("x", None)], "keyword string, enabled boolean")
     assert list(map(tuple, tracking.seeded(filled, defaults).collect())) == [("x", None)]
+
+
+def test_a_crowded_hour_is_ordered_in_parts(spark):
+    rows = [("hot" if i % 10 else f"k{i}", "track", START + dt.timedelta(milliseconds=3 * i), i) for i in range(20_000)]
+    named = tracking.keyword_commands(spark.createDataFrame(rows, RAW))
+    parts = tracking._spans(named, 1000).groupBy("key", "span", "part").count().agg(F.max("count"), F.count("*")).first()
+    assert parts[0] <= 1100 and parts[1] >= 18
+    stored = spark.createDataFrame([], "key string, enabled boolean")
+    judged = tracking.tracking_outcomes(named, stored, tracking.KEYWORD_CODES, 1000)
+    counts = {row.outcome: row["count"] for row in judged.groupBy("outcome").count().collect()}
+    assert counts == {"created": 2001, "conflict": 17_999}
