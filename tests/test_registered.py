@@ -13,7 +13,7 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_query(spark, db, name):
     sql = registered.oracle_sql()[name]
     assert differences(spark, db, registered.queries()[name], sql, FOLDER) == []
