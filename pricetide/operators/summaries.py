@@ -1,12 +1,12 @@
 """Counts and lists over keywords, tracked urls and favourites."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money
 from pricetide.operators.catalog import SCORE_FIELDS, deals, product_details, product_summary
-from pricetide.operators.snapshots import ROW_FIELDS, latest, latest_usable, observed_for_keyword
+from pricetide.operators.snapshots import ROW_FIELDS, latest, latest_usable, observed_for_keyword, top_per_key
 
 
 def enabled(dimension: DataFrame) -> DataFrame:
@@ -48,42 +48,39 @@ def keyword_totals(scored: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def current_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
-    """Scored deals at their newest snapshot under any keyword, best first, then by url.
+def _deals_now(items: DataFrame, scores: DataFrame) -> DataFrame:
+    """Scored deals at their newest snapshot under any keyword.
 
     Rows meet the scores before the newest one is looked for: both go by url, so the result is the same, and only
     products that are deals get grouped.
     """
     seen = items.filter(F.col("keyword").isNotNull()).join(deals(scores), "url")
-    return latest_usable(seen, "url", fields=(*ROW_FIELDS, *SCORE_FIELDS)).orderBy(F.desc("dealScore"), "url")
+    return latest_usable(seen, "url", fields=(*ROW_FIELDS, *SCORE_FIELDS))
+
+
+def current_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
+    """The deals, best first, then by url."""
+    return _deals_now(items, scores).orderBy(F.desc("dealScore"), "url")
 
 
-def keyword_deals(items: DataFrame, scores: DataFrame, parts: int = 32) -> DataFrame:
+def keyword_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
     """All keywords with products, their number of deals and the best three; keywords without deals stay.
 
-    One pass counts and ranks. It goes over `parts` shares of each keyword first, so that a keyword with a third of
-    all deals is spread over that many tasks, and hands at most three rows per share on.
+    Counts are partial sums. Ranking goes over keyword, url and score alone, with a limit per group before the shuffle;
+    only the few urls that come out of it are read with all their fields.
     """
-    found = product_summary(current_deals(items, scores))
-    share = Window.partitionBy("keyword", "part").orderBy(F.desc("dealScore"), "url")
-    ranked = found.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(parts))).withColumn("rank", F.row_number().over(share))
-    candidate = F.struct((-F.col("dealScore")).alias("order"), "url", F.struct(*found.columns).alias("deal"))
-    best = F.collect_list(F.when(F.col("rank") <= fixed.DEALS_SHOWN_PER_KEYWORD, candidate))
-    shares = ranked.groupBy("keyword", "part").agg(F.count(F.lit(1)).alias("n"), best.alias("best"))
-    board = shares.groupBy("keyword").agg(
-        F.sum("n").alias("totalDeals"),
-        F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, fixed.DEALS_SHOWN_PER_KEYWORD).alias("best"),
-    )
+    found = _deals_now(items, scores).select("keyword", "url", "dealScore")
+    counts = found.groupBy("keyword").agg(F.count(F.lit(1)).alias("totalDeals"))
+    best = top_per_key(found, "keyword", [F.desc("dealScore"), F.asc("url")], fixed.DEALS_SHOWN_PER_KEYWORD, spread="url").select("url", "rank")
+    shown = product_summary(_deals_now(items.join(best.select("url"), "url", "left_semi"), scores))
+    ranked = shown.join(best, "url").select("keyword", F.struct("rank", F.struct(*shown.columns).alias("deal")).alias("ranked"))
+    board = ranked.groupBy("keyword").agg(F.transform(F.sort_array(F.collect_list("ranked")), lambda x: x["deal"]).alias("deals"))
     return (
         keyword_stats(items)
         .select("keyword", "productCount")
+        .join(counts, "keyword", "left")
         .join(board, "keyword", "left")
-        .select(
-            "keyword",
-            "productCount",
-            F.coalesce("totalDeals", F.lit(0)).alias("totalDeals"),
-            F.coalesce(F.transform("best", lambda x: x["deal"]), F.array()).alias("deals"),
-        )
+        .select("keyword", "productCount", F.coalesce("totalDeals", F.lit(0)).alias("totalDeals"), F.coalesce("deals", F.array()).alias("deals"))
         .orderBy(F.desc("totalDeals"), F.collate("keyword", "fr"))
     )
 
