@@ -19,6 +19,8 @@ BANDS, ROWS = 24, 5
 BATCH = 20
 MISS = 1e-6
 SEED = 20
+# Parts that shingle sets are dealt into to count differences.
+PARTS = 128
 CACHED_WORDS = 400_000
 
 
@@ -140,15 +142,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the whole shingle sets of the documents named in `ids` (rep)."""
+    """(doc_id, shingles, parts): the whole shingle sets of the documents named in `ids` (rep), and a sum over each of
+    PARTS parts that shingles fall into by hash."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows = rows.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "shingles": [shingle_set(t).tobytes() for t in pdf.text]})
+            sets = [shingle_set(t) for t in pdf.text]
+            parts = [np.bincount((s % np.uint64(PARTS)).astype(int), (s >> np.uint64(40)).astype(float), PARTS).astype(np.int64) for s in sets]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "shingles": [s.tobytes() for s in sets], "parts": parts})
 
-    return rows.mapInPandas(shingled, "doc_id long, shingles binary")
+    return rows.mapInPandas(shingled, "doc_id long, shingles binary, parts array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -178,9 +183,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Documents of one set are one class, and classes go by their smallest id. A pair is a candidate if it agrees in one
     of 24 bands of 5 values: at the threshold of 0.85 that misses one pair in a million, and fewer above it. In a
-    bucket nobody is paired with everybody: its first member is tested against the others, then its last; only members
-    that are then still outside the component of the first are paired with the rest. A pair inside a component needs no
-    test, so no link that matters is lost.
+    bucket nobody is paired with everybody: its first member is tested against the others, then its last; members that
+    are then still outside the component of the first are paired with those of the rest that a bound leaves
+    (`_cross_pairs`). A pair inside a component needs no test, so no link that matters is lost.
     """
     similarity = percent / 100
     base = stored(signatures(docs))
@@ -195,21 +200,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     members = stored(members.join(groups, "bucket"))
     full = stored(full_sets(docs, members))
-    links = None
+    found = stored(components(edges))
     for hub in ("low", "high"):
-        pairs = members.filter(F.col("rep") != F.col(hub))
-        if links is not None:
-            pairs = _apart(pairs, hub, found)
-        links, found = _linked(pairs.select(F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b")), sets, full, edges, links, percent)
-    # Members outside the component of their bucket's first one, and everybody in another component there.
-    placed = members.select("bucket", "rep", "low").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
-    home = found.select(F.col("node").alias("low"), F.col("component").alias("home"))
-    placed = stored(placed.join(home, "low", "left").withColumn("home", F.coalesce("home", "low")))
-    odd = placed.filter("component <> home").select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    rest = odd.join(placed, "bucket").filter((F.col("cx") != F.col("component")) & ((F.col("component") == F.col("home")) | (F.col("x") < F.col("rep"))))
-    rest = rest.filter((F.col("rep") != F.col("low"))).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-    links, found = _linked(rest, sets, full, edges, links, percent)
+        pairs = _apart(members.filter(F.col("rep") != F.col(hub)), hub, found)
+        found = _joined(found, _links(pairs.select(F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b")), sets, full, percent))
+    found = _joined(found, _links(_cross_pairs(members, sets, full, found, percent), sets, full, percent))
     out = base.select("doc_id", "n_shingles").join(found, base["doc_id"] == found["node"], "left")
     component = F.coalesce("component", "doc_id")
     shown = lambda c: F.when(c != NO_ID, c)
@@ -218,6 +213,62 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         (F.col("doc_id") == component).alias("kept"))
 
 
+def _cross_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different components that may still be links.
+
+    Members outside the component of their bucket's first one meet everybody there who is in another component, but
+    for those whom a bound rules out. Let own(x) be the number of shingles that x shares with no one in these buckets.
+    Then x and y have o = min(n(x) - own(x), n(y) - own(y)) shingles in common at most, and their similarity is at most
+    o / (n(x) + n(y) - o). In a large group of copies with many edits each, the own shingles are the edits, and most
+    members fall to the smallest size in the bucket, before any pair is made.
+
+    Second, a link leaves room for d = (n(x) + n(y)) (100 - percent) / (100 + percent) shingles that only one of the two
+    has. Each spoils one part of the hashed parts of a set, so at least PARTS - d parts must have equal sums.
+    """
+    placed = members.select("bucket", "rep", "low").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    home = found.select(F.col("node").alias("low"), F.col("component").alias("home"))
+    placed = placed.join(home, "low", "left").withColumn("home", F.coalesce("home", "low"))
+    placed = stored(placed.join(sets.select("rep", "n"), "rep").distinct())
+    open_buckets = stored(placed.groupBy("bucket").agg(
+        F.max(F.col("component") != F.col("home")).alias("open"), F.min("n").alias("least")).filter("open").drop("open"))
+    placed = stored(placed.join(open_buckets, "bucket"))
+    shingles = full.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def one_by_one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ident, data in zip(pdf.doc_id, pdf.shingles, strict=True):
+                yield pd.DataFrame({"rep": ident, "shingle": np.frombuffer(data, np.int64)})
+
+    single = shingles.mapInPandas(one_by_one, "rep long, shingle long").groupBy("shingle").agg(
+        F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
+    own = stored(single.groupBy("rep").agg(F.count("*").alias("own")))
+    buckets = placed.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # at most one per band
+    parts = full.groupBy(F.col("doc_id").alias("rep")).agg(F.first("parts").alias("parts"), F.count("*").alias("texts"))
+    # An id with several texts is not judged by the parts of one of them.
+    parts = parts.select("rep", F.when(F.col("texts") == 1, F.col("parts")).alias("parts"))
+    placed = placed.join(own, "rep", "left").join(buckets, "rep").join(parts, "rep").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+
+    def may_reach(common, n, other):
+        return 100 * common >= percent * (n + other - common)
+
+    placed = placed.withColumn("odd", F.col("component") != F.col("home")).filter(
+        ~F.col("odd") | may_reach(F.col("shared"), F.col("n"), F.greatest("least", "shared")))
+    placed = stored(placed.select("bucket", "rep", "component", "n", "shared", "odd", "buckets", "parts"))
+    odd = placed.filter("odd").select(
+        "bucket", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("shared").alias("sx"),
+        F.col("buckets").alias("bx"), F.col("parts").alias("px"))
+    spoilt = F.floor((F.col("nx") + F.col("n")) * (100 - percent) / (100 + percent))
+    equal = F.aggregate(F.zip_with("px", "parts", lambda p, q: (p == q).cast("int")), F.lit(0), lambda a, e: a + e)
+    # A pair that shares several buckets is made in one of them.
+    both = odd.join(placed, "bucket").filter(
+        (F.col("cx") != F.col("component")) & (~F.col("odd") | (F.col("x") < F.col("rep")))
+        & may_reach(F.least("sx", "shared"), F.col("nx"), F.col("n"))
+        & (F.array_min(F.array_intersect("bx", "buckets")) == F.col("bucket"))
+        & ((spoilt >= PARTS) | (F.coalesce(equal, F.lit(PARTS)) >= PARTS - spoilt)))
+    return both.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
+
+
 def _apart(pairs: DataFrame, hub: str, found: DataFrame) -> DataFrame:
     """Pairs whose two members are in different components so far."""
     for side in ("rep", hub):
@@ -226,9 +277,18 @@ def _apart(pairs: DataFrame, hub: str, found: DataFrame) -> DataFrame:
     return pairs.filter(F.col("c_rep") != F.col(f"c_{hub}"))
 
 
-def _linked(pairs, sets, full, edges, links, percent):
-    """All links with those among `pairs` added, and the components they make with the copies."""
-    checked = stored(_verified(pairs.distinct(), sets, percent / 100))
-    fresh = stored(_confirmed(checked, full, percent))
-    links = fresh if links is None else links.unionByName(fresh)
-    return links, stored(components(edges.unionByName(links)))
+def _links(pairs: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The links among candidate pairs."""
+    return stored(_confirmed(stored(_verified(pairs.distinct(), sets, percent / 100)), full, percent))
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) with links added: only the components that a link joins are looked at again."""
+    ends = links
+    for side in ("a", "b"):
+        named = found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        ends = ends.join(named, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+    tops = stored(components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))))
+    moved = found.join(tops.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    fresh = tops.join(found, "node", "left_anti")
+    return stored(moved.select("node", F.coalesce("top", "component").alias("component")).unionByName(fresh.select("node", "component")))
