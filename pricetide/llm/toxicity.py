@@ -32,8 +32,13 @@ def tokens(text: str) -> list[str]:
     return words
 
 
-def inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def inputs(words: list[str], at_once: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word the row of its own vector, the rows of its runs of three characters, and how many these are."""
+    parts = [_inputs(words[i : i + at_once]) for i in range(0, len(words), at_once)]
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bare = [w.strip(EDGES) or w for w in words]
     codes = np.zeros((len(words), LONGEST_WORD + 2), np.uint32)
     codes[:, 1:-1] = np.array(bare, f"U{LONGEST_WORD}").view(np.uint32).reshape(len(words), LONGEST_WORD)
@@ -45,8 +50,8 @@ def inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     three = (codes[:, :-2] * np.uint32(0x9E3779B1) + codes[:, 1:-1]) * np.uint32(0x85EBCA77) + codes[:, 2:]
     three = (three ^ (three >> np.uint32(13))) * np.uint32(0xC2B2AE3D)
     mask = np.arange(LONGEST_WORD) < size[:, None]
-    rows = np.where(mask, (three >> np.uint32(19)).astype(np.int64), CHARACTER_ROWS)  # the last row stays zero
-    return (own >> np.uint32(18)).astype(np.int64), rows, np.maximum(size, 1)
+    rows = np.where(mask, (three >> np.uint32(19)).astype(np.int16), np.int16(CHARACTER_ROWS))  # the last row stays zero
+    return (own >> np.uint32(18)).astype(np.int16), rows, np.maximum(size, 1).astype(np.int16)
 
 
 def window_starts(n: int) -> range:
@@ -87,10 +92,13 @@ class Network:
     def vectors(self, own, rows, size) -> np.ndarray:
         return np.concatenate([self.words[own], self.characters[rows].sum(1) / size[:, None]], 1, dtype=np.float32)
 
-    def projected(self, words: list[str]) -> np.ndarray:
-        """What each word adds to the gates of both directions."""
-        out = [self.vectors(*inputs(words[i : i + 4096])) @ self.dense["W"] + self.dense["b"] for i in range(0, len(words), 4096)]
-        return np.concatenate(out) if out else np.zeros((0, 6 * HIDDEN), np.float32)
+    def projected(self, own, rows, size, at_once: int = 4096) -> np.ndarray:
+        """What each word adds to the gates of both directions, from row 1 on; row 0 is padding."""
+        out = np.zeros((len(own) + 1, 6 * HIDDEN), np.float32)
+        for i in range(0, len(own), at_once):
+            p = slice(i, i + at_once)
+            out[1 + i : 1 + i + at_once] = self.vectors(own[p], rows[p], size[p]) @ self.dense["W"] + self.dense["b"]
+        return out
 
     def _read(self, x, U, mask, keep):
         """States of one direction; x: time, window, gates; mask: time, window, 1."""
@@ -213,7 +221,7 @@ class Vocabulary(dict):
         if need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), 6 * HIDDEN), np.float32)])
         if self.fresh:
-            self.table[need - len(self.fresh) : need] = self.network.projected(self.fresh)
+            self.table[need - len(self.fresh) : need] = self.network.projected(*inputs(self.fresh))[1:]
             self.fresh = []
         return self.table
 
@@ -236,7 +244,7 @@ def document_scores(vocabulary: Vocabulary, texts: list[str]) -> np.ndarray:
     return _sigmoid(np.maximum.reduceat(logits, first).astype(float))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 256, seed: int = 11) -> Network:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 256, seed: int = 11) -> Network:
     """A network from labelled texts. The first epochs take every window of a toxic text for toxic, up to 8 drawn at
     random; later ones its most suspicious one. Of clean texts the most suspicious and a random window are taken."""
     network = Network()
@@ -249,12 +257,14 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 256
     names: dict[str, int] = {}
     docs = [windows(np.array([names.setdefault(w, len(names) + 1) for w in tokens(t)], np.int32)) for t in texts]
     own, rows, size = inputs(list(names)) if names else inputs(["x"])
-    every = np.concatenate(docs)
     first = np.cumsum([0, *map(len, docs)])
+    every = np.concatenate(docs)
+    del docs, names
     for epoch in range(epochs):
         if epoch >= 2:
-            table = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), network.vectors(own, rows, size) @ network.dense["W"] + network.dense["b"]])
-            logits = np.concatenate([network.forward(table, every[i : i + 1024]) for i in range(0, len(every), 1024)])
+            table = network.projected(own, rows, size)
+            logits = np.concatenate([network.forward(table, every[i : i + 512]) for i in range(0, len(every), 512)])
+            del table
         chosen, marks = [], []
         for i, y in enumerate(labels):
             a, b = first[i], first[i + 1]
