@@ -63,7 +63,8 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     prints = windows.select("id", "text_hash", "print", "print_at").distinct().groupBy("print").count().filter("count > 1")
     known = windows.join(prints.select("print"), "print", "left_semi")
     place = F.struct("id", "text_hash", "first")
-    origin = known.groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written first, so that the join below has a shuffle of its own and Spark can split a very common window.
+    origin = stored(known.groupBy("w1", "w2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     matched = known.join(origin, ["w1", "w2"]).filter(place > F.col("origin")).select("id", "text_hash", "first", "last")
     doc = Window.partitionBy("id", "text_hash").orderBy("first", "last")
     reached = F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1))
