@@ -18,6 +18,9 @@ LEAST_IMPORTANCE = 0.5
 # A host of so many pages has as much say about its branches as all hosts together have.
 HOST_PAGES = 100
 
+# Elements further down belong to the node at this depth.
+DEEPEST = 40
+
 # Fixed values of HTML: elements without content, with raw content, and inside a line; what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -105,8 +108,10 @@ class Page:
         if tag in CLOSED_BY:
             self.close(CLOSED_BY[tag])
         label = self.label(tag, attributes)
+        above = self.stack[-1][1]
         self.stack[-1][2].append(label)
-        self.stack.append((tag, f"{self.stack[-1][1]}/{label}", []))
+        deeper = len(self.stack) <= DEEPEST or (label[0] == "!" and "/!" not in above)
+        self.stack.append((tag, f"{above}/{label}" if deeper else above, []))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def label(self, tag: str, attributes: str) -> str:
@@ -235,7 +240,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Null html is empty; a page without text, or without anything important, gives an empty text. A null or odd url
     makes a page one of the host "". Repeated rows count as pages of their own. Other columns are not read.
     """
-    low = low_branches(pages)
+    # Written first: Spark then knows its size, sends it to the pages if it is small, and can split a large host if not.
+    low = stored(low_branches(pages))
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
     joined = keyed.join(low, "host", "left").select("page_id", "url", "html", F.coalesce("paths", F.expr("cast(array() as array<string>)")).alias("paths"))
 
