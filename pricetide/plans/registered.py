@@ -267,12 +267,12 @@ def _(v):
 @query(
     "p6_product_summary",
     f"""SELECT rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=') AS id, url, keyword, 'amazon' AS shop,
-               coalesce(title, '') AS title, CAST(2 AS BIGINT) AS images, price, crossed, unit_price, delivery,
+               coalesce(title, '') AS title, image || ' ' || replace(image, '._AC_US40_', '') AS images, price, crossed, unit_price, delivery,
                strftime(scraped_at, {ISO}) AS scraped_at, score, predicted_price, trend, is_deal FROM scored""",
 )
 def _(v):
     return catalog.product_summary(scored_by_keyword(v)).select(
-        "id", "url", "keyword", "shop", "title", F.size("images").alias("images"), F.col("price.amount").alias("price"),
+        "id", "url", "keyword", "shop", "title", F.array_join("images", " ").alias("images"), F.col("price.amount").alias("price"),
         F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
         F.col("deliveryDate").alias("delivery"), F.col("scrapedAt").alias("scraped_at"), F.col("dealScore").alias("score"),
         F.col("predictedPrice").alias("predicted_price"), F.col("trendDirection").alias("trend"), F.col("isDeal").alias("is_deal"),
@@ -404,7 +404,7 @@ def partly_missing(v: SampleViews) -> tuple[DataFrame, DataFrame]:
 
 def detail_columns():
     return [
-        "url", "id", "keyword", "shop", "title", F.size("images").alias("images"), F.col("price.amount").alias("price"),
+        "url", "id", "keyword", "shop", "title", F.array_join("images", " ").alias("images"), F.col("price.amount").alias("price"),
         F.col("crossedOutPrice.amount").alias("crossed"), F.col("unitPrice.amount").alias("unit_price"),
         F.col("deliveryDate").alias("delivery"), F.col("scrapedAt").alias("scraped_at"), F.col("dealScore").alias("score"),
         F.col("predictedPrice").alias("predicted_price"), F.col("trendDirection").alias("trend"), F.col("isDeal").alias("is_deal"),
@@ -412,7 +412,7 @@ def detail_columns():
     ]
 
 
-DETAIL_FIELDS = f"""rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=') AS id, 'amazon' AS shop, CAST(2 AS BIGINT) AS images,
+DETAIL_FIELDS = f"""rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/', '_'), '=') AS id, 'amazon' AS shop,
   score, predicted_price, trend, coalesce(score, -1) >= 10 AS is_deal"""
 
 
@@ -422,7 +422,7 @@ DETAIL_FIELDS = f"""rtrim(replace(replace(to_base64(encode(url)), '+', '-'), '/'
           n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY day DESC) AS r FROM late) WHERE r = 1),
           e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY day DESC) AS r FROM early) WHERE r = 1),
           h AS (SELECT url, min(day) AS first_seen, max(day) AS last_seen, count(*) AS entries FROM early GROUP BY url)
-        SELECT url, {DETAIL_FIELDS}, coalesce(n.keyword, e.keyword) AS keyword, coalesce(nullif(n.title, ''), e.title, '') AS title,
+        SELECT url, {DETAIL_FIELDS}, coalesce(n.image, e.image) || ' ' || replace(coalesce(n.image, e.image), '._AC_US40_', '') AS images, coalesce(n.keyword, e.keyword) AS keyword, coalesce(nullif(n.title, ''), e.title, '') AS title,
                coalesce(n.price, e.price) AS price, coalesce(n.crossed, e.crossed) AS crossed, coalesce(n.unit_price, e.unit_price) AS unit_price,
                n.delivery, strftime(coalesce(n.scraped_at, e.scraped_at), {ISO}) AS scraped_at, coalesce(entries, 0) AS entries,
                strftime(first_seen, {ISO}) AS first_seen, strftime(last_seen, {ISO}) AS last_seen
@@ -432,7 +432,7 @@ def _(v):
     return catalog.product_details(*partly_missing(v), v.scores()).select(*detail_columns())
 
 
-FULL_DETAIL_SQL = f"""SELECT n.url, {DETAIL_FIELDS.replace('(url)', '(n.url)')}, n.keyword, coalesce(n.title, '') AS title, n.price, n.crossed, n.unit_price, n.delivery,
+FULL_DETAIL_SQL = f"""SELECT n.url, {DETAIL_FIELDS.replace('(url)', '(n.url)')}, n.image || ' ' || replace(n.image, '._AC_US40_', '') AS images, n.keyword, coalesce(n.title, '') AS title, n.price, n.crossed, n.unit_price, n.delivery,
   strftime(n.scraped_at, {ISO}) AS scraped_at, h.entries, strftime(h.first_seen, {ISO}) AS first_seen, strftime(h.last_seen, {ISO}) AS last_seen
   FROM newest n JOIN histories h ON n.url = h.url LEFT JOIN scores s ON n.url = s.url"""
 
@@ -1181,3 +1181,14 @@ def _(v):
     tables.replace("keywords", v.keywords())
     variants = crawl.take_in(tables, v.product_pages(), "1")
     return crawl.next_requests(tables, variants).select("url", "label", "keyword")
+
+
+@query(
+    "x5_last_entries",
+    """SELECT url, CAST(day AS VARCHAR) AS day, price, rank FROM (
+         SELECT url, day, price, row_number() OVER (PARTITION BY url ORDER BY day DESC) AS rank FROM items) WHERE rank <= 7""",
+)
+def _(v):
+    """The newest entries of each stored history, last one first."""
+    shown = v.history().select("url", F.posexplode(arrays.last_n(F.col("history"), fixed.HISTORY_LIMIT_FAVORITES)).alias("at", "e"))
+    return shown.select("url", as_date("e.day").alias("day"), F.col("e.price.amount").alias("price"), (F.col("at") + 1).alias("rank"))
