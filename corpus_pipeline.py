@@ -10,6 +10,8 @@ from pricetide.llm.common import stored, table
 from pricetide.llm.queries import tokenizer_files
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Near copies have so much of the union of their shingle sets in common.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Documents without an id stay."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of near-duplicates: the one with the smallest id. Documents without an id stay.
+
+    Links are those of NEAR_PERCENT, which is less strict than the default of `op1_minhash_bayes`.
+    """
+    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

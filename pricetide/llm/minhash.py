@@ -16,6 +16,8 @@ from pricetide.llm.graph import components
 
 WORDS = 5
 BANDS, ROWS = 24, 5
+# Values of a signature; other thresholds cut the same values into other bands.
+VALUES = BANDS * ROWS
 BATCH = 20
 MISS = 1e-6
 SEED = 20
@@ -63,7 +65,7 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    draw = lambda: rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+    draw = lambda: rng.integers(0, 2**63, VALUES, dtype=np.uint64)
     return draw() * np.uint64(2) + np.uint64(1), draw()
 
 
@@ -80,6 +82,13 @@ def signature(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) ->
     return out
 
 
+def banding(similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """(bands, values in each): the longest bands in which a pair of this similarity agrees nowhere with a chance of
+    `miss` at most; bands of one value where none are, below a similarity of 0.11."""
+    cuts = [(VALUES // rows, rows) for rows in range(VALUES, 0, -1) if VALUES % rows == 0]
+    return next((c for c in cuts if (1 - similarity ** c[1]) ** c[0] <= miss), cuts[-1])
+
+
 def least_matches(similarity: float, miss: float = MISS) -> list[int]:
     """Least number of equal values after each batch below which a pair is dropped.
 
@@ -89,7 +98,7 @@ def least_matches(similarity: float, miss: float = MISS) -> list[int]:
     grid = np.linspace(1e-6, 1 - 1e-6, 4001)
     above = grid >= similarity
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, VALUES + 1, BATCH):
         least = n
         for m in range(n, -1, -1):
             log = m * np.log(grid) + (n - m) * np.log1p(-grid) + lgamma(n + 2) - lgamma(m + 1) - lgamma(n - m + 1)
@@ -182,12 +191,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     A null id sorts behind all others and comes out as null, linked as any other. Other columns are not read.
 
     Documents of one set are one class, and classes go by their smallest id. A pair is a candidate if it agrees in one
-    of 24 bands of 5 values: at the threshold of 0.85 that misses one pair in a million, and fewer above it. In a
-    bucket nobody is paired with everybody: its first member is tested against the others, then its last; members that
+    band of values: 24 bands of 5 at 85 percent, 30 of 4 at 80 (`banding`), so that a pair at the threshold is missed
+    once in a million at most, and less above it. In a bucket nobody is paired with everybody: its first member is tested against the others, then its last; members that
     are then still outside the component of the first are paired with those of the rest that a bound leaves
     (`_cross_pairs`). A pair inside a component needs no test, so no link that matters is lost.
     """
-    similarity = percent / 100
+    n_bands, n_rows = banding(percent / 100)
     base = stored(signatures(docs))
     rows = base.filter("n_shingles > 0")
     sets = stored(rows.groupBy("h1", "h2").agg(
@@ -195,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Copies: each row is linked with the representative of its class. Classes of one row need no edge.
     edges = rows.join(sets.select("h1", "h2", "rep"), ["h1", "h2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     edges = stored(edges.distinct())
-    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("signature"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.substring(F.col("signature"), i * (4 * n_rows) + 1, F.lit(4 * n_rows))))
     members = sets.select("rep", bands.alias("band", "values")).select(F.xxhash64("band", "values").alias("bucket"), "rep").distinct()
     groups = members.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     members = stored(members.join(groups, "bucket"))

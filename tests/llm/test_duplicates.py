@@ -96,6 +96,13 @@ def test_thresholds_of_the_sequential_test():
     assert lost == 0
 
 
+@pytest.mark.parametrize("percent", range(11, 100))
+def test_bands_follow_the_threshold(percent):
+    bands, rows = minhash.banding(percent / 100)
+    assert bands * rows == minhash.VALUES and (1 - (percent / 100) ** rows) ** bands <= minhash.MISS
+    assert percent != 85 or (bands, rows) == (minhash.BANDS, minhash.ROWS)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, frame, seed):
     rng = random.Random(seed)

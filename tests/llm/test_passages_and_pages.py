@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricetide.llm import decontamination, style_tree
 
@@ -150,6 +151,50 @@ def test_pipeline_stages(spark):
     assert toxicity.WINDOW > toxicity.STRIDE
 
 
+def test_near_copies_of_80_percent_go_in_the_pipeline(spark, frame):
+    """Near copies around the threshold, by brute force; the stages behind get what is left."""
+    import corpus_pipeline
+    from pricetide.llm import minhash
+    from pricetide.llm.common import stored, table
+
+    folder = "/root/testdata/sf0.001"
+    rng = random.Random(80)
+    rows = []
+    for group in range(40):
+        base = [f"g{group}w{i}" for i in range(104)]
+        rows.append((2 * group, " ".join(base), "en", "s", 1))
+        cut = 70 + group // 2  # this many shingles of a hundred, from one side
+        rows.append((2 * group + 1, " ".join(base[: cut + 4] if rng.random() < 0.5 else base[-cut - 4 :]), "en", "s", 1))
+    given = table(spark, folder, "documents").select(F.col("doc_id") + 1000, "text", "lang", "source", "n_chars").toDF(*corpus_pipeline.COLUMNS)
+    docs = stored(frame(rows, given.schema).unionByName(given))
+    before = {r.doc_id: r.text for r in docs.collect()}
+    sets = {d: set(minhash.shingle_set(t).tolist()) for d, t in before.items()}
+    top = {d: d for d in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    names = sorted(sets)
+    for i, b in enumerate(names):
+        for a in names[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                top[high] = low
+    want = {d for d in sets if find(d) != d}
+    assert {2 * g + 1 for g in range(40)} & want == {2 * g + 1 for g in range(20, 40)}
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stored(stages["near_dedup"](spark, docs, folder))
+    after = {r.doc_id: r.text for r in docs.collect()}
+    assert docs.columns == corpus_pipeline.COLUMNS and set(before) - set(after) == want
+    bench = [r.text.lower() for r in table(spark, folder, "benchmark").collect()]
+    docs = stored(stages["decontamination"](spark, docs, folder))
+    clean = {r.doc_id for r in docs.collect()}
+    assert set(after) - clean == {d for d, t in after.items() if any(b in t.lower() for b in bench)}
+    assert {r.doc_id for r in stages["packing"](spark, docs, folder).collect()} == clean
+
+
 @pytest.mark.parametrize("length", [8, 9, 50, 200, 5000])
 def test_budget_leaves_a_gram(length):
     assert decontamination.least_shared(length) >= 1
