@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -153,13 +155,19 @@ STYLE, CONTENT, PAGES = 0, 1, 2
 
 def tree(pages: DataFrame) -> DataFrame:
     """(host, path, kind, feature, pages, weight): of each node of a host's merged tree the styles (sequences of
-    children) and texts it has, on how many pages each, and of how many characters; and on how many pages it has text."""
+    children) and texts it has, on how many pages each, and of how many characters; and on how many pages it has text.
+
+    Pages of a host with the same blocks of text are one page, however many rows they are: copies say nothing about a
+    template. On several hosts a page counts once on each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for site, source in zip(pdf.host, pdf.html, strict=True):
                 page = Page(source)
+                blocks = "\0".join(part for block in page.blocks for part in block)
+                digest = xxhash.xxh3_128_digest(blocks.encode("utf-8", "surrogatepass"))
                 seen: dict[tuple[str, int, int], int] = {}
                 for path, text in page.blocks:
                     key = (path, CONTENT, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
@@ -168,11 +176,18 @@ def tree(pages: DataFrame) -> DataFrame:
                 for path, labels in page.children:
                     key = (path, STYLE, xxhash.xxh3_64_intdigest(" ".join(labels).encode("utf-8", "surrogatepass")))
                     seen[key] = seen.get(key, 0) + 1
-                rows += [(site, path, kind, feature - 2**63, weight) for (path, kind, feature), weight in seen.items()]
+                found = [(path, kind, feature - 2**63, weight) for (path, kind, feature), weight in seen.items()]
+                rows.append((site, digest, zlib.compress(pickle.dumps(found))))
+            yield pd.DataFrame(rows, columns=["host", "page", "found"])
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(site, *f) for site, found in zip(pdf.host, pdf.found, strict=True) for f in pickle.loads(zlib.decompress(found))]
             yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature", "weight"])
 
     rows = pages.select(host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = rows.mapInPandas(run, "host string, path string, kind int, feature long, weight long")
+    once = rows.mapInPandas(run, "host string, page binary, found binary").groupBy("host", "page").agg(F.min("found").alias("found"))
+    found = once.select("host", "found").mapInPandas(opened, "host string, path string, kind int, feature long, weight long")
     return found.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("pages"), F.sum("weight").alias("weight"))
 
 
@@ -238,7 +253,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages`.
 
     Null html is empty; a page without text, or without anything important, gives an empty text. A null or odd url
-    makes a page one of the host "". Repeated rows count as pages of their own. Other columns are not read.
+    makes a page one of the host "". Repeated rows have results of their own, but the tree counts them once. Other columns are not read.
     """
     # Written first: Spark then knows its size, sends it to the pages if it is small, and can split a large host if not.
     low = stored(low_branches(pages))

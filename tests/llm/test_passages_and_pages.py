@@ -97,6 +97,23 @@ def test_unnamed_boilerplate_goes_by_its_importance(frame):
     assert style_tree.extract(pages.filter("false")).collect() == []
 
 
+@pytest.mark.parametrize("n", [350, 35000])
+def test_copies_of_a_page_are_no_template(spark, n):
+    """Four of seven pages of a host are copies of one; every page keeps its paragraphs at either size."""
+    article = F.when(F.col("id") % 7 < 4, F.lit("0000000")).otherwise(F.lpad(F.col("id").cast("string"), 7, "0"))
+    text = lambda host: F.concat_ws(" ", *[F.concat(F.lit(f"{host}w{k}x"), article) for k in range(8)])
+    made = lambda host, rows: rows.select(
+        F.col("id").alias("page_id"), F.lit(f"http://{host}.example/x").alias("url"), text(host).alias("want"),
+        F.concat(F.lit("<body><div>the menu of all pages</div><article><p>"), text(host), F.lit("</p></article></body>")).alias("html"))
+    pages = made("a", spark.range(n)).unionByName(made("b", spark.range(n, n + 300).withColumn("id", F.col("id") * 7 + 5)))
+    pages = pages.unionByName(made("c", spark.range(0, 2100, 7)))
+    out = style_tree.extract(pages.drop("want")).select("page_id", "url", "text")
+    assert out.count() == n + 600
+    joined = out.join(pages.select("page_id", "url", "want"), ["page_id", "url"])
+    assert joined.filter(~F.col("text").endswith(F.col("want"))).count() == 0
+    assert joined.filter("url like '%a.example%' and text <> want").count() == 0
+
+
 def test_given_pages_keep_their_articles(spark):
     import html
     import re
