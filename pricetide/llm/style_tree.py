@@ -6,6 +6,7 @@ import html as entities
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,15 +45,28 @@ APART_WORDS = frozenset(
     "popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 RAW_END = {tag: re.compile(f"</{tag}\\b[^>]*>", re.I) for tag in RAW}
 
 
+def branches(path: str) -> list[str]:
+    """The paths from the root down to this one."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(2, len(parts) + 1)]
+
+
+def named_apart(path: str) -> list[str]:
+    """The branches of a path that only their names set apart."""
+    return [b for b in branches(path) if b.rsplit("/", 1)[1].startswith("?")] if "/?" in path else []
+
+
 class Page:
     """The blocks of text of a page in order, as (path, text), and the children of each node, as (path, labels).
 
     A path lists the labels of the elements from the root: tag, classes and id, with digits as 0; elements inside a
-    line are no part of it. The label of an element apart from the article starts with "!".
+    line are no part of it. The label of an element apart from the article starts with "!", or with "?" if only a word
+    of its class or id says so or it is a form: `around` has those of the latter that the outermost article or main
+    is in, and `has_article` tells whether there is one.
     """
 
     def __init__(self, source: str):
@@ -61,6 +75,8 @@ class Page:
         self.stack: list[tuple[str, str, list[str]]] = [("", "", [])]
         self.open: dict[str, int] = {}
         self.text: list[str] = []
+        self.around: set[str] = set()
+        self.has_article = False
         at = 0
         while match := TAG.search(source, at):
             self.text.append(source[at : match.start()])
@@ -109,24 +125,34 @@ class Page:
             self.close({"p"})
         if tag in CLOSED_BY:
             self.close(CLOSED_BY[tag])
-        label = self.label(tag, attributes)
+        label, comment = self.label(tag, attributes)
         above = self.stack[-1][1]
+        if tag in ("article", "main") and not comment and "/!" not in above and not (self.open.get("article") or self.open.get("main")):
+            self.has_article = True
+            self.around.update(named_apart(above))
         self.stack[-1][2].append(label)
-        deeper = len(self.stack) <= DEEPEST or (label[0] == "!" and "/!" not in above)
+        deeper = len(self.stack) <= DEEPEST or (label[0] == "!" and "/!" not in above) or (label[0] == "?" and above.count("/") < 2 * DEEPEST)
         self.stack.append((tag, f"{above}/{label}" if deeper else above, []))
         self.open[tag] = self.open.get(tag, 0) + 1
 
-    def label(self, tag: str, attributes: str) -> str:
-        found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+    def label(self, tag: str, attributes: str) -> tuple[str, bool]:
+        """The label of an element, and whether a class or id begins with a word for a part around an article."""
+        found: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attributes or ""):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name counts
         names = " ".join(found.get(k, "") for k in ("class", "id")).lower().split()
         words = {w for n in names for w in re.split(r"[-_0-9]+", n)} | set(names)
         in_article = self.open.get("article") or self.open.get("main")
+        role = found.get("role", "").lower()
         apart = (
-            tag in APART or (tag == "header" and not in_article) or found.get("role", "").lower() in APART_ROLES
-            or bool(words & (APART_WORDS - {"header"} if in_article else APART_WORDS)) or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
+            (tag in APART and tag != "form") or (tag == "header" and not in_article) or (role in APART_ROLES and role != "form")
+            or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
+        named = tag == "form" or role == "form" or bool(words & (APART_WORDS - {"header"} if in_article else APART_WORDS))
         if tag in ("html", "body", "main", "article"):
-            apart = False
-        return ("!" if apart else "") + re.sub("[0-9]+", "0", ".".join([tag, *names])).replace("/", "_")
+            apart = named = False
+        sign = "!" if apart else "?" if named else ""
+        comment = any(re.split(r"[-_0-9]+", n)[0] in APART_WORDS for n in names)
+        return sign + re.sub("[0-9]+", "0", ".".join([tag, *names])).replace("/", "_"), comment
 
     def close(self, tags: set[str]) -> None:
         """End the innermost elements of these kinds, up to the next list, table or part of the page."""
@@ -234,19 +260,25 @@ def low_branches(pages: DataFrame, least: float = LEAST_IMPORTANCE, host_pages:
 
 
 def main_text(source: str, low: set[str]) -> str:
-    """The blocks of a page outside removed branches: unimportant ones, and those named as apart from the article."""
-    kept, verdicts = [], {}
-    for path, text in Page(source).blocks:
-        gone = verdicts.get(path)
-        if gone is None:
-            at, gone = path.find("/", 1), "/!" in path
-            while not gone and at != -1:
-                gone = path[:at] in low
-                at = path.find("/", at + 1)
-            gone = verdicts[path] = gone or path in low
-        if not gone:
-            kept.append(text)
-    return " ".join(kept)
+    """The blocks of a page outside removed branches: unimportant ones, and those apart from the article.
+
+    A branch that only its name sets apart stays where the outermost article or main is in it. On a page that has
+    neither, it stays if it holds more than half of the characters that are left without regard to such names.
+    """
+    page = Page(source)
+    named: dict[str, list[str] | None] = {}  # None: removed in any case
+    held: Counter[str] = Counter()
+    total = 0
+    for path, text in page.blocks:
+        if path not in named:
+            gone = "/!" in path or path in low or any(b in low for b in branches(path))
+            named[path] = None if gone else named_apart(path)
+        if named[path] is not None:
+            total += len(text)
+            for branch in named[path]:
+                held[branch] += len(text)
+    stay = page.around if page.has_article else {b for b, n in held.items() if 2 * n > total}
+    return " ".join(text for path, text in page.blocks if named[path] is not None and stay.issuperset(named[path]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

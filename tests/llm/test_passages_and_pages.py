@@ -79,6 +79,21 @@ def test_reading_of_markup():
     assert text("<div>" * 30000 + "deep") == "deep"
 
 
+def test_names_do_not_take_the_article():
+    text = lambda source: style_tree.main_text(page(source), set())
+    for attribute in ('style="overflow:hidden"', 'title="the hidden cost"', 'data-id="ad-12"', "data-role='navigation'", 'aria-label="hidden"', 'data-x=hidden', 'data-class="ads" class=text'):
+        assert text(f"<div {attribute}><p>kept</p></div>") == "kept"
+    for attribute in ('hidden', 'HIDDEN=""', 'a="b"hidden', 'class="x" id=ad-12', "role='navigation'", 'aria-hidden = "true"', "class=ads class=text"):
+        assert text(f"<p>long enough text</p><div {attribute}><p>gone</p></div>") == "long enough text"
+    for wrapper in ('div class="has-sidebar"', 'div id="content-with-comments"', "form", 'div role="form"'):
+        tag, inner = wrapper.split()[0], '<div class="sidebar"><p>other things, longer than the article</p></div>'
+        assert text(f"<{wrapper}>{inner}<article class='post has-comments'><p>kept</p><div class='comments'><p>no</p></div></article></{tag}>") == "kept"
+        assert text(f"<{wrapper}><p>most of the text of this page is here</p><div class='comments'><p>no</p></div></{tag}><p>and</p>") == "most of the text of this page is here and"
+        assert text(f"<nav><{wrapper}><article>no</article></{tag}></nav><p>kept</p>") == "kept"
+    assert text("<article><p>x</p></article><div class='comments'><article class='comment'><p>longer than the article</p></article></div>") == "x"
+    assert text("<div class='ads'>" * 30000 + "deep") == "deep"
+
+
 def test_unnamed_boilerplate_goes_by_its_importance(frame):
     rng = random.Random(4)
     words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
