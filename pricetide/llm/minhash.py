@@ -254,9 +254,10 @@ def _cross_pairs(members: DataFrame, sets: DataFrame, full: DataFrame, found: Da
     own = stored(single.groupBy("rep").agg(F.count("*").alias("own")))
     buckets = placed.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"))  # at most one per band
     parts = full.groupBy(F.col("doc_id").alias("rep")).agg(F.first("parts").alias("parts"), F.count("*").alias("texts"))
-    # An id with several texts is not judged by the parts of one of them.
-    parts = parts.select("rep", F.when(F.col("texts") == 1, F.col("parts")).alias("parts"))
-    placed = placed.join(own, "rep", "left").join(buckets, "rep").join(parts, "rep").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    # An id with several texts is judged neither by the parts of one of them nor by the own shingles of all.
+    parts = parts.select("rep", "texts", F.when(F.col("texts") == 1, F.col("parts")).alias("parts"))
+    placed = placed.join(own, "rep", "left").join(buckets, "rep").join(parts, "rep")
+    placed = placed.withColumn("shared", F.col("n") - F.when(F.col("texts") == 1, F.coalesce("own", F.lit(0))).otherwise(0))
 
     def may_reach(common, n, other):
         return 100 * common >= percent * (n + other - common)

@@ -85,6 +85,18 @@ def test_large_group_makes_few_pairs(spark, frame):
     assert {r.component_id for r in out} == {0} and sum(r.kept for r in out) == 1
 
 
+def test_an_id_with_several_texts_keeps_its_pairs(frame):
+    """Two texts of id 5 have near copies between the first and the last member of their buckets, its third has none."""
+    long = lambda name, edits=0: " ".join([f"{name}e{k}" for k in range(edits)] + [f"{name}{k}" for k in range(edits, 300)])
+    texts = [(1, long("s")), (5, long("t")), (5, long("u")), (5, long("x")), (6, long("t", 5)), (7, long("u", 5)), (9, long("v"))]
+    docs = frame([(d, t, "", 1, "") for d, t in texts], SCHEMA)
+    members = frame([(b, d, 1, 9) for b, copy in ((1, 6), (2, 7)) for d in (1, 5, copy, 9)], "bucket long, rep long, low long, high long")
+    sets = frame(sorted({(d, len(minhash.shingle_set(t))) for d, t in texts}), "rep long, n long")
+    found = frame([], "node long, component long")
+    pairs = minhash._cross_pairs(members, sets, minhash.full_sets(docs, members), found, 85)
+    assert {(r.a, r.b) for r in pairs.collect()} >= {(5, 6), (5, 7)}
+
+
 def test_thresholds_of_the_sequential_test():
     least = minhash.least_matches(0.85)
     assert len(least) == minhash.BANDS * minhash.ROWS // minhash.BATCH and least == sorted(least)
