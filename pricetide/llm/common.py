@@ -20,11 +20,15 @@ NO_ID = 2**63 - 1
 
 
 def kept_in_worker(name: str, make):
-    """An object that lives as long as the Python worker, shared by its tasks: made once per worker, not per task."""
+    """An object that the tasks of a Python worker share: made once per worker, not per task.
+
+    A worker outlives stages and queries, so it keeps one object only: the next name lets go of the one before.
+    """
     held = sys.modules.setdefault("pricetide_worker_objects", types.ModuleType("pricetide_worker_objects")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    if held.get("kept_name") != name:
+        held.pop("kept", None)
+        held["kept"], held["kept_name"] = make(), name
+    return held["kept"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

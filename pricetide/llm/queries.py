@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontamination, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, style_tree, toxicity
+from pricetide.llm import alignment, decontamination, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, style_tree, toxicity
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -108,6 +108,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(table(spark, folder, "documents"), *tokenizer_files())
 
 
+@query("op11_arrow_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, folder, "documents"), *tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op2_additive_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
