@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import alignment, decontamination, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, style_tree, toxicity
+from pricetide.llm import alignment, decontamination, fill_middle, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, style_tree, toxicity
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -113,6 +113,34 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, folder, "documents"), *tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+MIDDLE_SQL = """
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, length(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(t) + 1) AS c1,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(t) + 1) AS c2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+    CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM hashed
+), cut AS (
+  SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts"""
+
+
+@query("op12_exception_index_middle", MIDDLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"), *fill_middle.drawn_cuts(F.col("doc_id")))
+    made = fill_middle.restore(made)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
 @query("op2_additive_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
