@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import alignment, decontamination, fill_middle, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, style_tree, toxicity
+from pricetide.llm import alignment, decontamination, fill_middle, fingerprints, inner_products, kd_shards, line_dedup, minhash, packing, quality, secrets, style_tree, toxicity
 from pricetide.llm.common import table
 
 QUERIES = {}
@@ -141,6 +141,16 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
 
 
+@query("op13_invertible_sketch")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    versions = fingerprints.edited_versions(table(spark, folder, "documents")).withColumn("edited_sha256", F.sha2("edited", 256))
+    found = fingerprints.compare_versions(versions, ["text", "edited", "next_text"])
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("text_print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
+        F.col("edited_near").alias("near_edited"), F.col("next_text_near").alias("near_next"), F.col("edited_gained").alias("n_gained"),
+        F.col("edited_lost").alias("n_lost"))
+
+
 @query("op2_additive_quality")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
