@@ -6,7 +6,9 @@ import base64
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,16 +97,37 @@ class Pair:
             start = stop + 1 if space > 0 else stop
         return out
 
-    def encoded(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both; none where there is no text or either does not give the text back."""
-        if not text:
-            return [], []
-        whole = " " + text
-        wanted = whole.encode("utf-8", "surrogatepass")
-        a, b = self.first.encode_ordinary(whole), self.second_ids(text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != wanted or b"".join(map(self.b_bytes.__getitem__, b)) != wanted:
-            return [], []
-        return a, b
+    def encoded(self, texts: list[str | None]) -> tuple[list[array], list[array]]:
+        """Ids of both for each text; none where there is no text or either does not give the text back.
+
+        Where no space has white space next to it, the second tokenizer reads word by word, and each word of these texts
+        once. The first one cuts bytes, so that it can be checked by their number.
+        """
+        split = [t.split(" ") if t and self.apart else [""] for t in texts]
+        names = list(dict.fromkeys(chain.from_iterable(split)))
+        words: dict[str, list[int] | None] = dict(zip(names, self.second.encode(names, num_threads=1), strict=True))
+        odd = {w for w in names if not w or w[0].isspace() or w[-1].isspace()}
+        changed = {w for w, ids in words.items() if b"".join(map(self.b_bytes.__getitem__, ids)) != (" " + w).encode("utf-8", "surrogatepass")}
+        first, second = [], []
+        for text, each in zip(texts, split, strict=True):
+            a, b = array("i", self.first.encode_ordinary(" " + text) if text else ()), array("i")
+            if text and odd.isdisjoint(each):
+                if changed.isdisjoint(each):
+                    b = array("i", chain.from_iterable(map(words.__getitem__, each)))
+            elif text:
+                b = array("i", self.second_ids(text))
+                if b"".join(map(self.b_bytes.__getitem__, b)) != (" " + text).encode("utf-8", "surrogatepass"):
+                    b = array("i")
+            if not b or self.a_sizes[a].sum() != self.b_sizes[b].sum():
+                a, b = array("i"), array("i")
+            first.append(a)
+            second.append(b)
+        return first, second
+
+
+def _lists(values: list[array]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(values), np.int32))
 
 
 def _ends(ids: pa.ListArray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
@@ -121,13 +144,12 @@ class Aligned:
     """
 
     def __init__(self, pair: Pair, texts: list[str | None]):
-        both = [pair.encoded(t) for t in texts]
-        a_lists, b_lists = (pa.array([ids[side] for ids in both], pa.list_(pa.int32())) for side in (0, 1))
+        a_lists, b_lists = map(_lists, pair.encoded(texts))
         a, a_doc, a_end = _ends(a_lists, pair.a_sizes)
         b, _, b_end = _ends(b_lists, pair.b_sizes)
         left = pa.table({"end": a_end, "a_at": np.arange(len(a))})
         right = pa.table({"end": b_end, "b_at": np.arange(len(b))})
-        common = left.join(right, "end", join_type="inner").sort_by("a_at")
+        common = left.join(right, "end", join_type="inner", use_threads=False).sort_by("a_at")
         self.a, self.b = a.to_numpy(), b.to_numpy()
         self.a_edges = np.concatenate([[0], common["a_at"].to_numpy() + 1])
         self.b_edges = np.concatenate([[0], common["b_at"].to_numpy() + 1])

@@ -107,6 +107,15 @@ def test_given_documents(spark, plain):
     assert shown(out.collect()) == shown(expected(rows, plain))
 
 
+def test_words_are_read_as_in_whole_texts(spark):
+    pair = alignment.Pair(*tokenizer_files(), PIECES)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    texts += ["a's b'll 12 3.4 (x) \"y\"", "one\ntwo\n\nthree four.\nfive", "tab\tin word\x1fs \x85x", "ﬁne ́combining ̈marks", "x\u3000y z\u00a0w", "▁ a", "a ▁b c"]
+    a, b = pair.encoded(texts)
+    pair.apart = False
+    assert (a, b) == pair.encoded(texts)
+
+
 def test_long_texts_are_cut_between_words(monkeypatch):
     pair = alignment.Pair(*tokenizer_files(), PIECES)
     assert pair.apart
