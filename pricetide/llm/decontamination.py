@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetide.llm.common import kept_in_worker
+from pricetide.llm.common import kept_in_worker, stored
 
 Q = 8
 # Edits allowed per character of a passage.
 RATE = 0.1
+# Shorter passages are found by their exact parts; grams of so few characters would leave no edit.
+SHORT = 2 * Q
+# Characters of a text that are searched at a time; of neighbouring parts, so many overlap as the longest region has.
+PART = 2**18
+# Pairs of a passage's and a text's equal grams that are listed one by one; more are counted by ranges.
+LISTED = 2**17
 # Passages of one block, in characters: what a task holds at a time. More of them make more blocks.
 BLOCK_CHARACTERS = 4_000_000
 
@@ -22,8 +30,8 @@ FOUND = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
 
 def budget(length: int, q: int = Q, rate: float = RATE) -> int:
-    """Edits allowed in a passage: a share of its length, but so few that a q-gram must be left whole."""
-    return max(0, min(int(rate * length), (length - q) // q))
+    """Edits allowed in a passage: a share of its length, but, in one that is not short, so few that a q-gram is left whole."""
+    return int(rate * length) if length < SHORT else min(int(rate * length), (length - q) // q)
 
 
 def least_shared(length: int, q: int = Q, rate: float = RATE) -> int:
@@ -67,8 +75,8 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.case = case_table()
-        self.items = [(i, plain(t, self.case)) for i, t in items]
-        self.items = [(i, c) for i, c in self.items if len(c) >= Q]
+        given = [(i, plain(t, self.case)) for i, t in items]
+        self.items = [(i, c) for i, c in given if len(c) >= SHORT]
         found = [grams(c) for _, c in self.items]
         self.edits = np.array([budget(len(c)) for _, c in self.items], np.int64)
         self.least = np.array([least_shared(len(c)) for _, c in self.items], np.int64)
@@ -79,75 +87,146 @@ class Passages:
         self.place = np.concatenate([np.arange(len(g)) for g in found])[order] if found else np.zeros(0, np.int64)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.hashes >> np.uint32(12)] = True
-
-    def regions(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(item, lowest diagonal) of the bands of 2e + 1 diagonals in which the item shares enough of its grams.
+        self.longest = max((len(c) + budget(len(c)) for _, c in given), default=0)
+        self.short = [(i, c) for i, c in given if 0 < len(c) < SHORT]
+        self.automaton = self.parts_of_short() if self.short else None
+
+    def parts_of_short(self) -> ahocorasick.Automaton:
+        """Finds short passages: one with e edits holds one of e + 1 parts of the passage unedited."""
+        named: dict[str, list[tuple[int, int, int]]] = {}
+        for k, (_, codes) in enumerate(self.short):
+            e = budget(len(codes))
+            edges = [len(codes) * i // (e + 1) for i in range(e + 2)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                named.setdefault(characters(codes[a:b]), []).append((k, a, b))
+        automaton = ahocorasick.Automaton()
+        for part, where in named.items():
+            automaton.add_word(part, where)
+        automaton.make_automaton()
+        return automaton
+
+    def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, lowest diagonal, number of diagonals) of regions in which the item shares enough of its grams.
 
         Occurrences with up to e edits spread over e + 1 diagonals. Bands begin every e + 1 diagonals and are twice as
-        wide, so one of them holds them all.
+        wide, so one of them holds them all; bands that overlap are one region.
         """
         own = grams(codes)
         at = np.flatnonzero(self.bits[own >> np.uint32(12)])
         if not len(at):
             return []
-        low = np.searchsorted(self.hashes, own[at], "left")
-        many = np.searchsorted(self.hashes, own[at], "right") - low
-        at, low, many = at[many > 0], low[many > 0], many[many > 0]
-        if not len(at):
+        order = at[np.argsort(own[at], kind="stable")]
+        kinds, first, times = np.unique(own[order], return_index=True, return_counts=True)
+        low = np.searchsorted(self.hashes, kinds, "left")
+        many = np.searchsorted(self.hashes, kinds, "right") - low
+        known = many > 0
+        first, times, low, many = first[known], times[known], low[known], many[known]
+        if not len(low):
             return []
+        # All grams of an item that the text has anywhere; few items have enough of them.
         ends = np.cumsum(many)
         hit = np.repeat(low - (ends - many), many) + np.arange(ends[-1])
-        item, place = self.item[hit], self.place[hit]
-        diagonal = np.repeat(at, many) - place
-        width = self.edits[item] + 1
-        band = (diagonal + (1 << 20)) // width
-        # A gram of the item counts once per band, wherever it is found there.
-        seen = np.concatenate([np.stack([(item << 40) | (band - shift), place], 1) for shift in (0, 1)])
-        seen = seen[np.lexsort((seen[:, 1], seen[:, 0]))]
-        new = np.ones(len(seen), bool)
-        new[1:] = (seen[1:] != seen[:-1]).any(1)
-        keys, counts = np.unique(seen[new, 0], return_counts=True)
-        items, bands = keys >> 40, keys & ((1 << 40) - 1)
-        enough = counts >= self.least[items]
-        return [(int(i), int(b * (self.edits[i] + 1) - (1 << 20))) for i, b in zip(items[enough], bands[enough], strict=True)]
+        shared = np.bincount(self.item[hit], minlength=len(self.items))
+        alive = (shared >= self.least) & (shared > 0)
+        keep = alive[self.item[hit]]
+        hit, kind = hit[keep], np.repeat(np.arange(len(low)), many)[keep]
+        by_item = np.argsort(self.item[hit], kind="stable")
+        hit, kind = hit[by_item], kind[by_item]
+        out = []
+        for i, a, b in _groups(self.item[hit]):
+            out += self._item_regions(i, self.place[hit[a:b]], kind[a:b], order, first, times, len(codes))
+        return out
+
+    def _item_regions(self, i: int, place: np.ndarray, kind: np.ndarray, order, first, times, n: int) -> list[tuple[int, int, int]]:
+        """Regions of one item; `place`: its gram places that the text shares, `kind`: which of the text's grams each is."""
+        length = len(self.items[i][1])
+        width = int(self.edits[i]) + 1
+        zero = -(-length // width)  # bands are counted from diagonal -zero * width on
+        bands = zero + n // width + 2
+        # The rarest grams are listed, as many pairs as the item and the text are long.
+        many = np.bincount(kind)
+        pairs = np.sort(many * times[: len(many)])
+        upto = np.searchsorted(np.cumsum(pairs), max(LISTED, 4 * (n + length)), "right")
+        listed = (many * times[: len(many)])[kind] <= (pairs[upto - 1] if upto else 0)
+        counts = np.zeros(bands, np.int64)
+        if listed.any():
+            p, k = place[listed], kind[listed]
+            m = times[k]
+            upto = np.cumsum(m)
+            text_at = order[np.repeat(first[k] - (upto - m), m) + np.arange(upto[-1])]
+            owner = np.repeat(p, m)
+            band = (text_at - owner) // width + zero
+            # A gram of the item counts once per band, wherever it is found there.
+            each = np.unique(np.concatenate([(band - shift) * length + owner for shift in (0, 1)]))
+            counts += np.bincount(np.maximum(each // length, 0), minlength=bands)[:bands]
+        starts = (np.arange(bands) - zero) * width  # lowest diagonal of each band, 2 * width of them
+        others = np.argsort(kind[~listed], kind="stable")
+        for k, a, b in _groups(kind[~listed][others]):
+            where = np.zeros(n + 1, np.int32)
+            where[order[first[k] : first[k] + times[k]] + 1] = 1
+            upto = np.cumsum(where, dtype=np.int32)  # of this gram in the text before a place
+            for p in place[~listed][others[a:b]]:
+                counts += upto[np.clip(starts + p + 2 * width, 0, n)] > upto[np.clip(starts + p, 0, n)]
+        enough = np.flatnonzero(counts >= self.least[i])
+        if not len(enough):
+            return []
+        new = np.flatnonzero(np.diff(enough, prepend=-2) > 1)
+        lasts = enough[np.append(new[1:] - 1, len(enough) - 1)]
+        return [(i, int(starts[f]), int(starts[g] - starts[f]) + 2 * width) for f, g in zip(enough[new], lasts, strict=True)]
+
+    def hits(self, codes: np.ndarray) -> dict[tuple, list[tuple[int, int, int]]]:
+        """(edits, end, start) of occurrences of each item in a part of a text."""
+        found: dict[tuple, list[tuple[int, int, int]]] = {}
+        for i, diagonal, width in self.regions(codes):
+            ident, item = self.items[i]
+            e = int(self.edits[i])
+            start = max(0, diagonal - e)
+            part = codes[start : diagonal + width + len(item) + e]
+            found.setdefault((ident, item.tobytes()), []).extend((c, start + b, start + a) for c, b, a in align(item, part, e, diagonal - start, width))
+        if self.automaton is not None:
+            for end, where in self.automaton.iter(characters(codes)):
+                for k, a, b in where:
+                    ident, item = self.short[k]
+                    e = budget(len(item))
+                    diagonal = end + 1 - b
+                    start = max(0, diagonal - e)
+                    part = codes[start : diagonal + len(item) + e]
+                    found.setdefault((ident, item.tobytes()), []).extend((c, start + y, start + x) for c, y, x in align(item, part, e, diagonal - start, 1))
+        return found
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits): of every item the text holds, its best occurrences that do not overlap."""
         codes = plain(text, self.case)
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for i, diagonal in self.regions(codes):
-            ident, item = self.items[i]
-            e = int(self.edits[i])
-            if any(edits == 0 and diagonal <= a < diagonal + 2 * (e + 1) for edits, a, _ in found.get(ident, ())):
-                continue  # the neighbouring band gave the same place, without edits
-            start = max(0, diagonal - e)
-            part = codes[start : diagonal + 2 * (e + 1) + len(item) + e]
-            hit = whole(item, part) or align(item, part, e, diagonal - start, 2 * (e + 1))
-            if hit:
-                found.setdefault(ident, []).append((hit[2], start + hit[0], start + hit[1]))
-        out = []
-        for ident, hits in found.items():
-            kept: list[tuple[int, int, int]] = []
-            for edits, a, b in sorted(set(hits)):
-                if all(b <= x or y <= a for _, x, y in kept):
-                    kept.append((edits, a, b))
-            out += [(ident, a, b, edits) for edits, a, b in kept]
+        found: dict[tuple, set[tuple[int, int, int]]] = {}
+        size = max(PART, 2 * self.longest)
+        for at in range(0, max(1, len(codes) - self.longest), size):
+            for key, hits in self.hits(codes[at : at + size + self.longest]).items():
+                found.setdefault(key, set()).update((c, at + b, at + a) for c, b, a in hits)
+        out = set()
+        for (ident, _), hits in found.items():
+            taken: list[tuple[int, int]] = []
+            for edits, end, start in sorted(hits):
+                i = bisect_left(taken, (start, end))
+                if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]) and start < end:
+                    insort(taken, (start, end))
+                    out.add((ident, start, end, edits))
         return sorted(out)
 
 
-def whole(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int] | None:
-    """The first occurrence of `item` in `part` without edits."""
-    data, wanted, at = part.tobytes(), item.tobytes(), 0
-    while (at := data.find(wanted, at)) >= 0:
-        if at % 4 == 0:
-            return at // 4, at // 4 + len(item), 0
-        at += 1
-    return None
+def _groups(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, last + 1) of each run of equal values."""
+    edges = np.flatnonzero(np.diff(values, prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield int(values[a]), int(a), int(b)
+
+
+def characters(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def align(item: np.ndarray, part: np.ndarray, e: int, low: int, width: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the occurrence of `item` in `part` with the fewest edits, e at most, on the diagonals from
-    low - e to low + width + e; the leftmost end among equals. One row of the band per character of the item."""
+def align(item: np.ndarray, part: np.ndarray, e: int, low: int, width: int) -> list[tuple[int, int, int]]:
+    """(edits, end, start) of the occurrences of `item` in `part` with e edits at most, one for each end, on the diagonals
+    from low - e to low + width + e. One row of the band per character of the item."""
     m, n = len(item), len(part)
     first = low - e
     lanes = width + 2 * e + 1
@@ -177,24 +256,25 @@ def align(item: np.ndarray, part: np.ndarray, e: int, low: int, width: int) -> t
         cost = np.where(better & valid, best + steps, cost).astype(np.int32)
         begin = np.where(better, begin[source], begin)
         if cost.min() > e:
-            return None
-    at = int(cost.argmin())
-    return int(begin[at]), int(columns[at] + m), int(cost[at])
+            return []
+    at = np.flatnonzero(cost <= e)
+    return list(zip(cost[at].tolist(), (columns[at] + m).tolist(), begin[at].tolist(), strict=True))
 
 
-def passage_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The distinct passages in blocks of bounded size. A benchmark is what models are tested on, a small table; the
-    search runs over the documents once per block, so that its size bounds time and not memory."""
-    rows = benchmark.filter(F.col("item_id").isNotNull() & (F.length("text") >= Q)).select("item_id", "text").distinct()
-    blocks: list[list[tuple[int, str]]] = []
-    room = 0
+def passage_blocks(benchmark: DataFrame, block_characters: int | None = None) -> Iterator[list[tuple[int, str]]]:
+    """The distinct passages in blocks of bounded size, one after the other: neither the driver nor a task holds more than
+    one of them. The documents are searched once per block, so the size of the benchmark takes time and not memory."""
+    most = block_characters or BLOCK_CHARACTERS
+    rows = benchmark.filter(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_id", "text").distinct()
+    block, size = [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        if room <= 0:
-            blocks.append([])
-            room = BLOCK_CHARACTERS
-        blocks[-1].append((r.item_id, r.text))
-        room -= len(r.text)
-    return blocks
+        if block and size + len(r.text) > most:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, r.text))
+        size += len(r.text)
+    if block:
+        yield block
 
 
 def _searcher(block: list[tuple[int, str]]):
@@ -209,24 +289,37 @@ def _searcher(block: list[tuple[int, str]]):
     return run
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "__matches") -> DataFrame:
-    """The rows of `docs` with an array of (item_id, start, end, edits), start and end in characters of the text.
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, longer if `docs` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, column: str) -> DataFrame:
+    """The rows of `docs` with an array of (item_id, start, end, edits), start and end in characters of the text, in place
+    of a column of that name.
 
     A passage of m characters is found if some part of the text, without case and with any white space for a space,
-    comes from it by at most min(m / 10, (m - 8) / 8) edits. Passages under 8 characters or without id are not
-    searched. Null and empty texts hold nothing; repeated rows are searched each; other columns are passed on.
+    comes from it by at most min(m / 10, (m - 8) / 8) edits, and by m / 10, if it has fewer than 16 characters. Empty
+    passages, and those without id, are not searched. Null and empty texts hold nothing; repeated rows are searched
+    each; other columns are passed on. Of a benchmark of several blocks each has a pass, and rows are written in between.
     """
-    found = [F.pandas_udf(_searcher(block), FOUND)(F.col("text")) for block in passage_blocks(benchmark)]
-    none = F.from_json(F.lit("[]"), FOUND)
-    return docs.withColumn(column, F.concat(*found) if found else none)
+    out = docs.withColumn(column, F.from_json(F.lit("[]"), FOUND))
+    for k, block in enumerate(passage_blocks(benchmark)):
+        found = F.pandas_udf(_searcher(block), FOUND)(F.col("text"))
+        out = out.withColumn(column, found) if k == 0 else stored(out).withColumn(column, F.concat(column, found))
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits) of every passage found."""
-    hits = with_matches(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("__matches").alias("m"))
+    hits = with_matches(docs.select("doc_id", "text"), benchmark, "found").select("doc_id", F.explode("found").alias("m"))
     return hits.select("doc_id", F.col("m.item_id"), F.col("m.start"), F.col("m.end"), F.col("m.edits"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without those that hold a passage."""
-    return with_matches(docs, benchmark).filter(F.size("__matches") == 0).drop("__matches")
+    column = _unused(docs, "found")
+    return with_matches(docs, benchmark, column).filter(F.size(column) == 0).drop(column)
