@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ CUT_EVERY = 8
 BLOCK_BYTES = 64 * 2**20
 # Text handed on at a time, in characters.
 BATCH = 2**22
+# Cells of each table that are peeled at a time.
+CELLS_AT_ONCE = 2**18
+# White space that does not count at the ends of a paragraph.
+BLANK = b" \t\n\r\x0b\x0c"
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -33,98 +38,122 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def paragraph_digests(data: bytes) -> np.ndarray:
-    """Distinct 64-bit digests of the paragraphs of a UTF-8 text, the second of equal ones told from the first.
+def paragraph_digests(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, edges): distinct 64-bit digests of the paragraphs of each UTF-8 text, the second of equal ones told from
+    the first; those of text i are digests[edges[i] : edges[i + 1]].
 
     A paragraph ends at a line feed, and within a line behind a space that the four bytes before it choose, on average
     behind one word in CUT_EVERY. So a change moves no bounds but its own. Paragraphs of white space alone do not count.
     """
+    # Four zero bytes in front of each text, so that the bytes before a space are its own.
+    data = b"".join(b"\0\0\0\0" + t for t in texts)
+    starts = np.cumsum([0, *(len(t) + 4 for t in texts)])
     codes = np.frombuffer(data, np.uint8)
     spaces = np.flatnonzero((codes == 32) | (codes == 10))
     before = np.zeros(len(spaces), np.uint64)
     for k in range(1, 5):
-        at = spaces - k
-        before = before << np.uint64(8) | np.where(at >= 0, codes[np.maximum(at, 0)], 0).astype(np.uint64)
+        before = before << np.uint64(8) | codes[spaces - k].astype(np.uint64)
     ends = spaces[(codes[spaces] == 10) | (_mixed(before, 1) % np.uint64(CUT_EVERY) == 0)] + 1
-    edges = [0, *ends.tolist(), len(data)]
-    parts = (data[a:b].strip() for a, b in zip(edges, edges[1:], strict=False))
-    digests = np.sort(np.array([xxhash.xxh3_64_intdigest(p) for p in parts if p], np.uint64))
+    edges = np.sort(np.concatenate([ends, starts[:-1] + 4, starts[1:]]))
+    row = np.where(np.isin(edges[:-1], starts), -1, np.searchsorted(starts, edges[:-1], "right") - 1).tolist()
+    found, rows = [], []
+    digest = xxhash.xxh3_64_intdigest
+    at = edges.tolist()
+    for r, a, b in zip(row, at, at[1:], strict=False):
+        paragraph = data[a:b].strip(BLANK)
+        if paragraph and r >= 0:  # not the zeros in front of a text
+            found.append(digest(paragraph))
+            rows.append(r)
+    digests, of = np.array(found, np.uint64), np.array(rows, np.int64)
+    order = np.lexsort((digests, of))
+    digests, of = digests[order], of[order]
     new = np.ones(len(digests), bool)
-    new[1:] = digests[1:] != digests[:-1]
+    new[1:] = (digests[1:] != digests[:-1]) | (of[1:] != of[:-1])
     place = np.arange(len(digests))
     repeat = place - np.maximum.accumulate(np.where(new, place, 0))
-    return np.where(repeat > 0, _mixed(digests + repeat.astype(np.uint64), 2), digests)
+    digests = np.where(repeat > 0, _mixed(digests + repeat.astype(np.uint64), 2), digests)
+    return digests, np.searchsorted(of, np.arange(len(texts) + 1))
 
 
 def _check(digests: np.ndarray) -> np.ndarray:
     return (_mixed(digests, 3) >> np.uint64(32)).astype(np.uint32)
 
 
-class Sketch:
-    """Cells that hold the number, and the sums modulo 2, of the digests that fall into them and of their checks. Each digest
-    falls into one cell of every table. What two sets have in common vanishes when their sketches are subtracted."""
+class Sketches:
+    """Sketches of several sets, of the same size each. Their cells hold the number of the digests that fall into them, and
+    the sums modulo 2 of these and of their checks; each digest falls into one cell of every table. What two sets have
+    in common vanishes when their sketches are subtracted."""
 
-    def __init__(self, cells: int, count: np.ndarray, key: np.ndarray, check: np.ndarray):
-        self.cells, self.count, self.key, self.check = cells, count, key, check
+    def __init__(self, sets: int, cells: int, arrays: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        n = sets * TABLES * cells
+        self.sets, self.cells = sets, cells
+        self.count, self.key, self.check = arrays or (np.zeros(n, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.uint32))
 
     @classmethod
-    def of(cls, digests: np.ndarray, cells: int) -> Sketch:
-        n = TABLES * cells
-        sketch = cls(cells, np.zeros(n, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.uint32))
-        sketch.add(digests, np.ones(len(digests), np.int32))
-        return sketch
+    def of(cls, digests: np.ndarray, edges: np.ndarray, cells: int) -> Sketches:
+        made = cls(len(edges) - 1, cells)
+        made.add(digests, np.repeat(np.arange(made.sets), np.diff(edges)), np.ones(len(digests), np.int32))
+        return made
 
-    def places(self, digests: np.ndarray) -> np.ndarray:
-        """The cell of each digest in each table; sketches of other sizes use other functions."""
-        return np.stack([_mixed(digests, 16 * self.cells + t).astype(np.uint64) % np.uint64(self.cells) + np.uint64(t * self.cells) for t in range(TABLES)]).astype(np.int64)
+    def places(self, digests: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The cell of each digest in each table of its set; sketches of other sizes use other functions."""
+        n = np.uint64(self.cells)
+        return np.stack([(row * TABLES + t) * self.cells + (_mixed(digests, 16 * self.cells + t) % n).astype(np.int64) for t in range(TABLES)])
 
-    def add(self, digests: np.ndarray, signs: np.ndarray) -> None:
+    def add(self, digests: np.ndarray, row: np.ndarray, signs: np.ndarray) -> None:
         checks = _check(digests)
-        for places in self.places(digests):
+        for places in self.places(digests, row):
             np.add.at(self.count, places, signs)
             np.bitwise_xor.at(self.key, places, digests)
             np.bitwise_xor.at(self.check, places, checks)
 
-    def minus(self, other: Sketch) -> Sketch:
-        return Sketch(self.cells, self.count - other.count, self.key ^ other.key, self.check ^ other.check)
+    def minus(self, other: Sketches) -> Sketches:
+        return Sketches(self.sets, self.cells, (self.count - other.count, self.key ^ other.key, self.check ^ other.check))
 
-    def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Of a difference the digests that only the first and only the second set has; None if cells stay that hold more
-        than one. This empties the sketch."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, digest, sign, whole) of differences: the digests that only the first (1) or only the second (-1) of two sets
+        has, and for each set whether these are all. Cells that hold a single digest are peeled off until there are none;
+        where cells stay that hold more, the sketch was too small. This empties the sketches."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         most = len(self.count)
         while most > 0:
             single = np.flatnonzero(np.abs(self.count) == 1)
             single = single[_check(self.key[single]) == self.check[single]]
-            single = single[(self.places(self.key[single]) == single).any(0)]
-            if not len(single):
+            row, digests = single // (TABLES * self.cells), self.key[single]
+            real = (self.places(digests, row) == single).any(0)
+            row, digests, signs = row[real], digests[real], self.count[single[real]]
+            if not len(row):
                 break
-            digests, first = np.unique(self.key[single], return_index=True)
-            signs = self.count[single[first]]
-            self.add(digests, -signs)
-            found.append((digests, signs))
-            most -= len(digests)
-        if self.count.any() or self.key.any() or self.check.any():
-            return None
-        digests = np.concatenate([d for d, _ in found]) if found else np.zeros(0, np.uint64)
-        signs = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.int32)
-        return digests[signs > 0], digests[signs < 0]
-
-    def written(self, n: int) -> str:
-        """The number of digests and the cells, as text."""
-        parts = (np.array([n], "<u4"), self.count.astype("<i4"), self.key.astype("<u8"), self.check.astype("<u4"))
-        return base64.b64encode(b"".join(p.tobytes() for p in parts)).decode()
+            order = np.lexsort((digests, row))
+            row, digests, signs = row[order], digests[order], signs[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (digests[1:] != digests[:-1])
+            found.append((row[new], digests[new], signs[new]))
+            self.add(digests[new], row[new], -signs[new])
+            most -= int(new.sum())
+        left = (self.count != 0) | (self.key != 0) | (self.check != 0)
+        whole = ~left.reshape(self.sets, -1).any(1)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        row, digests, signs = (np.concatenate(parts) for parts in zip(*found, strict=True)) if found else none
+        return row, digests, signs, whole
+
+    def written(self, sizes: np.ndarray) -> list[str]:
+        """Of each set the number of its digests and its cells, as text."""
+        columns = [a.astype(t).reshape(self.sets, -1) for a, t in ((self.count, "<i4"), (self.key, "<u8"), (self.check, "<u4"))]
+        return [
+            base64.b64encode(b"".join([int(n).to_bytes(4, "little"), *(c[i].tobytes() for c in columns)])).decode()
+            for i, n in enumerate(sizes)]
 
     @classmethod
-    def read(cls, written: str) -> tuple[int, Sketch]:
+    def read(cls, written: str) -> tuple[int, Sketches]:
         data = base64.b64decode(written)
         n = (len(data) - 4) // 16
         count, key, check = (np.frombuffer(data, t, n, 4 + at * n) for t, at in (("<i4", 0), ("<u8", 4), ("<u4", 12)))
-        return int(np.frombuffer(data, "<u4", 1)[0]), cls(n // TABLES, count.astype(np.int32), key.astype(np.uint64), check.astype(np.uint32))
+        return int.from_bytes(data[:4], "little"), cls(1, n // TABLES, (count.astype(np.int32), key.astype(np.uint64), check.astype(np.uint32)))
 
 
-def fingerprint(digests: np.ndarray, cells: int = CELLS) -> str:
-    return Sketch.of(digests, cells).written(len(digests))
+def fingerprints(digests: np.ndarray, edges: np.ndarray, cells: int = CELLS) -> list[str]:
+    return Sketches.of(digests, edges, cells).written(np.diff(edges))
 
 
 def likeness(n: int, m: int, differing: int) -> float:
@@ -135,21 +164,39 @@ def likeness(n: int, m: int, differing: int) -> float:
 
 def compared(one: str, other: str) -> float | None:
     """The likeness of two published fingerprints; None if more paragraphs differ than their cells can tell."""
-    (n, a), (m, b) = Sketch.read(one), Sketch.read(other)
-    found = a.minus(b).peeled()
-    return None if found is None else likeness(n, m, len(found[0]) + len(found[1]))
+    (n, a), (m, b) = Sketches.read(one), Sketches.read(other)
+    row, _, _, whole = a.minus(b).peeled()
+    return likeness(n, m, len(row)) if whole[0] else None
 
 
-def difference(one: np.ndarray, other: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """The digests that only `one` and only `other` has, by sketches that grow until they can be peeled.
+def _chosen(digests: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(edges)[rows]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return digests[np.repeat(edges[rows] - upto[:-1], sizes) + np.arange(upto[-1])], upto
 
-    Sizes that can't hold the difference of the two numbers of digests are not tried.
+
+def differences(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, digest, sign): of sets given by digests and edges, those that only `one` (1) or only `other` (-1) has.
+
+    Sketches that can't be peeled are made anew with more cells. Sizes that can't hold the difference of the two numbers
+    of digests are not tried.
     """
-    while TABLES * cells < abs(len(one) - len(other)):
-        cells *= GROWTH
-    while (found := Sketch.of(one, cells).minus(Sketch.of(other, cells)).peeled()) is None:
+    apart = np.abs(np.diff(one[1]) - np.diff(other[1]))
+    left, out = np.arange(len(apart)), []
+    while len(left):
+        tried = left[TABLES * cells >= apart[left]]
+        failed = []
+        step = max(1, CELLS_AT_ONCE // cells)
+        for at in range(0, len(tried), step):
+            rows = tried[at : at + step]
+            row, digests, signs, whole = Sketches.of(*_chosen(*one, rows), cells).minus(Sketches.of(*_chosen(*other, rows), cells)).peeled()
+            good = whole[row]
+            out.append((rows[row[good]], digests[good], signs[good]))
+            failed.append(rows[~whole])
+        left = np.concatenate([left[TABLES * cells < apart[left]], *failed])
         cells *= GROWTH
-    return found
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True)) if out else none
 
 
 def _keys(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -246,25 +293,27 @@ def compare_versions(rows: DataFrame, versions: list[str], cells: int = CELLS) -
     Null texts are empty ones, which are alike; equal texts have equal fingerprints. Columns with these names are replaced.
     """
     names = [versions[0] + "_print"] + [f"{v}_{what}" for v in versions[1:] for what in ("print", "near", "gained", "lost")]
-    types = [pa.string()] + [t for _ in versions[1:] for t in (pa.string(), pa.float64(), pa.int64(), pa.int64())]
     kinds = ["string"] + [t for _ in versions[1:] for t in ("string", "double", "long", "long")]
     kept = rows.drop(*names)
     passed = [f.name for f in kept.schema if f.name not in versions]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for texts in zip(*(batch.column(v) for v in versions), strict=True):
-                digests = [paragraph_digests((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in texts]
-                values: list = [fingerprint(digests[0], cells)]
-                for other in digests[1:]:
-                    lost, gained = difference(digests[0], other, cells)
-                    near = likeness(len(digests[0]), len(other), len(lost) + len(gained))
-                    values += [fingerprint(other, cells), near, len(gained), len(lost)]
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(p) for p in passed), *arrays], [*passed, *names])
+            sizes = sum(pc.fill_null(pc.binary_length(batch.column(v)), 0).to_numpy(zero_copy_only=False) for v in versions)
+            part = np.cumsum(sizes) // BATCH
+            for a, b in zip(edges := np.flatnonzero(np.diff(part, prepend=-1, append=-1)), edges[1:], strict=False):
+                yield compare(batch.slice(a, b - a))
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [paragraph_digests([t or b"" for t in batch.column(v).cast(pa.binary()).to_pylist()]) for v in versions]
+        sizes = [np.diff(edges) for _, edges in sets]
+        made = [pa.array(fingerprints(*sets[0], cells), pa.string())]
+        for other, m in zip(sets[1:], sizes[1:], strict=True):
+            row, _, signs = differences(sets[0], other, cells)
+            lost, gained = (np.bincount(row[signs == sign], minlength=batch.num_rows) for sign in (1, -1))
+            near = [likeness(*v) for v in zip(sizes[0].tolist(), m.tolist(), (lost + gained).tolist(), strict=True)]
+            made += [pa.array(fingerprints(*other, cells), pa.string()), pa.array(near, pa.float64()), pa.array(gained, pa.int64()), pa.array(lost, pa.int64())]
+        return pa.RecordBatch.from_arrays([*(batch.column(p) for p in passed), *made], [*passed, *names])
 
     given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in versions)
     made = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))

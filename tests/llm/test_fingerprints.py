@@ -44,24 +44,35 @@ def words(rng, n):
 TEXTS = ["", " \n ", "one", "two words", "line\nline\nline", "x " * 5000, "日本語 text é\r\nmore"]
 
 
-def test_digests_are_those_of_paragraphs():
-    rng = np.random.default_rng(0)
-    for text in TEXTS + [words(rng, 300) + "\n" + words(rng, 40)]:
-        parts = paragraphs(text)
-        digests = set(fingerprints.paragraph_digests(text.encode()).tolist())
-        assert len(digests) == sum(parts.values()) == len(fingerprints.paragraph_digests(text.encode()))
-        assert {xxhash.xxh3_64_intdigest(p) for p in parts} <= digests
+def digests(*texts):
+    return fingerprints.paragraph_digests([t.encode() for t in texts])
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 20, 400, 5000])
-def test_peeling_recovers_the_difference(n):
-    rng = np.random.default_rng(n)
-    common, left, right = (rng.integers(0, 2**63, k, dtype=np.uint64) for k in (3000, n, n // 2))
-    one, other = np.concatenate([common, left]), np.concatenate([right, common])
-    lost, gained = fingerprints.difference(one, other)
-    assert set(lost.tolist()) == set(left.tolist()) and set(gained.tolist()) == set(right.tolist())
-    small = fingerprints.Sketch.of(one, 2).minus(fingerprints.Sketch.of(other, 2)).peeled()
-    assert n <= 5 or small is None
+def test_digests_are_those_of_paragraphs():
+    rng = np.random.default_rng(0)
+    texts = TEXTS + [words(rng, 300) + "\n" + words(rng, 40)]
+    found, edges = digests(*texts)
+    for text, a, b in zip(texts, edges, edges[1:]):
+        parts, own = paragraphs(text), found[a:b].tolist()
+        assert len(set(own)) == sum(parts.values()) == len(own)
+        assert {xxhash.xxh3_64_intdigest(p) for p in parts} <= set(own)
+
+
+def test_peeling_recovers_the_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    draw = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    pairs = [(draw(n), draw(n // 2), draw(c)) for n in (0, 1, 5, 20, 400, 5000) for c in (0, 3000)]
+    sides = [[np.concatenate([p[side], p[2]]) for p in pairs] for side in (0, 1)]
+    one, other = ((np.concatenate(x), np.cumsum([0, *map(len, x)])) for x in sides)
+    for at_once in (2**18, 1):
+        monkeypatch.setattr(fingerprints, "CELLS_AT_ONCE", at_once)
+        row, found, signs = fingerprints.differences(one, other)
+        for i, (left, right, _) in enumerate(pairs):
+            assert set(found[(row == i) & (signs > 0)].tolist()) == set(left.tolist())
+            assert set(found[(row == i) & (signs < 0)].tolist()) == set(right.tolist())
+        assert len(row) == sum(len(p[0]) + len(p[1]) for p in pairs)
+    whole = fingerprints.Sketches.of(*one, 2).minus(fingerprints.Sketches.of(*other, 2)).peeled()[3]
+    assert whole.tolist()[:2] == [True, True] and not whole[-4:].any()
 
 
 def test_published_fingerprints():
@@ -69,14 +80,14 @@ def test_published_fingerprints():
     text = "\n".join(words(rng, 12) for _ in range(200))
     lines = text.split("\n")
     lines[17], lines[130] = "a new line", lines[130] + " end"
-    one, other = (fingerprints.paragraph_digests("\n".join(x).encode()) for x in (text.split("\n"), lines))
-    a, b = fingerprints.fingerprint(one), fingerprints.fingerprint(other)
-    assert a == fingerprints.fingerprint(one[::-1]) and len(a) == len(b)
+    sets = digests(text, "\n".join(lines), "", "\n".join(text.split("\n")[::-1]))
+    a, b, empty, turned = fingerprints.fingerprints(*sets)
+    assert a == turned and len(a) == len(b) == len(empty)
     assert fingerprints.compared(a, b) == pytest.approx(near(paragraphs(text), paragraphs("\n".join(lines))))
-    assert fingerprints.compared(a, a) == 1.0
-    assert fingerprints.compared(a, fingerprints.fingerprint(np.zeros(0, np.uint64))) is None
-    n, sketch = fingerprints.Sketch.read(a)
-    assert n == len(one) and sketch.written(n) == a
+    assert fingerprints.compared(a, a) == 1.0 == fingerprints.compared(empty, empty)
+    assert fingerprints.compared(a, empty) is None
+    n, sketch = fingerprints.Sketches.read(a)
+    assert n == sets[1][1] and sketch.written([n]) == [a]
 
 
 ROWS = [
