@@ -27,6 +27,36 @@ def price_history(items: DataFrame, updated_at: Column) -> DataFrame:
     )
 
 
+def merged_history(stored: DataFrame, changed: DataFrame, updated_at: Column) -> DataFrame:
+    """A1, Q9: stored histories with the daily rows that changed taken in; rows of `price_history`, and `fresh`.
+
+    A changed row takes the place of the entry of its day. The newest row of a product is among the changed ones or it is
+    the one the history was built with. Histories without changes stay as they are.
+    """
+    names = ("shop", "keyword", "title", "images")
+    fresh = changed.groupBy("url").agg(
+        F.max_by(F.struct(*names), "day").alias("newest"), F.min("day").alias("first"), F.max("day").alias("last"),
+        F.collect_list(F.struct(*ENTRY_FIELDS)).alias("entries"),
+    )
+    old = stored.select("url", F.struct(*[name for name in stored.columns if name != "url"]).alias("old"))
+    joined = old.join(fresh, "url", "full")
+    days = F.transform("entries", lambda entry: entry["day"])
+    kept = F.filter("old.history", lambda entry: ~F.array_contains(days, entry["day"]))
+    entries = F.coalesce("entries", F.array().cast(_entry_array()))
+    history = F.sort_array(F.concat(F.coalesce(kept, F.array().cast(_entry_array())), entries))
+    is_fresh = F.col("last").isNotNull()
+    newer = is_fresh & (F.col("old").isNull() | (F.col("last") >= F.col("old.lastSeen")))
+    return joined.select(
+        "url",
+        *[F.when(newer, F.col(f"newest.{name}")).otherwise(F.col(f"old.{name}")).alias(name) for name in names],
+        F.least("first", "old.firstSeen").alias("firstSeen"),
+        F.greatest("last", "old.lastSeen").alias("lastSeen"),
+        F.when(is_fresh, history).otherwise(F.col("old.history")).alias("history"),
+        F.when(is_fresh, updated_at).otherwise(F.col("old.updatedAt")).alias("updatedAt"),
+        is_fresh.alias("fresh"),
+    )
+
+
 def history_entries(history: DataFrame) -> DataFrame:
     """S3: the long form of stored histories, one row per (url, day)."""
     return history.select("url", F.explode("history").alias("entry")).select("url", "entry.*")

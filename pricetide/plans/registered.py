@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
 from pricetide.operators import catalog, extract, frontier, history, scoring, snapshots, summaries, tracking
-from pricetide.plans import commands, crawl, nightly, search
+from pricetide.plans import commands, crawl, incremental, nightly, search, search_index
 from pricetide.plans.sql_views import ISO, OFFSET, VIEWS, millionths, outcomes_sql, state_sql
 from pricetide.session import shared_folder
 from pricetide.sources.sample_views import SampleViews, product_url, visits
@@ -1113,6 +1113,88 @@ def _(v):
     ).join(scores, "url", "left").withColumns({"refined": F.lit(refined), "scored": F.lit(scored)})
 
 
+def in_three_nights(v: SampleViews, tables: Tables, night) -> None:
+    """Save the visits of three times one after the other, the last of them on days that the others have; `night` follows each."""
+    log = v.items_log()
+    early, again = F.col("scrapedAt") < F.lit("2024-01-16").cast("timestamp"), F.col("seq") % 10 == 0
+    for batch, part in (("early", log.filter(early & ~again)), ("late", log.filter(~early & ~again)), ("again", log.filter(again))):
+        tables.save_snapshots(part, batch)
+        night(batch)
+
+
+@query(
+    "q1_indexed_search",
+    f"""SELECT url, title, price, score, is_deal, t.* FROM (
+          SELECT * FROM scored WHERE keyword = 'kw3' AND contains(lower(title), 'product') AND price <= 70
+          ORDER BY price, url LIMIT 24), ({TOTALS_SQL}) t""",
+)
+def _(v):
+    """The search of q1 from an index that was brought up to date after each of three saves."""
+    tables = fresh_tables(v)
+    in_three_nights(v, tables, lambda _: search_index.update_index(tables, buckets=8))
+    result = search_index.search_indexed(tables, v.scores(), "kw3", search.ProductQuery.from_params(**SEARCH))
+    totals = result.totals.select(F.struct(*totals_columns())).scalar()
+    return result.items.select(
+        "url", "title", F.col("price.amount").alias("price"), F.col("dealScore").alias("score"), F.col("isDeal").alias("is_deal"),
+        totals.alias("totals"),
+    ).select("url", "title", "price", "score", "is_deal", "totals.*")
+
+
+@query(
+    "p3_indexed_titles",
+    f"""SELECT {ROW_SQL} FROM scored WHERE keyword = 'kw2' AND contains(lower(title), 'duct 1')
+        UNION ALL SELECT {ROW_SQL} FROM scored WHERE keyword = 'kw5' AND contains(lower(title), '9')""",
+)
+def _(v):
+    """Titles that have a text of six characters, from the lists of its runs of three, and one of a single character."""
+    tables = fresh_tables(v)
+    in_three_nights(v, tables, lambda _: search_index.update_index(tables, buckets=8))
+    parts = []
+    for keyword, text in (("kw2", "DUCT 1"), ("kw5", "9")):
+        rows = search_index.indexed_products(tables, keyword, text)
+        parts.append(rows.filter(F.contains(F.lower("title"), F.lit(text.lower()))).select(*row_columns()))
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "a1_q9_refined_by_night",
+    f"""SELECT e.*, h.keyword, h.title, CAST(h.first_seen AS VARCHAR) AS first_seen, CAST(h.last_seen AS VARCHAR) AS last_seen, h.entries
+        FROM (SELECT {ENTRY_SQL} FROM items) e JOIN histories h USING (url)""",
+)
+def _(v):
+    """Histories brought up to date after each of three saves, from the changed days and buckets alone."""
+    tables = fresh_tables(v)
+    in_three_nights(v, tables, lambda _: incremental.refine_new(tables, v.as_of(), buckets=8))
+    kept = incremental.histories(tables)
+    return history.history_entries(kept).select(*entry_columns()).join(
+        kept.select(*(c for c in history_columns() if not isinstance(c, str) or c != "shop")), "url")
+
+
+DEAD_SQL = "(SELECT url FROM fetch_log GROUP BY url HAVING max(seq) = max(seq) FILTER (final_url = 'https://www.amazon.fr/'))"
+
+
+@query(
+    "s6_deletions_logged",
+    f"""SELECT 'history' AS source, url FROM histories WHERE url NOT IN {DEAD_SQL}
+        UNION ALL SELECT 'scores', url FROM scores WHERE url NOT IN {DEAD_SQL}
+        UNION ALL SELECT 'refined', url FROM histories""",
+)
+def _(v):
+    """Dead products out of histories and scores by a log, and back with the next refine, since their visits are still stored."""
+    tables = fresh_tables(v)
+    tables.save_snapshots(v.items_log(), "all")
+    incremental.refine_and_score_new(tables, v.as_of())
+    last = F.max_by(F.struct("final_url"), "seq")
+    dead = frontier.dead_products(v.fetch_log().groupBy("url").agg(last.alias("r")).select("url", "r.final_url"))
+    incremental.delete_products(tables, dead)
+    parts = [
+        tables.stage(f"shown_{name}", lambda: rows.select(F.lit(name).alias("source"), "url"))
+        for name, rows in (("history", incremental.histories(tables)), ("scores", incremental.scores(tables)))
+    ]
+    incremental.refine_new(tables, v.as_of())
+    return parts[0].unionByName(parts[1]).unionByName(incremental.histories(tables).select(F.lit("refined").alias("source"), "url"))
+
+
 @query("r1_streamed_snapshots", f"SELECT {DATED_SQL} FROM items")
 def _(v):
     tables = fresh_tables(v)

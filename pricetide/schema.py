@@ -25,6 +25,17 @@ ITEMS_RAW = T.StructType(
     SNAPSHOT_FIELDS + [T.StructField("seq", T.LongType()), T.StructField("day", T.DateType())]
 )
 
+# Daily rows that a batch brought or replaced, with the keyword that the replaced row had.
+CHANGES = T.StructType(
+    [T.StructField("url", T.StringType()), T.StructField("day", T.DateType()), T.StructField("oldKeyword", T.StringType())]
+)
+
+# The newest row of each (keyword, url), and the runs of three characters of its title.
+KEYWORD_PRODUCTS = T.StructType([*SNAPSHOT_FIELDS, T.StructField("day", T.DateType())])
+TITLE_GRAMS = T.StructType([T.StructField(name, T.StringType()) for name in ("keyword", "gram", "url")])
+
+DELETED = T.StructType([T.StructField("url", T.StringType())])
+
 HISTORY_ENTRY = T.StructType(
     [
         T.StructField("day", T.DateType()),

@@ -110,8 +110,9 @@ class Tables:
             log = log.withColumn("seq", F.xxhash64(*[name for name in fields if name != "seq"]))
         days = self._days(log.select(utc_day(F.col("scrapedAt")).alias("day")))
         touched = self.items().filter(F.col("day").isin(days))
+        every = log.select(*fields, F.lit(True).alias("fresh")).unionByName(touched.select(*fields, F.lit(False).alias("fresh")))
         with sized_shuffles(self.spark, self._day_bytes(days)):
-            self._replace_days(daily_snapshots(log.select(*fields).unionByName(touched.select(*fields))), batch)
+            self._replace_days(daily_snapshots(every), batch, touched)
 
     def _days(self, rows: DataFrame) -> list:
         """The distinct days of the rows, refused if they are more than any record of visits can have."""
@@ -136,17 +137,33 @@ class Tables:
         if not self._exists(*staged, "_SUCCESS"):
             days = self._days(checked.filter("changed").select("day"))
             checked = checked.filter(F.col("day").isin(days))
-            checked.write.mode("overwrite").parquet("/".join((self.folder, *staged)))
+            checked.withColumnRenamed("changed", "fresh").write.mode("overwrite").parquet("/".join((self.folder, *staged)))
         marked = self.spark.read.parquet("/".join((self.folder, *staged)))
-        changed = marked.filter("changed").count()
-        self._replace_days(marked.drop("changed"), name)
+        changed = marked.filter("fresh").count()
+        self._replace_days(marked, name, marked)
         return changed
 
-    def _replace_days(self, rows: DataFrame, batch: str, bytes_per_file: int = 256 * 2**20) -> None:
+    def pending(self, reader: str) -> list[str]:
+        """The batches whose changes the reader has not taken in yet."""
+        saved, taken = set(self._names("saved")), set(self._names("taken", reader))
+        return sorted(name for name in self._names("changes") if name in saved and name not in taken)
+
+    def changes(self, batches: list[str]) -> DataFrame:
+        """(url, day, oldKeyword) of the daily rows that the batches brought or replaced. What a row is now is in `items`."""
+        return self.spark.read.schema(schema.CHANGES).parquet(*[f"{self.folder}/changes/{name}" for name in batches])
+
+    def take(self, reader: str, batches: list[str]) -> None:
+        """Note that the reader has taken in these batches."""
+        for name in batches:
+            files, path = self._path("taken", reader, name)
+            files.create(path).close()
+
+    def _replace_days(self, rows: DataFrame, batch: str, old: DataFrame, bytes_per_file: int = 256 * 2**20) -> None:
         """Put whole days in place of the stored ones.
 
         The days are written beside the table first and copied in from there. If the copy breaks off, a repeat starts
-        from the finished rows, not from half-replaced days.
+        from the finished rows, not from half-replaced days. Before the copy, rows marked `fresh` are listed as changes,
+        with the keyword that the stored row had.
 
         The copy goes by ranges of (day, url), in a number that follows the size written: a large day gets many files,
         small days share a task, and each file holds a narrow range of urls, which scans for one url can skip by.
@@ -156,6 +173,10 @@ class Tables:
             return
         if not self._exists(*staged, "_SUCCESS"):
             rows.write.mode("overwrite").parquet("/".join((self.folder, *staged)))
+        if not self._exists("changes", batch, "_SUCCESS"):
+            fresh = self.spark.read.parquet("/".join((self.folder, *staged))).filter("fresh").select("url", "day")
+            before = old.select("url", "day", F.col("keyword").alias("oldKeyword"))
+            fresh.join(before, ["url", "day"], "left").write.mode("overwrite").parquet(f"{self.folder}/changes/{batch}")
         (
             self._read(schema.ITEMS_RAW, *staged)
             .repartitionByRange(partitions_for(self.size("/".join(staged)), 8, bytes_per_file), "day", "url")
