@@ -8,11 +8,11 @@ from pricetide.functions import arrays, dates, money
 
 
 # Steps of 2^-24: sums of up to 2^29 in these steps are exact.
-_STEP = 2.0**24
+STEP = 2.0**24
 
 
 def _coarse(amount: Column) -> Column:
-    return F.floor(amount * _STEP) / _STEP
+    return F.floor(amount * STEP) / STEP
 
 
 def feature_rows(entries: DataFrame) -> DataFrame:
@@ -84,7 +84,8 @@ def has_enough_history(observations: Column, mean_price: Column) -> Column:
     return (observations >= fixed.MIN_OBSERVATIONS) & mean_price.isNotNull()
 
 
-def _scores(newest: DataFrame, as_of: Column) -> DataFrame:
+def scores_of_newest(newest: DataFrame, as_of: Column) -> DataFrame:
+    """Scores from the newest priced day of each product."""
     mean, price = F.col("meanPrice30d"), F.col("price")
     return newest.filter(is_fresh(F.col("day"), as_of) & has_enough_history(F.col("observations"), mean)).select(
         "url",
@@ -102,7 +103,7 @@ def deal_scores(entries: DataFrame, as_of: Column) -> DataFrame:
 
     Replaces the stored table as a whole (S5).
     """
-    return _scores(latest_features(feature_rows(entries)), as_of)
+    return scores_of_newest(latest_features(feature_rows(entries)), as_of)
 
 
 def deal_scores_of_histories(history: DataFrame, as_of: Column) -> DataFrame:
@@ -159,4 +160,4 @@ def deal_scores_of_histories(history: DataFrame, as_of: Column) -> DataFrame:
         "url", "newest.day", "meanPrice30d", "observations", F.col("newest.price.currency").alias("currency"),
         F.col("newest.price.amount").alias("price"), trend(slope, y).alias("trendDirection"),
     )
-    return _scores(newest, as_of)
+    return scores_of_newest(newest, as_of)

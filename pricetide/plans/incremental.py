@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from pricetide import schema
 from pricetide.operators.history import merged_history, price_history, without_keys
-from pricetide.operators.scoring import deal_scores_of_histories
+from pricetide.operators.price_stats import merged_stats, price_stats, scores_of_stats
 from pricetide.session import sized_shuffles
 from pricetide.sources.buckets import BUCKETS, Buckets
 from pricetide.sources.tables import Tables
 
-READER = "history"
+READER, STATS_READER = "history", "stats"
 # Deleted urls are looked up on every read; from so many on they are taken out of the buckets.
 MOST_DELETED = 1_000_000
 
@@ -86,12 +86,11 @@ def refine_new(tables: Tables, as_of: Column, buckets: int = BUCKETS) -> int:
         if items.isEmpty():
             return 0
         with sized_shuffles(tables.spark, tables.size("items_raw")):
-            refined = kept.replace(price_history(items, as_of), list(range(kept.number)))
+            refined = kept.replace(price_history(items, as_of), list(range(kept.number)), reader=READER, batches=batches)
     elif not batches and not any(logs.values()):
         return 0
     else:
         refined = _refine_touched(tables, kept, batches, as_of)
-    tables.take(READER, batches)
     for log, names in logs.items():
         _drop(tables, log, names)
     return refined
@@ -112,12 +111,54 @@ def _refine_touched(tables: Tables, kept: Buckets, batches: list[str], as_of: Co
         old = without_keys(old, gone)
         again = tables.items().join(gone, "url", "left_semi")
         changed = without_keys(changed, gone).unionByName(again)
-    return kept.replace(merged_history(old, changed, as_of), touched, "count_if(fresh)")
+    return kept.replace(merged_history(old, changed, as_of), touched, "count_if(fresh)", READER, batches)
+
+
+def stats_buckets(tables: Tables, buckets: int = BUCKETS) -> Buckets:
+    return Buckets(tables, "price_stats", schema.PRICE_STATS, "url", ["url"], buckets)
+
+
+def update_stats(tables: Tables, buckets: int = BUCKETS) -> int:
+    """Bring the price statistics up to date with the days saved since the last time; returns how many products
+    changed. Of the visits only changed days are read, but for products whose newest price was taken back."""
+    kept = stats_buckets(tables, buckets)
+    kept.resume()
+    batches = tables.pending(STATS_READER)
+    items = tables.items()
+    if not kept.exists:
+        if items.isEmpty():
+            return 0
+        with sized_shuffles(tables.spark, tables.size("items_raw")):
+            changed = kept.replace(price_stats(items), list(range(kept.number)), reader=STATS_READER, batches=batches)
+    elif not batches:
+        return 0
+    else:
+        listed = tables.changes(batches)
+        days = tables._days(listed.select("day"))
+        before = listed.groupBy("url", "day").agg(F.min_by(F.struct("replaced", "oldAmount"), "number").alias("before"))
+        now = items.filter(F.col("day").isin(days)).select("url", "day", "price")
+        changes = now.join(before, ["url", "day"]).select("url", "day", "price", "before.*")
+        touched = kept.of(listed)
+        merged = merged_stats(kept.read(touched), changes)
+        again = merged.filter("rebuild").select("url")
+        if not again.isEmpty():
+            rebuilt = price_stats(items.join(again, "url", "left_semi")).withColumn("fresh", F.lit(True))
+            merged = merged.filter("NOT rebuild").drop("rebuild").unionByName(rebuilt)
+        # Sums must not take in a batch twice, so it is noted with the copy.
+        changed = kept.replace(merged, touched, "count_if(fresh)", STATS_READER, batches)
+    return changed
 
 
 def score_new(tables: Tables, as_of: Column) -> int:
-    """Q10 over the bucketed histories."""
-    return tables.save_scores(deal_scores_of_histories(histories(tables), as_of))
+    """Q10 from the price statistics: a narrow row per product, whatever the length of its history.
+
+    Products with a score are those with a history; deleted ones are left out until they are refined again.
+    """
+    update_stats(tables)
+    stats = stats_buckets(tables).read()
+    if _logged(tables, "deleted", "removed"):
+        stats = without_keys(stats, deleted(tables))
+    return tables.save_scores(scores_of_stats(stats, as_of))
 
 
 def refine_and_score_new(tables: Tables, as_of: Column) -> tuple[int, int]:

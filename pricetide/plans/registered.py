@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
-from pricetide.operators import catalog, extract, frontier, history, scoring, snapshots, summaries, tracking
+from pricetide.operators import catalog, extract, frontier, history, price_stats, scoring, snapshots, summaries, tracking
 from pricetide.plans import commands, crawl, incremental, nightly, search, search_index
 from pricetide.plans.sql_views import ISO, OFFSET, VIEWS, millionths, outcomes_sql, state_sql
 from pricetide.session import shared_folder
@@ -1170,6 +1170,14 @@ def _(v):
         kept.select(*(c for c in history_columns() if not isinstance(c, str) or c != "shop")), "url")
 
 
+@query("q10_scores_by_night", SCORES_SQL)
+def _(v):
+    """Scores from sums that grew with the changed days of three saves."""
+    tables = fresh_tables(v)
+    in_three_nights(v, tables, lambda _: incremental.update_stats(tables, buckets=8))
+    return price_stats.scores_of_stats(incremental.stats_buckets(tables).read(), v.as_of()).select(*score_columns())
+
+
 DEAD_SQL = "(SELECT url FROM fetch_log GROUP BY url HAVING max(seq) = max(seq) FILTER (final_url = 'https://www.amazon.fr/'))"
 
 

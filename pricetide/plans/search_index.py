@@ -70,8 +70,7 @@ def update_index(tables: Tables, buckets: int = BUCKETS) -> None:
             rows = rows.unionByName(again.select(*schema.KEYWORD_PRODUCTS.names))
         products.replace(latest(rows, "keyword", "url"), touched)
     named = products.read(touched).select("keyword", F.explode(grams(F.col("title"))).alias("gram"), "url")
-    titles.replace(named, touched)
-    tables.take(READER, batches)
+    titles.replace(named, touched, reader=READER, batches=batches)
 
 
 def indexed_products(tables: Tables, keyword: str, search: str | None = None) -> DataFrame:

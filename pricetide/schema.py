@@ -25,9 +25,31 @@ ITEMS_RAW = T.StructType(
     SNAPSHOT_FIELDS + [T.StructField("seq", T.LongType()), T.StructField("day", T.DateType())]
 )
 
-# Daily rows that a batch brought or replaced, with the keyword that the replaced row had.
+# Daily rows that a batch brought or replaced, with the keyword and price that the replaced row had.
 CHANGES = T.StructType(
-    [T.StructField("url", T.StringType()), T.StructField("day", T.DateType()), T.StructField("oldKeyword", T.StringType())]
+    [
+        T.StructField("url", T.StringType()),
+        T.StructField("day", T.DateType()),
+        T.StructField("oldKeyword", T.StringType()),
+        T.StructField("oldAmount", T.DoubleType()),
+        T.StructField("replaced", T.BooleanType()),
+        T.StructField("number", T.LongType()),
+    ]
+)
+
+# Sums over the priced days of a product: x is the day as a number, y the price in whole steps, the rests are what the
+# steps leave. `recent` has all days from 30 before the newest priced one on.
+EXACT = T.DecimalType(38, 0)
+PRICE_STATS = T.StructType(
+    [
+        T.StructField("url", T.StringType()),
+        T.StructField("entries", T.LongType()),
+        T.StructField("n", T.LongType()),
+        *[T.StructField(name, EXACT) for name in ("sumX", "sumXX", "sumY", "sumXY")],
+        *[T.StructField(name, T.DoubleType()) for name in ("restY", "restXY")],
+        T.StructField("newest", T.DateType()),
+        T.StructField("recent", T.ArrayType(T.StructType([T.StructField("day", T.DateType()), T.StructField("price", MONEY)]))),
+    ]
 )
 
 # The newest row of each (keyword, url), and the runs of three characters of its title.

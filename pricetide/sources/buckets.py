@@ -51,13 +51,14 @@ class Buckets:
         rows = self.tables._read(placed, self.name)
         return rows.filter((F.col("bucket") == self.bucket(F.lit(value))) & (F.col(self.key) == value)).drop("bucket")
 
-    def replace(self, rows: DataFrame, touched: list[int], counted: str = "count(1)") -> int:
+    def replace(self, rows: DataFrame, touched: list[int], counted: str = "count(1)", reader: str = "", batches: list[str] = ()) -> int:
         """Put the rows in place of the touched buckets, of which they are the whole new contents; returns a count over
-        them, taken while they are staged."""
+        them, taken while they are staged. With the copy the reader has taken in the batches: both happen, or neither."""
         seen = Observation()
         columns = [F.col(field.name).cast(field.dataType) for field in self.schema]
         staged = rows.observe(seen, F.expr(counted).alias("rows")).select(*columns, self.bucket(F.col(self.key)).alias("bucket"))
-        marks = self.tables.spark.createDataFrame([(number,) for number in touched], "bucket int")
+        listed = [(number, None, None) for number in touched] + [(None, reader, batch) for batch in batches]
+        marks = self.tables.spark.createDataFrame(listed, "bucket int, reader string, batch string")
         marks.coalesce(1).write.mode("overwrite").parquet(f"{self.tables.folder}/staged/{self.name}.touched")
         staged.write.mode("overwrite").parquet(f"{self.tables.folder}/staged/{self.name}.rows")
         self._copy()
@@ -85,7 +86,11 @@ class Buckets:
             .parquet(f"{tables.folder}/{self.name}")
         )
         # Buckets without rows are not overwritten but emptied.
-        touched = {row.bucket for row in tables.spark.read.parquet(f"{tables.folder}/{marks}").collect()}
+        listed = tables.spark.read.parquet(f"{tables.folder}/{marks}").collect()
+        touched = {row.bucket for row in listed if row.bucket is not None}
+        for row in listed:
+            if row.batch is not None:
+                tables.take(row.reader, [row.batch])
         filled = {row.bucket for row in staged.select("bucket").distinct().collect()}
         for name in [*(f"{self.name}/bucket={number}" for number in touched - filled), rows, marks]:
             files, path = tables._path(name)

@@ -149,7 +149,10 @@ class Tables:
         return sorted(name for name in self._names("changes") if name in saved and name not in taken)
 
     def changes(self, batches: list[str]) -> DataFrame:
-        """(url, day, oldKeyword) of the daily rows that the batches brought or replaced. What a row is now is in `items`."""
+        """(url, day, oldKeyword, oldAmount, replaced, number) of the daily rows that the batches brought or replaced. What a
+        row is now is in `items`; what it was before them all is said by the change with the smallest number."""
+        if not batches:
+            return self.spark.createDataFrame([], schema.CHANGES)
         return self.spark.read.schema(schema.CHANGES).parquet(*[f"{self.folder}/changes/{name}" for name in batches])
 
     def take(self, reader: str, batches: list[str]) -> None:
@@ -175,8 +178,11 @@ class Tables:
             rows.write.mode("overwrite").parquet("/".join((self.folder, *staged)))
         if not self._exists("changes", batch, "_SUCCESS"):
             fresh = self.spark.read.parquet("/".join((self.folder, *staged))).filter("fresh").select("url", "day")
-            before = old.select("url", "day", F.col("keyword").alias("oldKeyword"))
-            fresh.join(before, ["url", "day"], "left").write.mode("overwrite").parquet(f"{self.folder}/changes/{batch}")
+            before = old.select(
+                "url", "day", F.col("keyword").alias("oldKeyword"), F.col("price.amount").alias("oldAmount"), F.lit(True).alias("replaced")
+            )
+            listed = fresh.join(before, ["url", "day"], "left").fillna(False, ["replaced"])
+            listed.withColumn("number", F.lit(len(self._names("saved"))).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/changes/{batch}")
         (
             self._read(schema.ITEMS_RAW, *staged)
             .repartitionByRange(partitions_for(self.size("/".join(staged)), 8, bytes_per_file), "day", "url")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pricetide import schema
 from pricetide.operators.history import price_history
+from pricetide.operators.price_stats import price_stats, scores_of_stats
+from pricetide.operators.scoring import deal_scores_of_histories
 from pricetide.plans import incremental, nightly, search, search_index
 from pricetide.sources.buckets import Buckets
 from pricetide.sources.tables import Tables
@@ -118,7 +120,7 @@ def test_run_that_broke_off_is_repeated(tables, monkeypatch):
         incremental.refine_new(tables, F.lit(NOW))
     monkeypatch.setattr(Buckets, "_copy", copy)
     save(tables, [seen("u2", 2)], "3")
-    assert incremental.refine_new(tables, F.lit(NOW)) == 3  # the batch that was not noted comes once more, with the same result
+    assert incremental.refine_new(tables, F.lit(NOW)) == 1  # the copy is ended first, so only the last batch is left
     assert shown(incremental.histories(tables)) == shown(full(tables))
 
 
@@ -148,6 +150,46 @@ def test_deletions_are_compacted_by_number(tables):
     assert incremental.refine_new(tables, F.lit(NOW)) == 4 and incremental.histories(tables).count() == 30
 
 
+def test_statistics_equal_scores_of_all_days(tables):
+    """Random days with and without prices, replaced, added before and after, newest prices taken back."""
+    rng = random.Random(3)
+    as_of = F.lit(START + dt.timedelta(days=46))
+    for night in range(5):
+        days = (0, 45) if night < 3 else (40, 47)
+        rows = [seen(f"u{rng.randrange(10)}", rng.randrange(*days), 1000 * night + i, rng.choice([None, 9.99, 12.34, 0.1 + rng.random() * 50])) for i in range(120)]
+        save(tables, rows, f"b{night}")
+        if night == 1:
+            continue
+        assert incremental.update_stats(tables, buckets=4) > 0
+        stats = incremental.stats_buckets(tables).read()
+        want = {r.url: r for r in deal_scores_of_histories(full(tables), as_of).collect()}
+        mine = {r.url: r for r in scores_of_stats(stats, as_of).collect()}
+        assert mine == want and (night < 3 or len(mine) > 3)
+        again = {r.url: r for r in price_stats(tables.items()).collect()}
+        for r in stats.collect():
+            w = again[r.url]
+            assert (r.entries, r.n, r.sumX, r.sumXX, r.sumY, r.sumXY, r.newest, r.recent) == (w.entries, w.n, w.sumX, w.sumXX, w.sumY, w.sumXY, w.newest, w.recent)
+            assert r.restY == pytest.approx(w.restY, abs=1e-12)
+    assert incremental.update_stats(tables) == 0
+
+
+def test_statistics_take_a_batch_in_once(tables, monkeypatch):
+    save(tables, [seen("u", d, price=float(d)) for d in range(1, 9)], "1")
+    incremental.update_stats(tables, buckets=2)
+    save(tables, [seen("u", 9, price=3.0)], "2")
+    take = Tables.take
+
+    def lost(self, *_):
+        raise OSError("driver lost")
+
+    monkeypatch.setattr(Tables, "take", lost)
+    with pytest.raises(OSError):
+        incremental.update_stats(tables)  # copied, but not noted
+    monkeypatch.setattr(Tables, "take", take)
+    assert incremental.update_stats(tables) == 0  # the copy is made once more, and noted
+    assert incremental.stats_buckets(tables).read().first().n == 9
+
+
 def test_emptied_buckets(tables):
     save(tables, [seen("only", 0)], "1")
     incremental.refine_new(tables, F.lit(NOW), buckets=2)
