@@ -14,6 +14,7 @@ from pricetide.plans.sql_views import ISO, OFFSET, VIEWS, millionths, outcomes_s
 from pricetide.session import shared_folder
 from pricetide.sources.sample_views import SampleViews, product_url, visits
 from pricetide.sources.tables import Tables, migrated_items
+from pricetide.streaming.deltas import compact_deltas, items_now, save_deltas
 from pricetide.streaming.snapshots import save_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1212,6 +1213,22 @@ def _(v):
     return tables.items().select(*dated_columns())
 
 
+@query(
+    "r1_streamed_deltas",
+    f"SELECT 'appended' AS how, {DATED_SQL} FROM items UNION ALL SELECT 'compacted', {DATED_SQL} FROM items",
+)
+def _(v):
+    """The stream with state: daily rows as they are with what it appended, and after that was merged."""
+    tables = fresh_tables(v)
+    events = v.table("events").schema
+    stream = v.spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(v.folder)
+    save_deltas(visits(stream), tables, f"{tables.folder}/stream").awaitTermination()
+    appended = tables.stage("appended", lambda: items_now(tables))
+    compact_deltas(tables)
+    parts = [rows.select(F.lit(how).alias("how"), *dated_columns()) for how, rows in (("appended", appended), ("compacted", tables.items()))]
+    return parts[0].unionByName(parts[1])
+
+
 def in_two_parts(raw: DataFrame) -> list[DataFrame]:
     """Commands of a first and of a later time."""
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
