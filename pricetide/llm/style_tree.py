@@ -43,8 +43,13 @@ APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie "
     "cookies copyright disclaimer disqus footer header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination "
     "popup promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+# Inside an article a class sets a part apart only if it has no other words than these, and an id only for readers' comments:
+# there, ids name places in the text.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+PART_WORDS = frozenset("area bar block body box button buttons container content form inner item items link links list outer section thread title wrap wrapper".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
+# Quotes open a value only behind an equals sign.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 RAW_END = {tag: re.compile(f"</{tag}\\b[^>]*>", re.I) for tag in RAW}
 
@@ -141,13 +146,20 @@ class Page:
         for m in ATTRIBUTE.finditer(attributes or ""):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of a name counts
         names = " ".join(found.get(k, "") for k in ("class", "id")).lower().split()
-        words = {w for n in names for w in re.split(r"[-_0-9]+", n)} | set(names)
         in_article = self.open.get("article") or self.open.get("main")
         role = found.get("role", "").lower()
         apart = (
             (tag in APART and tag != "form") or (tag == "header" and not in_article) or (role in APART_ROLES and role != "form")
             or "hidden" in found or found.get("aria-hidden", "").lower() == "true")
-        named = tag == "form" or role == "form" or bool(words & (APART_WORDS - {"header"} if in_article else APART_WORDS))
+        named = tag == "form" or role == "form"
+        if in_article:
+            parts = [set(re.split(r"[-_0-9]+", n)) - {""} for n in found.get("class", "").lower().split()]
+            ids = [set(re.split(r"[-_0-9]+", n)) - {""} for n in found.get("id", "").lower().split()]
+            named = named or any(p & (APART_WORDS - {"header"}) and p <= APART_WORDS | PART_WORDS for p in parts) or any(
+                p & COMMENT_WORDS and p <= COMMENT_WORDS | PART_WORDS for p in ids)
+        else:
+            words = {w for n in names for w in re.split(r"[-_0-9]+", n)} | set(names)
+            named = named or bool(words & APART_WORDS)
         if tag in ("html", "body", "main", "article"):
             apart = named = False
         sign = "!" if apart else "?" if named else ""

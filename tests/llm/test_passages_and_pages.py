@@ -145,6 +145,21 @@ def test_names_do_not_take_the_article():
     assert text("<div class='ads'>" * 30000 + "deep") == "deep"
 
 
+def test_names_inside_an_article_are_places_of_its_text():
+    text = lambda source: style_tree.main_text(page(source), set())
+    sections = '<section id="ad"><p>in the year</p></section><section id="notice-periods"><p>of the law</p></section><div class="social-history"><p>of towns</p></div>'
+    gone = '<div class="comments-area"><p>no</p></div><div class="ad"><p>no</p></div><div class="share-buttons">no</div><div id="comments"><p>no</p></div>'
+    assert text(f"<article><p>first</p>{sections}{gone}</article>") == "first in the year of the law of towns"
+    assert text(f'<div id="notice">no</div><main>{sections}{gone}</main>') == "in the year of the law of towns"
+
+
+def test_quotes_open_values_only_behind_an_equals_sign():
+    text = lambda source: style_tree.main_text(page(source), set())
+    assert text("<article><p title=it's>Body one isn't dropped.</p><p>It's two.</p></article>") == "Body one isn't dropped. It's two."
+    assert text("""<article><p data-x='a > b' title = "c > d" it's>one</p><p "odd">two</p><p title=">three</p></article>""") == "one two three"
+    assert text('<article><p class=x" id=y\'>one</p><p>two "three" \'four</p></article>') == "one two \"three\" 'four"
+
+
 def test_unnamed_boilerplate_goes_by_its_importance(frame):
     rng = random.Random(4)
     words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
