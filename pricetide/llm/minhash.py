@@ -23,7 +23,7 @@ MISS = 1e-6
 SEED = 20
 # Parts that shingle sets are dealt into to count differences.
 PARTS = 128
-CACHED_WORDS = 400_000
+CACHED_WORDS = 50_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -19,10 +19,16 @@ WORD_ROWS, CHARACTER_ROWS = 2**14, 2**13
 LONGEST_WORD = 24
 EDGES = ".,;:!?\"'()[]{}<>|*&%$#-_"
 
-# What the network is fitted on at most: labelled rows of either class, and characters of each.
+# What the network is fitted on at most, by default: labelled rows of either class, and characters of each.
 TOXIC_ROWS, CLEAN_ROWS, FIT_CHARACTERS = 1500, 3000, 40_000
-CACHED_WORDS = 200_000
-SLICE = 512
+# Words and runs of characters in fewer fitted texts have no vector of their own.
+LEAST_TEXTS = 3
+# An epoch has so many steps at least, so that a small sample is learned from as often as a large one.
+STEPS = 30
+# While it is fitted, the network does without the own vectors of so many words.
+DROPPED = 0.5
+# Words a worker keeps, and those it looks up at a time beside them.
+CACHED_WORDS, AT_ONCE = 40_000, 2**15
 
 
 def tokens(text: str) -> list[str]:
@@ -78,16 +84,23 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         h = HIDDEN
-        self.words = rng.normal(0, 0.1, (WORD_ROWS, PART)).astype(np.float32)
-        self.characters = rng.normal(0, 0.1, (CHARACTER_ROWS + 1, PART)).astype(np.float32)
-        self.characters[-1] = 0
+        # What was not seen in fitting says nothing: all vectors begin as zero.
+        self.words = np.zeros((WORD_ROWS + 1, PART), np.float32)
+        self.characters = np.zeros((CHARACTER_ROWS + 1, PART), np.float32)
+        self.own_rows, self.character_rows = np.ones(WORD_ROWS + 1, bool), np.ones(CHARACTER_ROWS + 1, bool)
+        self.own_rows[-1] = self.character_rows[-1] = False  # these learn nothing
         self.dense = {
             "W": draw(2 * PART, 6 * h), "b": np.zeros(6 * h, np.float32), "Uf": draw(h, 3 * h), "Ub": draw(h, 3 * h),
             "A": draw(2 * h, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": draw(ATTENTION, 1)[:, 0], "w": draw(2 * h, 1)[:, 0],
             "c": np.zeros(1, np.float32),
         }
         self.first, self.second, self.steps = {}, {}, 0
-        self.word_sums, self.character_sums = np.zeros((WORD_ROWS, 1), np.float32), np.zeros((CHARACTER_ROWS + 1, 1), np.float32)
+        self.word_sums, self.character_sums = np.zeros((WORD_ROWS + 1, 1), np.float32), np.zeros((CHARACTER_ROWS + 1, 1), np.float32)
+
+    def learn_only(self, by_word: np.ndarray, by_run: np.ndarray) -> None:
+        """Rows that are on fewer than LEAST_TEXTS texts stay zero."""
+        self.own_rows &= by_word >= LEAST_TEXTS
+        self.character_rows &= by_run >= LEAST_TEXTS
 
     def vectors(self, own, rows, size) -> np.ndarray:
         return np.concatenate([self.words[own], self.characters[rows].sum(1) / size[:, None]], 1, dtype=np.float32)
@@ -189,24 +202,28 @@ class Network:
             m = self.first[k] = 0.9 * self.first.get(k, 0) + 0.1 * g
             s = self.second[k] = 0.999 * self.second.get(k, 0) + 0.001 * g * g
             self.dense[k] -= (rate * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
-        for part, sums, at, g in ((self.words, self.word_sums, word_rows, word), (self.characters, self.character_sums, character_rows, character)):
+        learned = (
+            (self.words, self.word_sums, self.own_rows, word_rows, word),
+            (self.characters, self.character_sums, self.character_rows, character_rows, character))
+        for part, sums, known, at, g in learned:
+            at, g = at[known[at]], g[known[at]]
             sums[at] += (g * g).mean(1, keepdims=True)
             part[at] -= 5 * rate * g / (np.sqrt(sums[at]) + 1e-8)
         return float(loss)
 
 
 class Vocabulary(dict):
-    """Numbers words from 1 as they come; `fresh` are those without a row in the table yet."""
+    """Numbers words from 1 as they come; `fresh` are those without a row in the table yet. The table has one size."""
 
     def __init__(self, network: Network):
         super().__init__()
         self.network = network
-        self.forget()
+        self.table = np.zeros((CACHED_WORDS + 2 * AT_ONCE, 6 * HIDDEN), np.float32)
+        self.fresh: list[str] = []
 
     def forget(self) -> None:
         self.clear()
-        self.fresh: list[str] = []
-        self.table = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.fresh = []
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self) + 1
@@ -217,10 +234,8 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
     def filled(self) -> np.ndarray:
-        need = len(self) + 1
-        if need > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), 6 * HIDDEN), np.float32)])
         if self.fresh:
+            need = len(self) + 1
             self.table[need - len(self.fresh) : need] = self.network.projected(*inputs(self.fresh))[1:]
             self.fresh = []
         return self.table
@@ -233,15 +248,47 @@ def windows(index: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
+def runs(words: list[str]) -> Iterator[list[str]]:
+    """The words of a text in runs of AT_ONCE about, which overlap so that they have the windows of the whole text."""
+    step = max(STRIDE, AT_ONCE // STRIDE * STRIDE)
+    for a in range(0, max(1, len(words) - WINDOW + STRIDE), step):
+        yield words[a : a + step + WINDOW - STRIDE]
+
+
 def document_scores(vocabulary: Vocabulary, texts: list[str]) -> np.ndarray:
     """The highest probability among all windows of each text."""
-    if len(vocabulary) > CACHED_WORDS:
-        vocabulary.forget()
-    parts = [windows(vocabulary.index(tokens(t))) for t in texts]
-    table, all_windows = vocabulary.filled(), np.concatenate(parts)
-    logits = np.concatenate([vocabulary.network.forward(table, all_windows[i : i + 1024]) for i in range(0, len(all_windows), 1024)])
-    first = np.cumsum([0, *map(len, parts)])[:-1]
-    return _sigmoid(np.maximum.reduceat(logits, first).astype(float))
+    logits = np.full(len(texts), -np.inf)
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+
+    def read() -> None:
+        table, every = vocabulary.filled(), np.concatenate([w for _, w in held])
+        found = np.concatenate([vocabulary.network.forward(table, every[i : i + 1024]) for i in range(0, len(every), 1024)])
+        np.maximum.at(logits, np.repeat([i for i, _ in held], [len(w) for _, w in held]), found)
+
+    for i, text in enumerate(texts):
+        for words in runs(tokens(text)):
+            if size + len(words) > 2 * AT_ONCE:
+                read()
+                held, size = [], 0
+            if not held and len(vocabulary) >= CACHED_WORDS:
+                vocabulary.forget()
+            held.append((i, windows(vocabulary.index(words))))
+            size += len(words)
+    if held:
+        read()
+    return _sigmoid(logits)
+
+
+def seen_rows(docs: list[np.ndarray], own: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """On how many texts each word row and each character row is; `docs`: their windows of words, numbered from 1."""
+    by_word, by_run = np.zeros(WORD_ROWS + 1, np.int64), np.zeros(CHARACTER_ROWS + 1, np.int64)
+    for found in docs:
+        words = np.unique(found)
+        words = words[words > 0] - 1
+        by_word[np.unique(own[words])] += 1
+        by_run[np.unique(rows[words])] += 1
+    return by_word, by_run
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 256, seed: int = 11) -> Network:
@@ -257,6 +304,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 256,
     names: dict[str, int] = {}
     docs = [windows(np.array([names.setdefault(w, len(names) + 1) for w in tokens(t)], np.int32)) for t in texts]
     own, rows, size = inputs(list(names)) if names else inputs(["x"])
+    network.learn_only(*seen_rows(docs, own, rows))
     first = np.cumsum([0, *map(len, docs)])
     every = np.concatenate(docs)
     del docs, names
@@ -277,9 +325,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 256,
             marks += [y] * len(take)
         chosen, marks = np.array(chosen), np.array(marks, np.float32)
         order = rng.permutation(len(chosen))
+        some_rows = int(np.clip(len(order) // STEPS, 16, batch))
         balance = np.where(marks == 1, 0.5 / max(1, marks.sum()), 0.5 / max(1, (1 - marks).sum())).astype(np.float32) * len(marks)
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
+        for at in range(0, len(order), some_rows):
+            some = order[at : at + some_rows]
             index = every[chosen[some]]
             used, place = np.unique(index, return_inverse=True)
             place = place.reshape(index.shape)
@@ -289,14 +338,17 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 256,
                 place = place + 1
             if not len(used):
                 continue
-            network.step(own[used - 1], rows[used - 1], size[used - 1], place, marks[some], balance[some] / len(some), 0.02 * 0.85**epoch)
+            shown = np.where(rng.random(len(used)) < DROPPED, WORD_ROWS, own[used - 1])
+            network.step(shown, rows[used - 1], size[used - 1], place, marks[some], balance[some] / len(some), 0.02 * 0.85**epoch)
     return network
 
 
-def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Network:
+def fitted(
+    docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, fit_characters: int = FIT_CHARACTERS
+) -> Network:
     """The network, fitted on the driver on a bounded sample: so many labelled rows of either class outside the held-out
-    fold, of at most FIT_CHARACTERS characters. Of several labels of an id the largest counts."""
-    rows = docs.filter(F.length("text") <= FIT_CHARACTERS).select("doc_id", "text")
+    fold, each of `fit_characters` characters at most. Of several labels of an id the largest counts."""
+    rows = docs.filter(F.length("text") <= fit_characters).select("doc_id", "text")
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [labelled_sample(rows, known.filter(F.col("toxic") == y), "toxic", n) for y, n in ((1, toxic_rows), (0, clean_rows))]
     sample = drawn[0].unionByName(drawn[1]).orderBy("doc_id", "text").collect()
@@ -316,9 +368,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, network: Network | None =
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = kept_in_worker(name, lambda: Vocabulary(network))
         for series in texts:
-            values = [t or "" for t in series]
-            parts = [document_scores(vocabulary, values[i : i + SLICE]) for i in range(0, len(values), SLICE)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            yield pd.Series(document_scores(vocabulary, [t or "" for t in series]))
 
     scored = F.pandas_udf(run, "double")
     return docs.withColumn("score", scored(F.col("text")))
