@@ -87,8 +87,6 @@ class _Search:
                 break
             bound = q_head[live] @ c_head[step].T + np.outer(q_rest[live], c_rest[step])
             rows, cols = np.nonzero(bound + slack[live, None] >= floor[live, None])
-            own = q_ids[live[rows]] == c_ids[step[cols]]
-            rows, cols = rows[~own], cols[~own]
             if not len(rows):
                 continue
             score = self.exact(q[live], c[step], rows, cols)
@@ -117,6 +115,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Both frames are (id, v) of `integer_vectors`; a query is no candidate of its own. Ties go to the smaller id. Vectors
     of unequal width are read as if zeros followed; an empty vector scores 0 with everything. Empty tables give nothing.
 
+    Equal vectors are one class, searched once however many rows it has, as a candidate and as a query. The k rows of a
+    query, and itself, lie in the k + 1 best classes, by score and smallest id, and are among the k + 1 smallest ids of each.
+    """
+    by_id = Window.partitionBy("v").orderBy("id")
+    few = vectors.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
+    classes = stored(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
+    of_queries = stored(queries.groupBy("v").agg(F.min("id").alias("class")))
+    asked = queries.join(of_queries, "v").select("id", "class")
+    found = _top_classes(classes.select("id", "v"), of_queries.select(F.col("class").alias("id"), "v"), k + 1)
+    rows = found.join(classes.select(F.col("id").alias("vec_id"), "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    best = lambda key: Window.partitionBy(key).orderBy(F.desc("score"), "vec_id")
+    rows = rows.withColumn("n", F.row_number().over(best("query_id"))).filter(F.col("n") <= k + 1).drop("n")
+    rows = rows.withColumnRenamed("query_id", "class").join(asked.withColumnRenamed("id", "query_id"), "class").filter("query_id <> vec_id")
+    ranked = rows.withColumn("rank", F.row_number().over(best("query_id"))).filter(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _top_classes(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k candidates with the highest inner product for each query, itself included.
+
     Candidates lie in blocks by descending length. The first block gives every query a score it surely reaches; as
     lengths only fall, the blocks a query still has to see are a prefix, and the rest is never sent to it. Within a
     block, rotated partial sums plus the product of what is left of both lengths bound a score from above, and only
@@ -128,7 +146,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     spark, width = vectors.sparkSession, shape.width or 0
     result = "query_id long, vec_id long, score long"
     if not shape.n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], result)
     search = _Search(rotation(vectors, width), k)
     parts = -(-shape.n // BLOCK_ROWS)
     ordered = vectors.repartitionByRange(parts, F.col("length").desc(), "id").sortWithinPartitions(F.col("length").desc(), "id")
@@ -180,8 +198,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     rest = later.join(blocks, "block").mapInPandas(searched, result)
     hits = seeds.select(F.explode("hits").alias("h")).select("h.*").unionByName(rest)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
 
 
 def _numbered(blocks: DataFrame) -> DataFrame:
