@@ -11,6 +11,10 @@ from pricetide.llm.common import stored, with_slots
 
 GRID = 2**30
 BUCKETS = 4096
+# Nodes whose cuts are searched for in one pass.
+OPEN = 4096
+# Groups of equal texts of more than this share of a shard are dealt out in parts of that share.
+LARGE_CLASS, LARGE_PART = 0.1, 1 / 64
 
 
 @dataclass
@@ -48,7 +52,7 @@ def kd_shards(
     Null dimensions lie below all others. Rows equal in everything, `ident` included, can't be told apart and go to the
     same side. An empty table stays empty.
 
-    The driver sees histograms: at most BUCKETS * 64 sums per pass for all nodes together.
+    The driver sees one row per node, and histograms: at most BUCKETS * 64 sums per pass, which looks at OPEN nodes at most.
     """
     spark = rows.sparkSession
     names = list(dims)
@@ -74,8 +78,10 @@ def kd_shards(
     parts = {0: (0, leaves)}  # node: its first leaf and its number of leaves
     while any(n > 1 for _, n in parts.values()):
         open_nodes = [k for k, (_, n) in parts.items() if n > 1]
-        spans = held.filter(F.col("__node").isin(open_nodes)).groupBy("__node").agg(
+        some = held.filter(F.col("__node").isin(open_nodes)) if len(open_nodes) <= 64 else held
+        spans = some.groupBy("__node").agg(
             F.sum("__w").alias("w"), *[f(f"__c{i}").alias(f"{n}{i}") for i in range(len(names)) for n, f in (("a", F.min), ("b", F.max))]).collect()
+        spans = [r for r in spans if parts[r["__node"]][1] > 1]
         cuts = []
         for r in spans:
             widest = max(range(len(names)), key=lambda i: r[f"b{i}"] - r[f"a{i}"])
@@ -85,6 +91,7 @@ def kd_shards(
         while not all(c.done for c in cuts):
             cuts = _pass(spark, held, cuts, sized, tolerance)
         held, parts = _split(spark, held, cuts, parts)
+        held = stored(held)
     first = spark.createDataFrame([(k, a) for k, (a, _) in parts.items()], "__leaf int, shard int")
     joined = held.join(F.broadcast(first), held["__node"] == first["__leaf"])
     return joined.select(*[held[c] for c in rows.columns], "shard")
@@ -105,8 +112,9 @@ def _keyed(held: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def _pass(spark, held: DataFrame, cuts: list[Cut], sized: dict[int, int], tolerance: float) -> list[Cut]:
     """Narrow every open search to one bucket of its range."""
-    todo = [c for c in cuts if not c.done]
-    buckets = max(16, BUCKETS * 64 // max(64, len(todo)))
+    todo = [c for c in cuts if not c.done][:OPEN]
+    looked_at = {c.node for c in todo}
+    buckets = BUCKETS * 64 // max(64, len(todo))
     rows = _keyed(held, _cut_frame(spark, todo))
     value = F.when(F.col("level") == 0, F.col("__key")).otherwise(F.col("__second"))
     rows = rows.filter((F.col("level") == 0) | (F.col("__key") == F.col("at"))).withColumn("__v", value)
@@ -119,7 +127,7 @@ def _pass(spark, held: DataFrame, cuts: list[Cut], sized: dict[int, int], tolera
         by_node.setdefault(r["__node"], []).append((r.a, r.b, r.w))
     out = []
     for c in cuts:
-        if c.done:
+        if c.done or c.node not in looked_at:
             out.append(c)
             continue
         before = c.before
@@ -164,16 +172,28 @@ def _split(spark, held: DataFrame, cuts: list[Cut], parts: dict[int, tuple[int,
 def document_shards(docs: DataFrame, leaves: int | None = None, target: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every document; `size`: UTF-8 bytes of the text, plus 1.
 
-    Dimensions: logarithm of the size, language, source and id. Documents of equal text lie next to each other. A null
-    text has size 1 and the checksum of an empty one; null ids are kept and ordered first.
+    What is cut are classes of equal texts, each at the smallest id, language and source that it has, so that they stay
+    whole; but a class of more than LARGE_CLASS of a shard is dealt by a hash of the id into parts of LARGE_PART of one.
+    Dimensions: logarithm of the size, language, source and id. A null text has size 1 and the checksum of an empty one;
+    null ids are kept and ordered first.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select(
+    sized = stored(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.col("lang").alias("lang"), F.col("source").alias("source"))
-    dims = {
-        "size": F.log2(F.col("size")), "lang": text_order(F.col("lang")), "source": text_order(F.col("source")), "id": F.col("doc_id"),
-    }
-    cut = kd_shards(sized, dims, F.col("size"), F.col("text_crc32"), F.struct("doc_id", "text_crc32", "size"), leaves, target)
-    cut = cut.select("doc_id", "size", "text_crc32", "shard").withColumn("shuffled", F.xxhash64("text_crc32", "doc_id"))
-    return with_slots(cut, "shard", ["shuffled", "doc_id"], "slot").drop("shuffled")
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash"), F.col("lang").alias("lang"), F.col("source").alias("source")))
+    equal = ["hash", "text_crc32", "size"]
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    shard = total / leaves if leaves else target
+    large = sized.groupBy(*equal).agg(F.sum("size").alias("w")).filter(F.col("w") > LARGE_CLASS * shard)
+    large = large.select(*equal, F.ceil(F.col("w") / (LARGE_PART * shard)).alias("parts"))
+    # There are fewer than ten per shard.
+    dealt = sized.join(F.broadcast(large), equal, "left").withColumn(
+        "part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(6)), "parts"), F.lit(0)).cast("int"))
+    dealt = stored(dealt.select("doc_id", *equal, "lang", "source", "part"))
+    classes = dealt.groupBy(*equal, "part").agg(
+        F.sum("size").alias("w"), F.min("doc_id").alias("first"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    dims = {"size": F.log2(F.col("size")), "lang": text_order(F.col("lang")), "source": text_order(F.col("source")), "id": F.col("first")}
+    cut = kd_shards(classes, dims, F.col("w"), F.struct("hash", "text_crc32"), F.struct(*equal, "part"), leaves, target)
+    placed = dealt.select("doc_id", *equal, "part").join(cut.select(*equal, "part", "shard"), [*equal, "part"])
+    placed = placed.select("doc_id", "size", "text_crc32", "shard").withColumn("shuffled", F.xxhash64("text_crc32", "doc_id"))
+    return with_slots(placed, "shard", ["shuffled", "doc_id"], "slot").drop("shuffled")
