@@ -29,12 +29,29 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
+    """Six held-out rows are toxic here, of which two have nothing that fitted ones have; a network that says no to all fails."""
     rows = held_out_rows(spark, "op4_recurrent_toxicity", "toxic")
-    right = sum(r.predicted == y for r, y in rows)
-    assert right >= 0.9 * len(rows)
+    found, toxic, wrong = sum(r.predicted and y for r, y in rows), sum(y for _, y in rows), sum(r.predicted and not y for r, y in rows)
+    assert found >= 0.6 * toxic and wrong <= 0.05 * (len(rows) - toxic)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r, _ in rows)
 
 
+def test_toxicity_of_a_larger_sample(spark):
+    """Held-out recall and precision on sf0.1, fitted on the driver as the query does."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect() if r.doc_id in labels]
+    kept = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 and len(r.text) <= toxicity.FIT_CHARACTERS]
+    rng = np.random.default_rng(0)
+    clean = [r for r in kept if not labels[r.doc_id]]
+    some = sorted([r for r in kept if labels[r.doc_id]] + [clean[i] for i in rng.permutation(len(clean))[:1200]])
+    network = toxicity.fit([r.text for r in some], np.array([labels[r.doc_id] for r in some], np.float32))
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    said = toxicity.document_scores(toxicity.Vocabulary(network), [r.text for r in held]) >= 0.5
+    toxic = np.array([labels[r.doc_id] == 1 for r in held])
+    assert (said & toxic).sum() >= 0.85 * toxic.sum() and (said & toxic).sum() >= 0.8 * said.sum()
+
+
 ODD = [(1, None, "x", 1.0), (2, "", None, 2.0), (3, " \n\t", "", None), (None, "words here", "y", 0.0), (4, "w " * 20000, "z", 1.0), (4, "w " * 20000, "z", 1.0)]
 
 
@@ -61,7 +78,10 @@ def test_tables_learn_what_one_and_two_features_say():
 def test_gradients_of_the_network():
     net = toxicity.Network()
     net.dense = {k: v.astype(float) for k, v in net.dense.items()}
-    net.words, net.characters = net.words.astype(float), net.characters.astype(float)
+    draw = np.random.default_rng(0)  # vectors begin as zero, which would hide their gradients
+    net.words = draw.normal(0, 0.1, net.words.shape)
+    net.characters = draw.normal(0, 0.1, net.characters.shape)
+    net.characters[-1] = 0
     own, rows, size = toxicity.inputs(["idiot", "clown", "the", "of", "x"])
     index = np.array([[1, 2, 3, 0, 0], [4, 5, 1, 1, 2], [3, 3, 0, 0, 0]])
     args = (own, rows, size, index, np.array([1.0, 0, 1]), np.ones(3))
@@ -96,11 +116,21 @@ def test_cache_of_words_may_be_emptied_at_any_time(monkeypatch):
     texts = [" ".join(f"w{i * j % 97}" for j in range(150)) for i in range(30)]
     whole = toxicity.document_scores(toxicity.Vocabulary(net), texts)
     monkeypatch.setattr(toxicity, "CACHED_WORDS", 10)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 64)
     small = toxicity.Vocabulary(net)
     parts = np.concatenate([toxicity.document_scores(small, texts[i : i + 3]) for i in range(0, 30, 3)])
     assert np.allclose(whole, parts, atol=1e-6)
 
 
+def test_rare_words_learn_nothing():
+    texts = [f"common rare{i} word" for i in range(40)]
+    net = toxicity.fit(texts, np.array([1.0, 0.0] * 20, np.float32), epochs=1)
+    own = toxicity.inputs(["common", "rare7"])[0]
+    assert net.own_rows[own[0]] and not net.words[own[1]].any()
+    net.words[:], net.characters[:] = 1, 1  # a cache of an odd network must not matter to a new one
+    assert toxicity.Network().words.max() == 0
+
+
 def test_other_columns_are_passed_on(spark, frame):
     docs = frame(ODD, "doc_id long, text string, score string, extra double")
     out = toxicity.score_toxicity(docs, None, toxicity.Network())
