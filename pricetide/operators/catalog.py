@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
 from pricetide.operators import history as hist
+from pricetide.operators.ranges import Ranges
 from pricetide.operators.snapshots import ROW_FIELDS, latest
 
 SCORE_FIELDS = ("dealScore", "predictedPrice", "trendDirection")
@@ -31,16 +32,19 @@ def deals(scores: DataFrame) -> DataFrame:
     return score_columns(scores).filter(F.col("dealScore") >= fixed.DEAL_SCORE_THRESHOLD)
 
 
+_PRICE = ("price.amount", False)
+# Columns of each order, and whether they go down.
+SORT_COLUMNS = {
+    "deals": [("isDeal", True), ("sortScore", True), _PRICE],
+    "price_asc": [_PRICE],
+    "price_desc": [("price.amount", True)],
+    "discount": [("discountRatio", True)],
+}
+
+
 def sort_order(sort: str, backwards: bool = False) -> list[Column]:
     """K1: four total orders; each ends on the url."""
-    price = ("price.amount", False)
-    descending = {
-        "deals": [("isDeal", True), ("sortScore", True), price],
-        "price_asc": [price],
-        "price_desc": [("price.amount", True)],
-        "discount": [("discountRatio", True)],
-    }
-    columns = [*descending[sort], ("url", False)]
+    columns = [*SORT_COLUMNS[sort], ("url", False)]
     return [F.desc(name) if down != backwards else F.asc(name) for name, down in columns]
 
 
@@ -77,6 +81,22 @@ def page_rows(products: DataFrame, sort: str, page: int, total: int | None = Non
     return found.orderBy(*sort_order(sort)) if behind < skip else found
 
 
+def page_by_ranges(products: DataFrame, sort: str, page: int, key: tuple[str, ...] = ("url",)) -> DataFrame:
+    """K2: one page in the given order, wherever it lies: a page in the middle costs what the first one does.
+
+    Only keys and sort columns are cut into ranges and written; the counts of the ranges say which of them has the page, and
+    its rows' keys are read from there. `key` names what makes a product one row; it is where the order ends. Nothing is
+    lazy here but the page itself.
+    """
+    names = SORT_COLUMNS[sort]
+    narrow = products.select(*key, *[F.col(name).alias(f"sort_{i}") for i, (name, _) in enumerate(names)])
+    order = [F.desc(f"sort_{i}") if down else F.asc(f"sort_{i}") for i, (_, down) in enumerate(names)]
+    found = Ranges(narrow, [*order, "url", *[k for k in key if k != "url"]]).stretch((page - 1) * fixed.PAGE_SIZE, fixed.PAGE_SIZE)
+    # No more rows than a page has.
+    page_keys = F.broadcast(found.select(*key))
+    return products.join(page_keys, list(key), "left_semi").orderBy(*sort_order(sort), *[k for k in key if k != "url"])
+
+
 def page_count(total: Column) -> Column:
     return F.ceil(total / fixed.PAGE_SIZE)
 

@@ -1,6 +1,6 @@
 """Counts and lists over keywords, tracked urls and favourites."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide import fixed
@@ -38,7 +38,22 @@ def keyword_summaries(items: DataFrame, keywords: DataFrame) -> DataFrame:
         "keyword",
         F.coalesce("productCount", F.lit(0)).alias("productCount"),
         dates.iso(F.col("lastScrape")).alias("lastScrape"),
-    ).orderBy(F.collate("keyword", "fr"))
+    ).orderBy(*keyword_order())
+
+
+def keyword_order() -> list[Column]:
+    """K5: as French readers sort."""
+    return [F.collate("keyword", "fr")]
+
+
+def tracked_order() -> list[Column]:
+    """K6: by title, or url where there is none."""
+    return [F.collate(F.coalesce("title", "url"), "fr"), F.col("url")]
+
+
+def deal_order() -> list[Column]:
+    """K7: best first, then by url."""
+    return [F.desc("dealScore"), F.col("url")]
 
 
 def keyword_totals(scored: DataFrame, *keys: str) -> DataFrame:
@@ -60,7 +75,7 @@ def _deals_now(items: DataFrame, scores: DataFrame) -> DataFrame:
 
 def current_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
     """The deals, best first, then by url."""
-    return _deals_now(items, scores).orderBy(F.desc("dealScore"), "url")
+    return _deals_now(items, scores).orderBy(*deal_order())
 
 
 def keyword_deals(items: DataFrame, scores: DataFrame) -> DataFrame:
@@ -123,7 +138,7 @@ def tracked_url_summaries(items: DataFrame, tracked: DataFrame) -> DataFrame:
         arrays.first_or_null(F.col("images")).alias("image"),
         money.complete_money(F.col("price")).alias("price"),
         dates.iso(F.col("scrapedAt")).alias("lastScrape"),
-    ).orderBy(F.collate(F.coalesce("title", "url"), "fr"), "url")
+    ).orderBy(*tracked_order())
 
 
 def matching_keywords(summaries: DataFrame, typed: str) -> DataFrame:

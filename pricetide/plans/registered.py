@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
 from pricetide.operators import catalog, extract, frontier, history, price_stats, scoring, snapshots, summaries, tracking
+from pricetide.operators.ranges import Ranges
 from pricetide.plans import commands, crawl, incremental, nightly, search, search_index
 from pricetide.plans.sql_views import ISO, OFFSET, VIEWS, millionths, outcomes_sql, state_sql
 from pricetide.session import shared_folder
@@ -741,9 +742,8 @@ def _(v):
 def _(v):
     """A page in the middle of all products under all keywords, with the place of each row."""
     scored = scored_by_keyword(v)
-    total = scored.count()
-    page = total // 48 + 1
-    rows = catalog.page_rows(scored, "price_desc", page, total)
+    page = scored.count() // 48 + 1
+    rows = catalog.page_by_ranges(scored, "price_desc", page, ("url", "keyword"))
     place = F.row_number().over(Window.orderBy(*catalog.sort_order("price_desc"))) + 24 * (page - 1)  # of one page's rows
     return rows.select(place.cast("long").alias("rn"), "url", F.col("price.amount").alias("price"))
 
@@ -758,6 +758,27 @@ def _(v):
     return result.items.select("url", F.col("price.amount").alias("price"))
 
 
+def positions(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with the place they have in the whole order."""
+    return Ranges(rows, order).numbered("position")
+
+
+@query("k5_keyword_positions", f"SELECT *, row_number() OVER (ORDER BY keyword COLLATE fr) AS position FROM ({KEYWORD_SUMMARIES_SQL})")
+def _(v):
+    return positions(summaries.keyword_summaries(v.items(), v.keywords()).select(*summary_columns()), summaries.keyword_order())
+
+
+@query("k6_tracked_positions", f"SELECT *, row_number() OVER (ORDER BY coalesce(title, url) COLLATE fr, url) AS position FROM ({TRACKED_SQL})")
+def _(v):
+    return positions(summaries.tracked_url_summaries(v.items(), v.tracked_urls()).select(*tracked_columns()), summaries.tracked_order())
+
+
+@query("k7_deal_positions", f"SELECT url, score, row_number() OVER (ORDER BY score DESC, url) AS position FROM ({DEAL_SQL})")
+def _(v):
+    found = summaries.current_deals(v.items(), v.scores()).select("url", "dealScore")
+    return positions(found, summaries.deal_order()).withColumnRenamed("dealScore", "score")
+
+
 KNOWN_SQL = """SELECT * FROM (SELECT keyword, url, last_seen, row_number() OVER (PARTITION BY keyword ORDER BY last_seen, url) AS rank
   FROM histories WHERE keyword IS NOT NULL) WHERE rank <= 150"""
 
