@@ -24,8 +24,9 @@ KEY = re.compile("[A-Za-z0-9+/_=-]{20,}")
 
 # A token outside the base patterns is a candidate if it mixes letters and digits and its characters vary enough.
 LEAST_ENTROPY = 3.5
-# From so many owners on, a value is taken for a widely copied example.
-MANY_OWNERS = 3
+# From so many owners on a value is taken for a widely copied example; between two owners, and this number, from so many
+# repositories on. One owner may have it in any number of repositories.
+MANY_OWNERS, MANY_REPOSITORIES = 3, 6
 
 # Values leave a task as digests only.
 FOUND = "array<struct<kind:int,start:int,end:int,digest:string>>"
@@ -85,16 +86,19 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("digest").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def find_secrets(docs: DataFrame, owner: Column, repository: Column, many_owners: int = MANY_OWNERS) -> DataFrame:
+def find_secrets(
+    docs: DataFrame, owner: Column, repository: Column, many_owners: int = MANY_OWNERS, many_repositories: int = MANY_REPOSITORIES
+) -> DataFrame:
     """One row per row of `docs`: doc_id, base and all spans, and what the ownership of its values says.
 
-    Base spans are always reported. A key-like token is reported only if its value belongs to fewer than `many_owners`
-    owners. `n_live` and `n_copied` count the candidates of either sort. Repeated rows give repeated results; a null
+    Base spans are always reported. A key-like token is reported only if its value is not widely copied: `many_owners`
+    owners have it, or two or more have it in `many_repositories` repositories. `n_live` and `n_copied` count the candidates of either sort. Repeated rows give repeated results; a null
     text or a text without candidates gives empty lists.
     """
     held = stored(scan(docs, owner, repository).withColumn("row", F.monotonically_increasing_id()))
     one = held.select("row", F.explode("found").alias("c")).select("row", "c.*")
-    copied = ownership(held).filter(F.col("n_owners") >= many_owners).select("digest", "n_owners")
+    wide = (F.col("n_owners") >= many_owners) | ((F.col("n_owners") >= 2) & (F.col("n_repositories") >= many_repositories))
+    copied = ownership(held).filter(wide).select("digest", "n_owners")
     marked = one.join(copied, "digest", "left").select(
         "row", F.struct("start", "kind", "end", F.coalesce("n_owners", F.lit(0)).alias("n_owners")).alias("c"))
     spans = marked.groupBy("row").agg(F.sort_array(F.collect_list("c")).alias("spans"))

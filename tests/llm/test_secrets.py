@@ -44,6 +44,20 @@ def test_ownership(spark, frame):
     assert not by[30][0].every and not by[31][0].every and by[None][0].base[0].kind == 1
 
 
+def test_repositories_and_owners_decide_together(frame):
+    """Many repositories of one owner keep a value live, and so do two owners with one each; six between two do not."""
+    values = {"mirrored": "Aa11Bb22Cc33Dd44Ee55", "shared": "Ff66Gg77Hh88Ii99Jj00", "copied": "Kk12Ll34Mm56Nn78Oo90", "famous": "Pp09Qq87Rr65Ss43Tt21"}
+    held = {
+        "mirrored": [("a", f"r{i}") for i in range(20)], "shared": [("a", "r1"), ("b", "r1")],
+        "copied": [("a", f"r{i}") for i in range(5)] + [("b", "r9")], "famous": [("a", "r1"), ("b", "r1"), ("c", "r1")]}
+    rows = [(i, f"key {values[name]} end", repository, owner, name, 0) for name in held for i, (owner, repository) in enumerate(held[name])]
+    docs = frame(rows, SCHEMA)
+    out = secrets.find_secrets(docs.withColumn("doc_id", F.hash("found").cast("long")), F.col("source"), F.concat_ws("/", "source", "lang"))
+    names = {r.id: r.found for r in docs.select(F.hash("found").cast("long").alias("id"), "found").distinct().collect()}
+    live = {(names[r.doc_id], r.n_live) for r in out.collect()}
+    assert live == {("mirrored", 1), ("shared", 1), ("copied", 0), ("famous", 0)}
+
+
 def test_query_digest(spark, frame, tmp_path):
     from pricetide.llm.queries import QUERIES
 
