@@ -84,3 +84,6 @@ ERROR_CLASSES = {
     "PRODUCT_NOT_FOUND": "not_found",
 }
 STATUS_BY_CLASS = {"invalid": 400, "not_found": 404, "conflict": 409}
+
+# Logarithm of the size of stored sketches.
+SKETCH_BITS = 12

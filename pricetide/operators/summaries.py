@@ -31,6 +31,21 @@ def keyword_stats(items: DataFrame) -> DataFrame:
     )
 
 
+def daily_sketches(items: DataFrame, bits: int = fixed.SKETCH_BITS) -> DataFrame:
+    """A4 in parts: a HyperLogLog sketch of the priced products of each (day, keyword); one row of bounded size each."""
+    return observed_for_keyword(items).groupBy("day", "keyword").agg(
+        F.hll_sketch_agg("url", F.lit(bits)).alias("products"), F.max("scrapedAt").alias("lastScrape")
+    )
+
+
+def approximate_keyword_stats(sketches: DataFrame) -> DataFrame:
+    """A4, A5 from the sketches of any set of days: `keyword_stats` but for an error of the counts, of about one in sixty
+    with the usual number of bits. Filter the days first to count over a time."""
+    return sketches.groupBy("keyword").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("products")).alias("productCount"), F.max("lastScrape").alias("lastScrape")
+    )
+
+
 def keyword_summaries(items: DataFrame, keywords: DataFrame) -> DataFrame:
     """Enabled keywords with their counts, and all others that have products."""
     merged = enabled(keywords).select("keyword").join(keyword_stats(items), "keyword", "full")

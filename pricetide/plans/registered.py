@@ -10,7 +10,7 @@ from pricetide import fixed
 from pricetide.functions import arrays, dates, ids, money, text
 from pricetide.operators import catalog, extract, frontier, history, price_stats, scoring, snapshots, summaries, tracking
 from pricetide.operators.ranges import Ranges
-from pricetide.plans import commands, crawl, incremental, nightly, search, search_index
+from pricetide.plans import commands, crawl, incremental, nightly, search, search_index, sketches
 from pricetide.plans.sql_views import ISO, OFFSET, VIEWS, millionths, outcomes_sql, state_sql
 from pricetide.session import shared_folder
 from pricetide.sources.sample_views import SampleViews, product_url, visits
@@ -1200,6 +1200,17 @@ def _(v):
     return price_stats.scores_of_stats(incremental.stats_buckets(tables).read(), v.as_of()).select(*score_columns())
 
 
+@query("a4_sketched_products", f"SELECT keyword, product_count AS products, true AS near, strftime(last_scrape, {ISO}) AS last_scrape FROM keyword_stats")
+def _(v):
+    """Products of each keyword from daily sketches of three saves, next to the exact count: no more than one in twenty off."""
+    tables = fresh_tables(v)
+    in_three_nights(v, tables, lambda _: sketches.update_sketches(tables, buckets=8))
+    about = summaries.approximate_keyword_stats(sketches.sketched_days(tables)).select("keyword", F.col("productCount").alias("about"), "lastScrape")
+    exact = summaries.keyword_stats(v.items()).select("keyword", F.col("productCount").alias("products"))
+    near = F.abs(F.col("about") - F.col("products")) * 20 <= F.col("products")
+    return exact.join(about, "keyword", "full").select("keyword", "products", near.alias("near"), as_iso("lastScrape").alias("last_scrape"))
+
+
 DEAD_SQL = "(SELECT url FROM fetch_log GROUP BY url HAVING max(seq) = max(seq) FILTER (final_url = 'https://www.amazon.fr/'))"
 
 

@@ -56,6 +56,16 @@ PRICE_STATS = T.StructType(
 KEYWORD_PRODUCTS = T.StructType([*SNAPSHOT_FIELDS, T.StructField("day", T.DateType())])
 TITLE_GRAMS = T.StructType([T.StructField(name, T.StringType()) for name in ("keyword", "gram", "url")])
 
+# Which products a keyword had on a day, as a sketch.
+KEYWORD_SKETCHES = T.StructType(
+    [
+        T.StructField("day", T.DateType()),
+        T.StructField("keyword", T.StringType()),
+        T.StructField("products", T.BinaryType()),
+        T.StructField("lastScrape", T.TimestampType()),
+    ]
+)
+
 DELETED = T.StructType([T.StructField("url", T.StringType())])
 
 HISTORY_ENTRY = T.StructType(

@@ -12,7 +12,8 @@ from pricetide import schema
 from pricetide.operators.history import price_history
 from pricetide.operators.price_stats import price_stats, scores_of_stats
 from pricetide.operators.scoring import deal_scores_of_histories
-from pricetide.plans import incremental, nightly, search, search_index
+from pricetide.operators import summaries
+from pricetide.plans import incremental, nightly, search, search_index, sketches
 from pricetide.sources.buckets import Buckets
 from pricetide.sources.tables import Tables
 from test_history import visit
@@ -190,6 +191,31 @@ def test_statistics_take_a_batch_in_once(tables, monkeypatch):
     assert incremental.stats_buckets(tables).read().first().n == 9
 
 
+def test_sketches_follow_changed_days(tables):
+    """Few products are counted exactly, also after days lost a product to another keyword."""
+    rng = random.Random(9)
+    for night in range(3):
+        save(tables, draw(rng, 50, (0, 5), 100 * night), f"b{night}")
+        sketches.update_sketches(tables, buckets=4)
+        for first, last in ((None, None), (dt.date(2024, 6, 2), dt.date(2024, 6, 3)), (dt.date(2025, 1, 1), None)):
+            items = tables.items()
+            if first:
+                items = items.filter((F.col("day") >= F.lit(first)) & (F.col("day") <= F.lit(last or dt.date(2030, 1, 1))))
+            about = summaries.approximate_keyword_stats(sketches.sketched_days(tables, first, last))
+            assert shown(about) == shown(summaries.keyword_stats(items))
+    before = files(tables, "keyword_sketches")
+    sketches.update_sketches(tables)
+    assert files(tables, "keyword_sketches") == before
+
+
+def test_sketches_of_many_products(spark):
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("u"), F.col("id") % 40_000).alias("url"), F.lit("t").alias("title"), F.struct(F.lit(1.0).alias("amount"), F.lit("EUR").alias("currency")).alias("price"),
+        F.lit("k").alias("keyword"), F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 20).cast("int")).alias("day"), F.current_timestamp().alias("scrapedAt"))
+    about = summaries.approximate_keyword_stats(summaries.daily_sketches(rows)).first().productCount
+    assert abs(about - 40_000) <= 0.05 * 40_000
+
+
 def test_emptied_buckets(tables):
     save(tables, [seen("only", 0)], "1")
     incremental.refine_new(tables, F.lit(NOW), buckets=2)
