@@ -176,7 +176,7 @@ def test_only_the_days_of_the_batch_are_read(spark, tables, capsys, monkeypatch)
     tables.save_snapshots(log_of(spark, visits(spark, "a", range(12))), "1")
     plans = []
     replace = Tables._replace_days
-    monkeypatch.setattr(Tables, "_replace_days", lambda self, rows, batch: (plans.append(rows), replace(self, rows, batch)))
+    monkeypatch.setattr(Tables, "_replace_days", lambda self, rows, batch, old: (plans.append(rows), replace(self, rows, batch, old)))
     tables.save_snapshots(log_of(spark, visits(spark, "b", [2, 4])), "2")
     text = plans[0]._jdf.queryExecution().executedPlan().toString()
     filters = [line for line in text.splitlines() if "PartitionFilters" in line]
