@@ -1,5 +1,6 @@
 """Q8: tracking commands applied to the stored tables."""
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pricetide.sources.tables import Tables
 
 
 class Outcomes(NamedTuple):
-    """What became of each command, judged against the tables as they were before; evaluate before three more writes."""
+    """What became of each command, judged against the tables as they were before. Written down before these change."""
 
     keywords: DataFrame | None
     urls: DataFrame | None
@@ -29,16 +30,20 @@ def apply_commands(
     Adding a favourite tracks its url as well, at its own place among the url commands by (ts, seq). Only tables that
     commands go to are written, each as a new version; applying the same commands again leaves the tables as they are.
     """
-    judged = {}
+    run, judged = uuid.uuid4().hex, {}
+
+    def judge(name: str, outcomes: DataFrame) -> None:
+        judged[name] = tables.stage(f"outcomes-{name}-{run}", lambda: outcomes)
+
     if keywords is not None:
         commands, state = tracking.keyword_commands(keywords), _keyed(tables.read("keywords"), "keyword")
-        judged["keywords"] = tracking.tracking_outcomes(commands, state, tracking.KEYWORD_CODES)
+        judge("keywords", tracking.tracking_outcomes(commands, state, tracking.KEYWORD_CODES))
         tables.replace("keywords", _keyed_back(tracking.tracking_state(commands, state), "keyword"))
 
     added = None
     if favorites is not None:
         commands, state = tracking.favorite_commands(favorites), _keyed(tables.read("favorites"), "url")
-        judged["favorites"] = tracking.favorite_outcomes(commands, state)
+        judge("favorites", tracking.favorite_outcomes(commands, state))
         tables.replace("favorites", _keyed_back(tracking.favorite_state(commands, state), "url"))
         added = tracking.tracking_from_favorites(commands).withColumn("implied", F.lit(True))
     if urls is not None or added is not None:
@@ -46,7 +51,7 @@ def apply_commands(
         both = added if named is None else named if added is None else named.unionByName(added, allowMissingColumns=True)
         state = _keyed(tables.read("tracked_urls"), "url")
         if named is not None:
-            judged["urls"] = tracking.tracking_outcomes(both, state, tracking.URL_CODES).filter(~F.col("implied")).drop("implied")
+            judge("urls", tracking.tracking_outcomes(both, state, tracking.URL_CODES).filter(~F.col("implied")).drop("implied"))
         tables.replace("tracked_urls", _keyed_back(tracking.tracking_state(both, state), "url"))
     return Outcomes(*(judged.get(name) for name in Outcomes._fields))
 

@@ -40,6 +40,13 @@ def test_keyword_commands_are_written(spark, tables):
     assert [r.outcome for r in again.collect()] == ["reenabled"] and tables.read("keywords").first().enabled
 
 
+def test_outcomes_outlive_later_writes(spark, tables):
+    outcomes = commands.apply_commands(tables, keywords=raw(spark, (1, "savon", "track"))).keywords
+    for n in range(stored_tables.KEPT_VERSIONS + 2):
+        commands.apply_commands(tables, keywords=raw(spark, (2 + n, "savon", "untrack" if n % 2 == 0 else "track")))
+    assert [r.outcome for r in outcomes.collect()] == ["created"]
+
+
 def test_favorites_track_their_urls_in_order(spark, tables):
     one, two = (ident(spark, URL.format(n)) for n in (1, 2))
     urls = raw(spark, (1, URL.format(1), "track"), (3, one, "untrack"), (6, URL.format(2), "track"))
