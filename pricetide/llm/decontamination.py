@@ -115,20 +115,25 @@ class Passages:
         at = np.flatnonzero(self.bits[own >> np.uint32(12)])
         if not len(at):
             return []
-        order = at[np.argsort(own[at], kind="stable")]
-        kinds, first, times = np.unique(own[order], return_index=True, return_counts=True)
+        kinds = np.sort(own[at])
+        kinds = kinds[np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))]
         low = np.searchsorted(self.hashes, kinds, "left")
-        many = np.searchsorted(self.hashes, kinds, "right") - low
-        known = many > 0
-        first, times, low, many = first[known], times[known], low[known], many[known]
+        known = (low < len(self.hashes)) & (self.hashes[np.minimum(low, len(self.hashes) - 1)] == kinds)
+        kinds, low = kinds[known], low[known]
         if not len(low):
             return []
+        many = np.searchsorted(self.hashes, kinds, "right") - low
         # All grams of an item that the text has anywhere; few items have enough of them.
         ends = np.cumsum(many)
         hit = np.repeat(low - (ends - many), many) + np.arange(ends[-1])
         shared = np.bincount(self.item[hit], minlength=len(self.items))
         alive = (shared >= self.least) & (shared > 0)
+        if not alive.any():
+            return []
         keep = alive[self.item[hit]]
+        order = at[np.argsort(own[at], kind="stable")]
+        first = np.searchsorted(own[order], kinds, "left")
+        times = np.searchsorted(own[order], kinds, "right") - first
         hit, kind = hit[keep], np.repeat(np.arange(len(low)), many)[keep]
         by_item = np.argsort(self.item[hit], kind="stable")
         hit, kind = hit[by_item], kind[by_item]
@@ -182,7 +187,10 @@ class Passages:
             e = int(self.edits[i])
             start = max(0, diagonal - e)
             part = codes[start : diagonal + width + len(item) + e]
-            found.setdefault((ident, item.tobytes()), []).extend((c, start + b, start + a) for c, b, a in align(item, part, e, diagonal - start, width))
+            # In a region narrower than the item all occurrences overlap, so one without edits is the best.
+            exact = whole(item, part) if width + 2 * e < len(item) else None
+            hits = [exact] if exact else align(item, part, e, diagonal - start, width)
+            found.setdefault((ident, item.tobytes()), []).extend((c, start + b, start + a) for c, b, a in hits)
         if self.automaton is not None:
             for end, where in self.automaton.iter(characters(codes)):
                 for k, a, b in where:
@@ -224,6 +232,16 @@ def characters(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def whole(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int] | None:
+    """(0, end, start) of the first occurrence of `item` in `part` without edits."""
+    data, wanted, at = part.tobytes(), item.tobytes(), 0
+    while (at := data.find(wanted, at)) >= 0:
+        if at % 4 == 0:
+            return 0, at // 4 + len(item), at // 4
+        at += 1
+    return None
+
+
 def align(item: np.ndarray, part: np.ndarray, e: int, low: int, width: int) -> list[tuple[int, int, int]]:
     """(edits, end, start) of the occurrences of `item` in `part` with e edits at most, one for each end, on the diagonals
     from low - e to low + width + e. One row of the band per character of the item."""
@@ -240,8 +258,8 @@ def align(item: np.ndarray, part: np.ndarray, e: int, low: int, width: int) -> l
     for i in range(1, m + 1):
         j = columns + i  # characters of the part used, per lane
         valid = (j >= 0) & (j <= n)
-        same = np.where((j >= 1) & (j <= n), padded[np.clip(j - 1, 0, n)] != item[i - 1], True)
-        straight = np.where((j >= 1) & (j <= n), cost + same, far)
+        used = valid & (j >= 1)
+        straight = np.where(used, cost + (padded[np.where(used, j - 1, 0)] != item[i - 1]), far)
         down = np.concatenate([cost[1:], [far]]) + 1  # a character of the item left out
         down_begin = np.concatenate([begin[1:], [0]])
         take = down < straight
