@@ -63,7 +63,11 @@ _URL_PARTS = r"(?s)\A([^?#]*?:[/\\]*[^/\\?#]*)([^?#]*)(.*)\z"
 
 
 def _resolved(url: Column) -> Column:
-    """The url with its path's dot segments resolved; urls without any are left as they are."""
+    """The url with its path's dot segments resolved; urls without any are left as they are. Names its input once."""
+    return F.get(F.transform(F.array(url), _without_dots), F.lit(0))
+
+
+def _without_dots(url: Column) -> Column:
     dots = F.rlike(url, F.lit(rf"[/\\]{_DOT}{{1,2}}(?:[/\\?#]|\z)"))
     head, path, rest = (F.regexp_extract(url, _URL_PARTS, k) for k in (1, 2, 3))
     kept = F.aggregate(

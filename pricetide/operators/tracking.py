@@ -18,19 +18,26 @@ def keyword_commands(raw: DataFrame) -> DataFrame:
     return raw.withColumn("key", text.keyword_name(F.col("raw_key")))
 
 
+def _worked_out(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once a row, for all steps that use them.
+
+    Spark copies the expression behind a column into filters and keys, but not through a generator; this one makes one
+    row of each.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(value.alias(name) for name, value in columns.items())))))
+
+
 def url_commands(raw: DataFrame) -> DataFrame:
     """Track names a url, untrack an id; the key is the canonical url either way."""
     untrack = F.col("action") == "untrack"
-    decoded = raw.withColumn("url", F.when(untrack, ids.url_of_product_id(F.col("raw_key"))).otherwise(F.col("raw_key")))
-    return decoded.withColumns(
-        {"key": ids.canonical_product_url(F.col("url")), "bad_id": untrack & F.col("url").isNull()}
-    ).drop("url")
+    decoded = _worked_out(raw, url=F.when(untrack, ids.url_of_product_id(F.col("raw_key"))).otherwise(F.col("raw_key")))
+    return _worked_out(decoded, key=ids.canonical_product_url(F.col("url")), bad_id=untrack & F.col("url").isNull()).drop("url")
 
 
 def favorite_commands(raw: DataFrame) -> DataFrame:
     """Both name an id. The key is the url as it stands in the id; adding also needs it to be a product url."""
-    decoded = raw.withColumn("url", ids.url_of_product_id(F.col("raw_key")))
-    named = decoded.withColumn("canonical", ids.canonical_product_url(F.col("url")))
+    decoded = _worked_out(raw, url=ids.url_of_product_id(F.col("raw_key")))
+    named = _worked_out(decoded, canonical=ids.canonical_product_url(F.col("url")))
     accepted = F.when((F.col("action") == "remove") | F.col("canonical").isNotNull(), F.col("url"))
     return named.withColumns({"key": accepted, "bad_id": F.col("url").isNull()}).drop("url")
 

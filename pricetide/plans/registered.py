@@ -1042,6 +1042,11 @@ CODE_SQL = """CASE outcome WHEN 'invalid' THEN '{invalid}' WHEN 'conflict' THEN
   CASE outcome WHEN 'invalid' THEN 400 WHEN 'conflict' THEN 409 WHEN 'not_found' THEN 404 END::DOUBLE AS status"""
 
 
+def decoded(v: SampleViews, commands: DataFrame) -> DataFrame:
+    """Commands with their keys, written once for all the steps of a fold that read them."""
+    return fresh_tables(v).stage("commands", lambda: commands)
+
+
 def outcome_columns():
     return ["seq", "key", "action", "outcome", "error_code", F.col("status").cast("double").alias("status")]
 
@@ -1051,7 +1056,7 @@ def outcome_columns():
     f"""SELECT seq, key, action, outcome, {CODE_SQL.format(**tracking.KEYWORD_CODES)} FROM ({outcomes_sql("keyword_commands", "keywords", "keyword")})""",
 )
 def _(v):
-    commands = tracking.keyword_commands(v.keyword_commands())
+    commands = decoded(v, tracking.keyword_commands(v.keyword_commands()))
     return tracking.tracking_outcomes(commands, keyed(v.keywords(), "keyword"), tracking.KEYWORD_CODES).select(*outcome_columns())
 
 
@@ -1066,7 +1071,7 @@ def _(v):
         FROM (SELECT *, {CODE_SQL.format(**tracking.URL_CODES)} FROM ({outcomes_sql("url_commands", "tracked_urls", "url")}))""",
 )
 def _(v):
-    commands = tracking.url_commands(v.url_commands())
+    commands = decoded(v, tracking.url_commands(v.url_commands()))
     return tracking.tracking_outcomes(commands, keyed(v.tracked_urls(), "url"), tracking.URL_CODES).select(*outcome_columns())
 
 
@@ -1087,7 +1092,7 @@ FAVORITE_OUTCOMES_SQL = """SELECT seq, ts, key, action, k,
                CASE WHEN outcome = 'invalid' THEN 400 END::DOUBLE AS status FROM ({FAVORITE_OUTCOMES_SQL})""",
 )
 def _(v):
-    commands = tracking.favorite_commands(v.favorite_commands())
+    commands = decoded(v, tracking.favorite_commands(v.favorite_commands()))
     return tracking.favorite_outcomes(commands, keyed(v.favorites(), "url")).select(*outcome_columns())
 
 
@@ -1100,7 +1105,7 @@ def _(v):
         WHERE coalesce(last = 'add', TRUE)""",
 )
 def _(v):
-    commands, state = tracking.favorite_commands(v.favorite_commands()), keyed(v.favorites(), "url")
+    commands, state = decoded(v, tracking.favorite_commands(v.favorite_commands())), keyed(v.favorites(), "url")
     after = tracking.favorite_state(commands, state)
     return after.select("key", as_iso("addedAt").alias("added_at"))
 

@@ -112,3 +112,12 @@ def test_a_crowded_hour_is_ordered_in_parts(spark):
     judged = tracking.tracking_outcomes(named, stored, tracking.KEYWORD_CODES, 1000)
     counts = {row.outcome: row["count"] for row in judged.groupBy("outcome").count().collect()}
     assert counts == {"created": 2001, "conflict": 17_999}
+
+
+def test_keys_are_worked_out_once(spark):
+    """However many filters and keys use a command's key, a plan names the pattern of a product page once per scan."""
+    raw = spark.createDataFrame([(None, "add", START, 1)], RAW)
+    for decode, folded in ((tracking.url_commands, tracking.tracking_state), (tracking.favorite_commands, tracking.tracking_state)):
+        state = spark.createDataFrame([], "key string, enabled boolean")
+        plan = folded(decode(raw), state)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("[A-Z0-9]{10}") == 1
