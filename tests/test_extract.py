@@ -89,3 +89,24 @@ def test_search_pages_are_read_once(spark):
     frame = spark.createDataFrame([("<a>", "k", 1)], "html string, keyword string, page int")
     plan = extract.search_links(frame)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_few_pages_are_held_at_a_time():
+    """A batch of any number of pages leaves as small ones, none of which waits for the others."""
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    taken = []
+    pages = SimpleNamespace(
+        columns=["url", "html"], schema=T.StructType([T.StructField("url", T.StringType()), T.StructField("html", T.StringType())]),
+        mapInPandas=lambda f, _: f, mapInArrow=lambda f, _: f)
+    read = extract._read(pages, lambda html: taken.append(html) or (html.upper(), [html]), "title string, variants array<string>")
+    batch = pa.RecordBatch.from_pydict({"url": [str(i) for i in range(500)], "html": [f"p{i}" for i in range(500)]})
+    out = []
+    for part in read(iter([batch])):
+        out += part.to_pylist()
+        assert len(taken) == len(out)
+        assert part.num_rows <= extract.PAGES_AT_ONCE
+    assert out == [{"url": str(i), "title": f"P{i}", "variants": [f"p{i}"]} for i in range(500)]
