@@ -14,6 +14,9 @@ from pricetide.llm.common import stored
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 STEP = 512
+# Blocks go to their queries by the shelf: at most so many shelves, as long as a shelf stays within so many bytes.
+SHELVES = 256
+SHELF_BYTES = 32 * 2**20
 EXACT = 2.0**52
 
 
@@ -38,10 +41,20 @@ def _matrix(rows, width: int) -> np.ndarray:
     return out
 
 
-def rotation(vectors: DataFrame, width: int, sample: int = 4096) -> np.ndarray:
-    """Right singular vectors of a bounded sample. Any rotation gives exact results; this one gives tight bounds."""
-    rows = [r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()]
-    return np.linalg.svd(_matrix(rows, width), full_matrices=True)[2].T if rows and width else np.eye(max(width, 1))
+def rotation(vectors: DataFrame, width: int, rows: int, sample: int = 4096) -> np.ndarray:
+    """Right singular vectors of about `sample` of the `rows` vectors. Any rotation gives exact results; this one gives
+    tight bounds. One task sums up the products of the sample's components: the driver sees that square matrix alone."""
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for pdf in batches:
+            m = _matrix(list(pdf.v), width)
+            total += m.T @ m
+        yield pd.DataFrame({"gram": [total.tobytes()]})
+
+    picked = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, rows // sample))) == 0).select("v").limit(2 * sample)
+    found = picked.coalesce(1).mapInPandas(gram, "gram binary").first() if width else None
+    return np.linalg.eigh(np.frombuffer(found.gram).reshape(width, width))[1][:, ::-1] if found else np.eye(max(width, 1))
 
 
 def _blocks(ordered: DataFrame, rows: int, width: int) -> DataFrame:
@@ -122,7 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     few = vectors.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
     classes = stored(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")))
     of_queries = stored(queries.groupBy("v").agg(F.min("id").alias("class")))
-    asked = queries.join(of_queries, "v").select("id", "class")
+    # Stored, vectors are many times smaller than in memory: their files say nothing about what a broadcast would take.
+    asked = queries.join(of_queries.hint("merge"), "v").select("id", "class")
     found = _top_classes(classes.select("id", "v"), of_queries.select(F.col("class").alias("id"), "v"), k + 1)
     rows = found.join(classes.select(F.col("id").alias("vec_id"), "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score")
     best = lambda key: Window.partitionBy(key).orderBy(F.desc("score"), "vec_id")
@@ -147,7 +161,7 @@ def _top_classes(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     result = "query_id long, vec_id long, score long"
     if not shape.n:
         return spark.createDataFrame([], result)
-    search = _Search(rotation(vectors, width), k)
+    search = _Search(rotation(vectors, width, shape.n), k)
     parts = -(-shape.n // BLOCK_ROWS)
     ordered = vectors.repartitionByRange(parts, F.col("length").desc(), "id").sortWithinPartitions(F.col("length").desc(), "id")
     blocks = stored(_blocks(ordered.select("id", "v"), BLOCK_ROWS, max(width, 1)))
@@ -194,13 +208,23 @@ def _top_classes(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     first = renamed.withColumn("block", F.lit(0)).join(F.broadcast(blocks.filter("block = 0")), "block")
     seeds = stored(first.mapInPandas(
         seeded, f"q_ids binary, q_components binary, floor binary, last int, hits array<struct<{result.replace(' long', ':bigint')}>>"))
-    later = seeds.filter("last >= 1").select("q_ids", "q_components", "floor", F.explode(F.sequence(F.lit(1), "last")).alias("block"))
-    rest = later.join(blocks, "block").mapInPandas(searched, result)
+    # Queries are copied once per shelf, not per block, and never broadcast: the copies are far more than the stored rows.
+    held = _blocks_of_shelf(len(lengths), width)
+    shelf = lambda block: F.floor((F.col(block) - 1) / held)
+    later = seeds.filter("last >= 1").select(
+        "q_ids", "q_components", "floor", "last", F.explode(F.sequence(F.lit(0).cast("long"), shelf("last"))).alias("shelf"))
+    shelved = blocks.filter("block >= 1").select("block", "ids", "components", shelf("block").alias("shelf"))
+    rest = later.hint("merge").join(shelved, "shelf").filter("block <= last").mapInPandas(searched, result)
     hits = seeds.select(F.explode("hits").alias("h")).select("h.*").unionByName(rest)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
 
 
+def _blocks_of_shelf(blocks: int, width: int) -> int:
+    """How many blocks lie on a shelf: a task holds one shelf while the queries go by."""
+    return max(1, min(-(-blocks // SHELVES), SHELF_BYTES // (8 * BLOCK_ROWS * max(width, 1))))
+
+
 def _numbered(blocks: DataFrame) -> DataFrame:
     """Blocks numbered by descending length; blocks, not vectors, are counted here."""
     order = Window.orderBy(F.desc("longest"), "key")

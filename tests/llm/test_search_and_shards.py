@@ -42,6 +42,22 @@ def test_search_equals_brute_force(frame, monkeypatch):
     assert searched(frame, rows) == brute(rows, 20)
 
 
+def test_driver_sees_no_vectors_and_shelves_hold_all_blocks(spark, frame, monkeypatch):
+    monkeypatch.setattr(inner_products, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(inner_products, "QUERY_ROWS", 8)
+    monkeypatch.setattr(inner_products, "SHELVES", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(c) for c in v], "x") for i, v in enumerate(rng.normal(0, 0.3, (300, 6)).astype(np.float32))]
+    vectors = inner_products.integer_vectors(frame(rows, SCHEMA))
+    taken = []
+    collect = type(vectors).collect
+    monkeypatch.setattr(type(vectors), "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    found = inner_products.top_k(vectors, vectors.filter("id % 20 = 0"), 20)
+    assert taken and max(map(len, taken)) <= -(-300 // 16) + 1
+    monkeypatch.setattr(type(vectors), "collect", collect)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 20)
+
+
 def test_search_with_odd_rows(frame):
     rows = [
         (0, [1.0, 2.0], "a"), (20, None, "b"), (40, [1.0, None], "c"), (60, [float("nan"), 1.0], "d"), (80, [float("inf"), 1.0], "e"),
