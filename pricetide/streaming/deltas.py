@@ -5,6 +5,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,15 +20,37 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 # How long the last visit of a (url, day) is remembered after it was seen.
 REMEMBERED_MS = 48 * 3600 * 1000
 
-# Time in microseconds and number of the last visit, and when it is forgotten, in milliseconds.
-LAST = T.StructType([T.StructField(name, T.LongType()) for name in ("at", "seq", "until")])
+# Parts that the urls of a day are kept in: Python is called once per part and micro-batch, not once per url.
+PARTS = 64
+
+# A table of (url, at, seq, until): time in microseconds and number of the last visit, and when it is forgotten, in milliseconds.
+LAST = T.StructType([T.StructField("table", T.BinaryType()), T.StructField("next", T.LongType())])
+ORDERED = ["at", "seq"]
+
+
+def _packed(known: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    rows = pa.Table.from_pandas(known, preserve_index=False)
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(table: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(table)).read_all().to_pandas()
+
+
+def _last(rows: pd.DataFrame) -> pd.DataFrame:
+    """The row of the last visit of each url. Of equal visits any is as good as the other."""
+    return rows.sort_values(ORDERED, kind="stable").drop_duplicates("url", keep="last")
 
 
 class LastVisit(StatefulProcessor):
-    """Hands on a visit if it is later than all that were seen of its (url, day), at most one per micro-batch.
+    """Hands on the visits that are later than all that were seen of their (url, day), at most one of each per micro-batch.
 
-    The state is the order of the last visit. A timer clears it when the (url, day) had no visit for so long, by the times at
-    which micro-batches came in. After that an old visit may come out once more, which the merge of the days does not mind.
+    The key is a day and a part of its urls. The state is a table with the order of the last visit of each url. A timer
+    drops the urls of a day that had no visit for so long, by the times at which micro-batches came in. After that an old
+    visit may come out once more, which the merge of the days does not mind.
     """
 
     def __init__(self, remembered_ms: int = REMEMBERED_MS):
@@ -35,29 +58,49 @@ class LastVisit(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", LAST)
+        self.last = handle.getValueState("lasts", LAST)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.last.get() if self.last.exists() else None
-        best, visit, until = known and (known[0], known[1]), None, 0
+        stored = self.last.get() if self.last.exists() else None
+        new, until = [], {}
         for batch in rows:
-            # Of equal visits any is as good as the other.
-            top = batch.sort_values(["at", "seq"], kind="stable").iloc[-1]
-            order = (int(top["at"]), int(top["seq"]))
-            if best is None or order > best:
-                best, visit = order, top["visit"]
-            until = max(until, int(batch["arrived_ms"].max()) + self.remembered_ms)
-        if known:
-            self.handle.deleteTimer(known[2])
-        self.handle.registerTimer(until)
-        self.last.update((*best, until))
-        if visit is not None:
-            yield pd.DataFrame({"visit": [visit]})
+            new = [_last(pd.concat([*new, batch[["url", *ORDERED, "visit"]]]))]
+            for url, at in batch.groupby("url")["arrived_ms"].max().items():
+                until[url] = max(until.get(url, 0), int(at) + self.remembered_ms)
+        fresh = new[0]
+        seen = pd.DataFrame({"url": list(until), "until": pd.Series(list(until.values()), dtype="int64")})
+        fresh = fresh.merge(seen, on="url")
+        if stored:
+            known = _unpacked(stored[0])
+            before = fresh[["url"]].merge(known, on="url", how="left")
+            at, seq = fresh["at"].to_numpy(), fresh["seq"].to_numpy()
+            old_at, old_seq = (before[name].astype("Int64") for name in ORDERED)
+            later = (old_at.isna() | (old_at < at) | ((old_at == at) & (old_seq < seq))).fillna(True).to_numpy(dtype=bool)
+            # Urls with nothing later keep their order and are remembered for longer.
+            again = known[known["url"].isin(fresh["url"][~later])].drop(columns="until").merge(seen, on="url")
+            untouched = known[~known["url"].isin(fresh["url"])]
+            fresh = fresh[later]
+            kept = pd.concat([untouched, again, fresh.drop(columns="visit")], ignore_index=True)
+            self.handle.deleteTimer(stored[1])
+        else:
+            kept = fresh.drop(columns="visit")
+        self._keep(kept)
+        if len(fresh):
+            yield fresh[["visit"]].reset_index(drop=True)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        known = _unpacked(self.last.get()[0])
+        self._keep(known[known["until"] > expiredTimerInfo.getExpiryTimeInMs()])
         yield from ()
 
+    def _keep(self, known: pd.DataFrame) -> None:
+        if not len(known):
+            self.last.clear()
+            return
+        following = int(known["until"].min())
+        self.handle.registerTimer(following)
+        self.last.update((_packed(known[["url", *ORDERED, "until"]]), following))
+
     def close(self) -> None:
         pass
 
@@ -80,10 +123,10 @@ def save_deltas(
     keyed = log.filter(F.col("url").isNotNull() & F.col("scrapedAt").isNotNull()).select(
         "url", utc_day(F.col("scrapedAt")).alias("day"), F.unix_micros("scrapedAt").alias("at"), F.coalesce("seq", F.lit(-(2**63))).alias("seq"),
         F.to_json(F.struct(*[F.unix_micros("scrapedAt").alias(name) if name == "scrapedAt" else F.col(name) for name in fields])).alias("visit"),
-        F.current_timestamp().alias("arrived"))
+        F.pmod(F.xxhash64("url"), F.lit(PARTS)).alias("part"), F.current_timestamp().alias("arrived"))
     # Visits may be as late as they like: only the clock of their arrival, which is never late, lets state expire.
     keyed = keyed.withColumn("arrived_ms", F.unix_millis("arrived")).withWatermark("arrived", "0 seconds")
-    found = keyed.groupBy("url", "day").transformWithStateInPandas(
+    found = keyed.groupBy("day", "part").transformWithStateInPandas(
         LastVisit(remembered_ms), T.StructType([T.StructField("visit", T.StringType())]), "Append", "EventTime")
     packed = T.StructType([T.StructField(f.name, T.LongType()) if f.name == "scrapedAt" else f for f in schema.SNAPSHOT_LOG])
 

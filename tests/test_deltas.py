@@ -74,6 +74,36 @@ def test_forgotten_visits_change_nothing(spark, tables):
     assert spark.createDataFrame(rows[:1], schema.SNAPSHOT_LOG).select(F.max("scrapedAt")).first()[0] == START
 
 
+def test_one_call_takes_in_all_urls_of_a_part():
+    """Python is called per part of a day, not per url: what a call does for each of its urls, and what it forgets."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    state, timers = {}, set()
+    last = SimpleNamespace(
+        exists=lambda: "v" in state, get=lambda: state["v"], update=lambda v: state.update(v=v), clear=lambda: state.clear())
+    visits = deltas.LastVisit(remembered_ms=100)
+    visits.init(SimpleNamespace(getValueState=lambda *_: last, registerTimer=timers.add, deleteTimer=timers.remove))
+
+    def put(arrived, *rows):
+        batch = pd.DataFrame([(*row, f"{row}") for row in rows], columns=["url", "at", "seq", "visit"]).assign(arrived_ms=arrived)
+        halves = iter([batch.iloc[::2], batch.iloc[1::2]]) if len(batch) > 1 else iter([batch])
+        return sorted(v for out in visits.handleInputRows(("d", 0), halves, None) for v in out["visit"])
+
+    assert put(0, ("a", 2, 1), ("b", 5, 0), ("a", 2, 2), ("a", 1, 9)) == ["('a', 2, 2)", "('b', 5, 0)"]
+    assert put(10, ("a", 2, 2), ("a", 2, 1), ("c", 1, -(2**63))) == [f"('c', 1, {-(2**63)})"]
+    assert put(20, ("a", 2, 3), ("c", 1, -(2**63))) == ["('a', 2, 3)"]
+    assert timers == {100}
+    timers.clear()
+    assert list(visits.handleExpiredTimer(("d", 0), None, SimpleNamespace(getExpiryTimeInMs=lambda: 100))) == []
+    # b is forgotten, a and c are not.
+    assert timers == {120} and put(30, ("b", 1, 1), ("a", 2, 3), ("c", 1, 0)) == ["('b', 1, 1)", "('c', 1, 0)"]
+    timers.clear()
+    list(visits.handleExpiredTimer(("d", 0), None, SimpleNamespace(getExpiryTimeInMs=lambda: 130)))
+    assert not state and not timers
+
+
 def test_merge_that_broke_off(spark, tables, monkeypatch):
     save = lambda n, day: spark.createDataFrame([visit("u", START + dt.timedelta(days=day), day, title=str(day))], schema.SNAPSHOT_LOG).write.parquet(f"{tables.folder}/deltas/{n}")
     save("s-0", 0)
