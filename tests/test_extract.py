@@ -102,7 +102,7 @@ def test_few_pages_are_held_at_a_time():
     pages = SimpleNamespace(
         columns=["url", "html"], schema=T.StructType([T.StructField("url", T.StringType()), T.StructField("html", T.StringType())]),
         mapInPandas=lambda f, _: f, mapInArrow=lambda f, _: f)
-    read = extract._read(pages, lambda html: taken.append(html) or (html.upper(), [html]), "title string, variants array<string>")
+    read = extract._read_in_slices(pages, lambda html: taken.append(html) or (html.upper(), [html]), "title string, variants array<string>")
     batch = pa.RecordBatch.from_pydict({"url": [str(i) for i in range(500)], "html": [f"p{i}" for i in range(500)]})
     out = []
     for part in read(iter([batch])):
