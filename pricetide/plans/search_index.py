@@ -7,7 +7,7 @@ from pricetide import schema
 from pricetide.operators import catalog
 from pricetide.operators.snapshots import latest, usable
 from pricetide.plans.search import ProductQuery, SearchResult, search_totals
-from pricetide.session import sized_shuffles
+from pricetide.session import partitions_for, sized_shuffles
 from pricetide.sources.buckets import BUCKETS, Buckets
 from pricetide.sources.tables import Tables
 
@@ -20,14 +20,20 @@ def keyword_products(tables: Tables, buckets: int = BUCKETS) -> Buckets:
 
 
 def keyword_grams(tables: Tables, buckets: int = BUCKETS) -> Buckets:
-    return Buckets(tables, "keyword_grams", schema.TITLE_GRAMS, "keyword", ["keyword", "gram", "url"], buckets)
+    return Buckets(tables, "keyword_grams", schema.TITLE_GRAMS, "keyword", ["keyword", "gram"], buckets, ties=["url"])
 
 
 def grams(text: Column) -> Column:
-    """The distinct runs of three characters of a text without case; none where it has fewer."""
-    low = F.lower(text)
-    places = F.sequence(F.lit(1), F.length(low) - (GRAM - 1))
-    return F.when(F.length(low) >= GRAM, F.array_distinct(F.transform(places, lambda at: F.substr(low, at, F.lit(GRAM)))))
+    """The distinct runs of three characters of a text without case; none where it has fewer.
+
+    The text is an element of an array here, so that its case is changed once and not for every run.
+    """
+
+    def runs(low: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(low) - (GRAM - 1))
+        return F.when(F.length(low) >= GRAM, F.array_distinct(F.transform(places, lambda at: F.substr(low, at, F.lit(GRAM)))))
+
+    return F.transform(F.array(F.lower(text)), runs)[0]
 
 
 def _grams_of(spark: SparkSession, text: str) -> list[str]:
@@ -58,18 +64,22 @@ def update_index(tables: Tables, buckets: int = BUCKETS) -> None:
     else:
         changes = tables.changes(batches)
         days = tables._days(changes.select("day"))
-        replaced = changes.select("url", "day").distinct()
+        replaced = changes.select("url", "day")
         now = items.filter(F.col("day").isin(days)).join(replaced, ["url", "day"], "left_semi").select(*schema.KEYWORD_PRODUCTS.names)
         touched = products.of(now.select("keyword").unionByName(changes.select(F.col("oldKeyword").alias("keyword")).dropna()))
         old = products.read(touched)
         rows = old.join(replaced, ["url", "day"], "left_anti").select(*schema.KEYWORD_PRODUCTS.names).unionByName(now)
         pairs = ["keyword", "url", "day"]
         lost = old.join(replaced, ["url", "day"], "left_semi").select(*pairs).join(now.select(*pairs), pairs, "left_anti")
-        if not lost.isEmpty():
+        # Only a row that took the place of another can be missing: where days only came in, there is nothing to look for.
+        if not changes.filter("replaced").isEmpty() and not lost.isEmpty():
             again = items.join(lost.select("keyword", "url"), ["keyword", "url"], "left_semi")
             rows = rows.unionByName(again.select(*schema.KEYWORD_PRODUCTS.names))
         products.replace(latest(rows, "keyword", "url"), touched)
-    named = products.read(touched).select("keyword", F.explode(grams(F.col("title"))).alias("gram"), "url")
+    # Dealt anew, to each core: the buckets that are filled may be fewer, and of different sizes. A title becomes many rows.
+    parts = partitions_for(tables.size(products.name), tables.spark.sparkContext.defaultParallelism, 16 * 2**20)
+    titled = products.read(touched).select("keyword", "url", "title").repartition(parts, "keyword", "url", "title")
+    named = titled.select("keyword", F.explode(grams(F.col("title"))).alias("gram"), "url")
     titles.replace(named, touched, reader=READER, batches=batches)
 
 

@@ -43,6 +43,13 @@ def partitions_for(input_bytes: int, at_least: int, bytes_per_task: int = 128 *
     return max(at_least, -(-input_bytes // bytes_per_task))
 
 
+def files_for(spark: SparkSession, input_bytes: int, bytes_per_file: int, least_bytes: int = 2**20) -> int:
+    """How many files to write: eight or more, by size, and one for each core as far as none gets small for it. With
+    fewer files than cores, the tasks that write them, and those that read them later, leave cores without work."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(partitions_for(input_bytes, 8, bytes_per_file), min(cores, input_bytes // least_bytes))
+
+
 @contextmanager
 def sized_shuffles(spark: SparkSession, input_bytes: int):
     """Let the shuffles of a job start with enough partitions for an input of this size (compressed, as stored).

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.session import partitions_for
+from pricetide.session import files_for
 from pricetide.sources.tables import Tables
 
 BUCKETS = 64
@@ -16,13 +16,14 @@ class Buckets:
     The hash is taken from the value alone, so a filter on one key becomes a literal that the scan prunes folders by, and
     a change rewrites the folders of the keys it touches. The number of buckets is fixed by the first write: take so many
     that one is a comfortable job. Within a folder rows are sorted by `order` and cut into files by size, so a key with a
-    third of all rows is many files, and files and row groups that lack a key are skipped.
+    third of all rows is many files, and files and row groups that lack a key are skipped. Rows alike in `order` are cut
+    by the hash of `ties`, if given, so that they too may be many files; they are not sorted by it.
 
     A write is staged first and copied over by dynamic overwrite; `resume` ends a copy that broke off.
     """
 
-    def __init__(self, tables: Tables, name: str, table_schema: T.StructType, key: str, order: list[str], buckets: int = BUCKETS):
-        self.tables, self.name, self.schema, self.key, self.order = tables, name, table_schema, key, order
+    def __init__(self, tables: Tables, name: str, table_schema: T.StructType, key: str, order: list[str], buckets: int = BUCKETS, ties: list[str] = ()):
+        self.tables, self.name, self.schema, self.key, self.order, self.ties = tables, name, table_schema, key, order, ties
         marks = [found for found in tables._names(name) if found.startswith("_buckets_")]
         self.exists = bool(marks)
         self.number = int(marks[0].removeprefix("_buckets_")) if marks else buckets
@@ -77,8 +78,9 @@ class Buckets:
             files, mark = tables._path(self.name, f"_buckets_{self.number}")
             files.create(mark).close()
             self.exists = True
+        ranges = ["bucket", *self.order, *([F.xxhash64(*self.ties)] if self.ties else [])]
         (
-            staged.repartitionByRange(partitions_for(tables.size(rows), 8, bytes_per_file), "bucket", *self.order)
+            staged.repartitionByRange(files_for(tables.spark, tables.size(rows), bytes_per_file), *ranges)
             .sortWithinPartitions("bucket", *self.order)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

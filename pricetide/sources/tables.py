@@ -10,7 +10,7 @@ from pricetide.functions.dates import utc_day
 from pricetide.functions.money import iso_currency
 from pricetide.operators.history import upsert, without_keys
 from pricetide.operators.snapshots import daily_snapshots
-from pricetide.session import partitions_for, sized_shuffles
+from pricetide.session import files_for, sized_shuffles
 
 SCHEMAS = {
     "price_history": schema.PRICE_HISTORY,
@@ -185,7 +185,7 @@ class Tables:
             listed.withColumn("number", F.lit(len(self._names("saved"))).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/changes/{batch}")
         (
             self._read(schema.ITEMS_RAW, *staged)
-            .repartitionByRange(partitions_for(self.size("/".join(staged)), 8, bytes_per_file), "day", "url")
+            .repartitionByRange(files_for(self.spark, self.size("/".join(staged)), bytes_per_file), "day", "url")
             .sortWithinPartitions("day", "url")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
